@@ -90,3 +90,10 @@ def near_duplicate_documents(docs: DataFrame, *, shingle_words: int = 5, num: in
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "id").join(named, F.col("id") == F.col("id_"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, *, shingle_words: int = 5) -> DataFrame:
+    """``docs`` (columns and all) less the rows whose class has a smaller doc_id; null doc_ids pass."""
+    classes = near_duplicate_documents(docs.where("doc_id is not null"), shingle_words=shingle_words)
+    gone = classes.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")

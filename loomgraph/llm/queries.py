@@ -8,9 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contaminated_words
+from .langid import identify_languages
+from .licences import known_licences, scan_licences
 from .line_dedup import duplicate_lines
+from .maxscore import integer_vectors, top_inner_products
 from .minhash_dedup import near_duplicate_documents
+from .oracle import ORACLE_SQL as ORACLE_SQL
 from .packing import pack_documents
+from .pii import find_personal_data
+from .revisit import captures, resolve_revisits
+from .sharding import shard_documents
+
+#: Vocabulary files of the tasks that need one.
+PACKING_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+LANGUAGE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,18 +34,53 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    pieces = pack_documents(_table(spark, sf_dir, "documents"), PACKING_VOCABULARY)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = resolve_revisits(captures(_table(spark, sf_dir, "pages")))
+    listed = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return resolved.select("record_id", "canonical_url", "ts", "response_id", "status", listed.alias("headers"))
+
+
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(_table(spark, sf_dir, "documents"), known_licences(spark))
+
+
+def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = integer_vectors(_table(spark, sf_dir, "embeddings"))
+    return top_inner_products(vectors, vectors.where("id % 100 = 0"), k=10)
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_documents(_table(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"), LANGUAGE_VOCABULARY)
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_documents(_table(spark, sf_dir, "documents"), shingle_words=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_line_dedup": op1_line_dedup,
-    "op2_packing": op2_packing,
-    "op9_minhash_dedup": op9_minhash_dedup,
-}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated_words(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_packing, op3_revisits, op4_licence_scan, op5_maxscore,
+        op6_personal_data, op7_sharding, op8_language_id, op9_minhash_dedup, op10_decontamination,
+    )
+}
