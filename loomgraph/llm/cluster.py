@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 #: Most keys that a join may broadcast: 16 bytes each, so 16 MB before hashing.
 BROADCAST_KEYS = 1_000_000
 
+#: Bytes of an Arrow batch: two workers of an executor and the JVM hold a few of them each.
+ARROW_BATCH = "4m"
+
+
+def arrow_rows(df: DataFrame) -> DataFrame:
+    """``df``, for a function over Arrow batches, which its session keeps small from now on."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) != ARROW_BATCH:
+        df.sparkSession.conf.set(key, ARROW_BATCH)
+    return df
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the reliable checkpoint folder and read from there.

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text hashed at once; a longer single text makes a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cluster import arrow_rows
+
 #: Most words that a worker remembers.
 CACHE_WORDS = 400_000
 #: Probability of a character that is no piece; counts that every piece has besides its own.
@@ -201,7 +203,7 @@ def learned(docs: DataFrame, path: str) -> tuple[list[str], np.ndarray, np.ndarr
     docs: text and lang, neither null.  Expected piece counts of every task are summed; the driver
     gets at most one number for each language and piece of the vocabulary.
     """
-    summed = docs.select("lang", "text").mapInArrow(_learn(path), "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    summed = arrow_rows(docs.select("lang", "text")).mapInArrow(_learn(path), "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
     size = pieces_of(path).size
     rows = summed.collect()
     languages = sorted({r["lang"] for r in rows})
@@ -262,7 +264,7 @@ def identify_languages(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), held.alias("held_out"))
     model = learned(rows.where("not held_out and doc_id is not null and text is not null and lang is not null"), vocabulary_path)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.select("doc_id", "held_out", "text").mapInArrow(_predict(vocabulary_path, sent), "doc_id long, held_out boolean, lang_pred string, score double")
+    return arrow_rows(rows.select("doc_id", "held_out", "text")).mapInArrow(_predict(vocabulary_path, sent), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def in_known_language(docs: DataFrame, vocabulary_path: str, *, least: float = 0.5) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .cluster import checkpointed, semi_join
+from .cluster import arrow_rows, checkpointed, semi_join
 from .neardup import Similarity, near_components
 
 #: Characters of a shingle.
@@ -55,7 +55,7 @@ def duplicate_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, num: int = 8
     lines = lines_of(docs)
     compared = lines.where(F.length("text") >= min_chars)
     schema = "doc_id long, line_no int, id long, n long, " + ", ".join(f"k{i} long" for i in range(BANDS))
-    signed = checkpointed(compared.select("doc_id", "line_no", "id", "text").mapInArrow(_signatures, schema))
+    signed = checkpointed(arrow_rows(compared.select("doc_id", "line_no", "id", "text")).mapInArrow(_signatures, schema))
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
     nodes = checkpointed(signed.groupBy("id").agg(first, F.count(F.lit(1)).alias("times"), *[F.min(c).alias(c) for c in ["n", *[f"k{i}" for i in range(BANDS)]]]))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import checkpointed
+from .cluster import arrow_rows, checkpointed
 from .components import connected_components
 
 #: Hub rounds before the exact join of what is left.
@@ -111,7 +111,7 @@ def _shingle_rows(s: Similarity):
 
 def _rest(texts: DataFrame, s: Similarity) -> DataFrame:
     """(a, b) of different labels that may reach the threshold, whatever their bands: a prefix-filtered join."""
-    rows = checkpointed(texts.mapInArrow(_shingle_rows(s), "id long, label long, n long, shingle long"))
+    rows = checkpointed(arrow_rows(texts).mapInArrow(_shingle_rows(s), "id long, label long, n long, shingle long"))
     often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("l0"), F.max("label").alias("l1"))
     shared = rows.join(often.select(F.col("shingle").alias("shingle_"), "df", "l0", "l1"), F.col("shingle") == F.col("shingle_"))
     # the position in the set, rarest first; sets are split by id, so that no window holds more than one set
@@ -144,7 +144,7 @@ def near_components(nodes: DataFrame, n_bands: int, s: Similarity, texts_of: Cal
         pairs = pairs.where(_by_size(s, "an", "bn") & _by_sketch(s, "a", "b")).select("a", "b")
         for x in "ab":
             pairs = pairs.join(texts.select(F.col("id").alias(f"id_{x}"), F.col("text").alias(f"text_{x}")), F.col(x) == F.col(f"id_{x}")).drop(f"id_{x}")
-        return checkpointed(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(s), "a long, b long"))
+        return checkpointed(arrow_rows(pairs.select("a", "b", "text_a", "text_b")).mapInArrow(_confirmed(s), "a long, b long"))
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()

@@ -13,6 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cluster import arrow_rows
+
 #: Windows that are packed together, and so tokens of a task in memory: WINDOWS times the capacity.
 WINDOWS = 64
 #: Most words whose ids a worker remembers.
@@ -205,4 +207,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096
             yield batch_of()
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return columns.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return arrow_rows(columns).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
