@@ -89,7 +89,7 @@ _HEADS = {
     "java": [
         ("INTERFACE", rf"\binterface\s+(?P<name>{_NAME})"),
         ("CLASS", rf"\b(?:class|enum|record)\s+(?P<name>{_NAME})"),
-        ("METHOD", rf"(?<![\w.])(?!return\b|new\b|else\b|throw\b)[\w$<>\[\], ?.]*[\w$>\]]\s+(?P<name>{_NAME})\s*\((?=[^()]*\)\s*(?:throws[^{{;]*)?[{{;])"),
+        ("METHOD", rf"(?<![\w.])(?!return\b|new\b|else\b|throw\b)(?=[A-Za-z_<])[\w$<>\[\], ?.]*[\w$>\]]\s+(?P<name>{_NAME})\s*\((?=[^()]*\)\s*(?:throws[^{{;]*)?[{{;])"),
         ("VARIABLE", rf"(?<![\w.])(?!return\b|new\b|import\b|package\b|throw\b|else\b)(?:[A-Za-z_][\w$.]*(?:<[^;=(){{}}]*>)?(?:\[\])*)\s+(?P<name>{_NAME})\s*(?==[^=]|;)"),
     ],
     "javascript": [
