@@ -17,35 +17,23 @@ from .cluster import arrow_rows
 
 #: Windows that are packed together, and so tokens of a task in memory: WINDOWS times the capacity.
 WINDOWS = 64
-#: Most words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker remembers, the first ones that it meets; texts that are encoded together.
+CACHE_WORDS, TEXTS = 800_000, 256
 
 _LETTERS = "".join(c for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == "L")
 _NUMBERS = "".join(c for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == "N")
 #: The vocabulary's own splitting pattern, for texts of the characters that ``_OTHER`` doesn't match.
-_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+_WORDS = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ſ]|<\\|")
 
 
-class _Words(dict):
-    """Word to its ids as little-endian bytes."""
-
-    def __init__(self, encode):
-        self._encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        found = self[word] = self._encode(word)
-        return found
-
-
 class Encoder:
-    """Ids of a text by a vocabulary file of ``tokenizers``, without special tokens.
+    """Ids of texts by a vocabulary file of ``tokenizers``, without special tokens.
 
     Words of texts in Latin letters are looked up one by one, which gives the same ids: the
-    vocabulary splits, lower-cases and merges each word for itself.  Other texts, and those that
-    may hold the name of a special token, go through the tokenizer as a whole.
+    vocabulary splits, lower-cases and merges each word for itself and marks its last id.  The
+    words that aren't known yet are encoded together and told apart by these marks.  Other texts,
+    and those that may hold the name of a special token, go through the tokenizer as a whole.
     """
 
     def __init__(self, path: str):
@@ -54,15 +42,38 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         spec = self._tokenizer.to_str()
         self._by_word = all(x in spec for x in ('"end_of_word_suffix":"</w>"', '"Lowercase"', "'s|'t|'re|'ve|'m|'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+"))
-        self._words = _Words(self._whole)
+        self._last = np.zeros(self._tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in self._tokenizer.get_vocab().items():
+            self._last[i] = token.endswith("</w>")
+        self._known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _new(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of unknown words; remembered while there is room."""
+        parts = (" ".join(words[i : i + 2000]) for i in range(0, len(words), 2000))
+        ids = np.concatenate([np.array(self._tokenizer.encode_batch_fast([x], add_special_tokens=False)[0].ids, dtype="<u4") for x in parts])
+        ends = np.flatnonzero(self._last[ids]) + 1
+        raw, starts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        if len(ends) != len(words):
+            raise ValueError("the vocabulary's marks don't tell its words apart")
+        found = {w: raw[a:b] for w, a, b in zip(words, starts, starts[1:], strict=False)}
+        if len(self._known) < CACHE_WORDS:
+            self._known.update(found)
+        return found
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, little-endian unsigned 32-bit."""
+        split = [_WORDS.findall(t.lower()) if self._by_word and not _OTHER.search(t) else None for t in texts]
+        new = list({w for words in split if words for w in words} - self._known.keys())
+        known, found = self._known, self._new(new) if new else {}
+        if new and new[0] not in known:  # no room: these words serve this call alone
+            return [self._whole(t) if words is None else b"".join([known[w] if w in known else found[w] for w in words]) for t, words in zip(texts, split, strict=True)]
+        return [self._whole(t) if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+
     def __call__(self, text: str) -> bytes:
-        if self._by_word and (text.isascii() and "<|" not in text and text.isprintable() or not _OTHER.search(text)):
-            return b"".join(map(self._words.__getitem__, _WORDS.findall(text.lower())))
-        return self._whole(text)
+        return self.encode_all([text])[0]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -158,7 +169,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path)
+        encode = encoder(tokenizer_path).encode_all
         end = np.array([end_id], dtype="<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
@@ -183,9 +194,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096
 
         block: list[tuple] = []
         filled, full = 0, capacity * windows
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encode(text or "") + end
+        for part in (batch.slice(at, TEXTS) for batch in batches for at in range(0, batch.num_rows, TEXTS)):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            for doc_id, found in zip(part.column("doc_id").to_pylist(), encode(texts), strict=True):
+                ids = found + end
                 total = len(ids) // 4
                 for start in range(0, total - total % capacity, capacity):
                     emit([(doc_id, start, ids[4 * start : 4 * (start + capacity)], total)])
