@@ -8,7 +8,7 @@ from helpers import components, lines, shingles
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomgraph.llm import hashing
+from loomgraph.llm import hashing, neardup
 from loomgraph.llm.components import connected_components
 from loomgraph.llm.line_dedup import WIDTH, duplicate_lines, without_duplicate_lines
 from loomgraph.llm.minhash_dedup import near_duplicate_documents, without_near_duplicates
@@ -45,8 +45,9 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "x", "y", 0) for i, t in rows], DOCS)
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_documents(spark, width):
+@pytest.mark.parametrize(("width", "in_task"), [(2, 2048), (5, 2048), (2, 0)])
+def test_documents(spark, monkeypatch, width, in_task):
+    monkeypatch.setattr(neardup, "GROUP_NODES", in_task)  # 0: every bucket goes the way of large ones
     rows = corpus()
     sets = {i: shingles(t, width) for i, t in rows}
     want = components(sets)
@@ -92,7 +93,9 @@ def line_corpus(seed=5):
     return [*rows, (100, None), (101, ""), (102, "\n\n")]
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("in_task", [2048, 0])
+def test_lines(spark, monkeypatch, in_task):
+    monkeypatch.setattr(neardup, "GROUP_NODES", in_task)
     rows = line_corpus()
     compared = lines(rows, 30, WIDTH)
     want = components(compared)
