@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +17,38 @@ BROADCAST_KEYS = 1_000_000
 ARROW_BATCH = "4m"
 
 
-def arrow_rows(df: DataFrame) -> DataFrame:
-    """``df``, for a function over Arrow batches, which its session keeps small from now on."""
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` over small batches, which the session keeps from now on.
+
+    A worker gives its free memory back after each task: it lives on, beside a JVM that may by then
+    need the room.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if df.sparkSession.conf.get(key, None) != ARROW_BATCH:
         df.sparkSession.conf.set(key, ARROW_BATCH)
-    return df
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return df.mapInArrow(trimmed, schema)
+
+
+def trim() -> None:
+    """Return freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

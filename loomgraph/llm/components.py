@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .cluster import checkpointed
 
+#: Edges of a partition between the rounds.
+PART_EDGES = 100_000
+
 
 def _least(edges: DataFrame) -> DataFrame:
     """(u, v, m): every edge with the least of u and u's neighbours; combined before the shuffle."""
@@ -40,7 +43,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if found == state or not found[0]:
             break
-        state, now = found, checkpointed(_small_star(_large_star(now)))
+        parts = -(-found[0] // PART_EDGES)  # what is left of the edges is small: few files
+        state, now = found, checkpointed(_small_star(_large_star(now.coalesce(parts))).coalesce(parts))
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
+
+
+def extended(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes (id, root) after further links (a, b): only the links between classes go through union-find."""
+    known = classes.select(F.col("id").alias("id_"), F.col("root").alias("root_"))
+    for x in "ab":
+        links = links.join(known, F.col(x) == F.col("id_"), "left").withColumn(x, F.coalesce("root_", x)).drop("id_", "root_")
+    links = checkpointed(links.where("a <> b").distinct())
+    if links.isEmpty():
+        return classes
+    upper = checkpointed(connected_components(links).select(F.col("id").alias("up"), F.col("root").alias("top")))
+    moved = classes.join(upper, F.col("root") == F.col("up"), "left").select("id", F.coalesce("top", "root").alias("root"))
+    fresh = upper.join(known, F.col("up") == F.col("id_"), "left_anti").select(F.col("up").alias("id"), F.col("top").alias("root"))
+    return checkpointed(moved.unionByName(fresh))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import arrow_rows, checkpointed
+from .cluster import checkpointed, free_name, map_arrow
 
 #: Words of a window.
 WINDOW = 10
@@ -108,7 +108,7 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, *, window: int = W
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    windows = arrow_rows(items).mapInArrow(_item_windows(window), "item_id string, words binary").groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    windows = map_arrow(items, _item_windows(window), "item_id string, words binary").groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     found = texts.selectExpr("doc_id", "text", "cast(array() as array<bigint>) as spans", "cast(array() as array<string>) as items")
     part: list[tuple[list[bytes], list[str]]] = []
     for row in windows.orderBy("words").toLocalIterator():  # the driver holds one part at a time
@@ -123,7 +123,7 @@ def _pass(texts: DataFrame, windows: list[tuple[list[bytes], list[str]]], *, las
     often: dict[bytes, int] = {}
     if windows:
         vocabulary = context.broadcast(frozenset(w for window, _ in windows for w in window))
-        counted = arrow_rows(texts.select("text")).mapInArrow(_frequencies(vocabulary), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        counted = map_arrow(texts.select("text"), _frequencies(vocabulary), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
         often = {bytes(r["word"]): r["n"] for r in counted.collect()}
     index: dict[bytes, list] = {}
     for window, owners in windows:
@@ -131,10 +131,11 @@ def _pass(texts: DataFrame, windows: list[tuple[list[bytes], list[str]]], *, las
         if window[place] in often:  # a word that no document holds rules its windows out
             index.setdefault(window[place], []).append((place, window, owners))
     text = "" if last else "text string, "
-    return arrow_rows(texts.select("doc_id", "text", "spans", "items")).mapInArrow(_hits(context.broadcast(index), last), f"doc_id long, {text}n_words long, spans array<long>, items array<string>")
+    return map_arrow(texts.select("doc_id", "text", "spans", "items"), _hits(context.broadcast(index), last), f"doc_id long, {text}n_words long, spans array<long>, items array<string>")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` (columns and all) less the rows that hold a benchmark window; null texts and null doc_ids pass."""
-    hit = contaminated_words(docs.where("doc_id is not null"), benchmark).where(F.size("spans") > 0).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long") == F.col("__hit"), "left_anti")
+    name = free_name(docs, "hit")
+    hit = contaminated_words(docs.where("doc_id is not null"), benchmark).where(F.size("spans") > 0).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(hit, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -104,38 +104,46 @@ def word_shingles(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
             yield from _windows(hashes, bounds, width)
 
 
+#: What stands for a window that would reach into the next text: no set holds it.
+NO_WINDOW = np.iinfo(np.uint64).max
+
+
 def char_windows(texts: list[str], width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, end text, hashes of all character windows, boundaries), with repeats.
+    """(first text, end text, a hash for each character, boundaries of the texts).
 
-    A text shorter than ``width`` characters is one window; an empty one has none.
+    The hash at a character is that of the window that begins there, with repeats; NO_WINDOW where
+    the text ends within it.  A text shorter than ``width`` is one window; an empty one has none.
+    ``width`` is a power of two.
     """
     with np.errstate(over="ignore"):
         for start, end in _chunks([4 * len(t) for t in texts]):
-            # short texts are stretched by a code point outside Unicode, so that none is shorter than a window
             lengths = np.array([len(t) for t in texts[start:end]], dtype=np.int64)
-            room = np.where(lengths > 0, np.maximum(lengths, width), 0)
-            begins = np.concatenate([[0], np.cumsum(room)])
-            codes = np.full(begins[-1] + width, 0x110000, dtype=np.uint64)
-            flat = np.frombuffer("".join(texts[start:end]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            where = np.arange(len(flat)) + np.repeat(begins[:-1] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-            codes[where] = flat
-            codes = codes * _U(_BASE) + _U(1)
-            n = begins[-1]
-            joined = codes[:n].copy()
-            for i in range(1, width):
-                joined = joined * _U(0xD6E8FEB86659FD93) + codes[i : i + n]
-            joined = mix64(joined)
-            counts = np.where(lengths > 0, room - width + 1, 0)
-            bounds = np.concatenate([[0], np.cumsum(counts)])
-            keep = np.arange(bounds[-1]) + np.repeat(begins[:-1] - bounds[:-1], counts)
-            yield start, end, joined[keep], bounds
+            bounds = np.concatenate([[0], np.cumsum(lengths)])
+            joined = np.zeros(bounds[-1] + width, dtype=np.uint64)
+            joined[: bounds[-1]] = np.frombuffer("".join(texts[start:end]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            joined += _U(1)
+            codes, base, step = joined[: bounds[-1]].copy(), _BASE, 1
+            while step < width:  # windows of twice the length, again and again
+                joined = joined[:-step] * _U(base) + joined[step:]
+                base, step = base * base % (1 << 64), 2 * step
+            out = np.minimum(mix64(joined[: bounds[-1]]), NO_WINDOW - _U(1))
+            for back in range(1, width):
+                at = bounds[1:] - back
+                out[at[at >= bounds[:-1]]] = NO_WINDOW
+            for i in np.flatnonzero((lengths > 0) & (lengths < width)).tolist():
+                whole = _U(lengths[i])
+                for c in codes[bounds[i] : bounds[i + 1]]:
+                    whole = whole * _U(_BASE_INVERSE) + c
+                out[bounds[i]] = np.minimum(mix64(np.array([whole])), NO_WINDOW - _U(1))[0]
+            yield start, end, out, bounds
 
 
 def char_shingles(texts: list[str], width: int) -> Iterator[np.ndarray]:
     """Sorted distinct hashes of each text's character windows."""
     for _, _, hashes, bounds in char_windows(texts, width):
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            yield np.unique(hashes[a:b])
+            found = np.unique(hashes[a:b])
+            yield found[:-1] if len(found) and found[-1] == NO_WINDOW else found
 
 
 def set_keys(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -168,13 +176,15 @@ def minimum_hashes(flat: np.ndarray, bounds: np.ndarray, count: int) -> np.ndarr
 
 
 def one_permutation(flat: np.ndarray, bounds: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """(least hash of each set in each of ``bins`` hash ranges, which of them are filled)."""
+    """(least hash of each set in each of ``bins`` ranges of hashes, which of them are filled).
+
+    The hashes must be well mixed; NO_WINDOW among them is left out.
+    """
     n = len(bounds) - 1
     out = np.full(n * bins, np.iinfo(np.uint64).max, dtype=np.uint64)
-    owner = np.repeat(np.arange(n, dtype=np.int64) * bins, np.diff(bounds))
-    with np.errstate(over="ignore"):
-        at = owner + (((flat >> _U(32)) * _U(bins)) >> _U(32)).astype(np.int64)
-        np.minimum.at(out, at, mix64(flat ^ _U(_BASE)) >> _U(1))
+    at = np.repeat(np.arange(n, dtype=np.int64) * bins, np.diff(bounds))
+    at += (((flat >> _U(32)) * _U(bins)) >> _U(32)).view(np.int64)
+    np.minimum.at(out, at, flat)
     out = out.reshape(n, bins)
     return out, out != np.iinfo(np.uint64).max
 
@@ -190,13 +200,16 @@ def densified(values: np.ndarray, filled: np.ndarray) -> np.ndarray:
 
 
 def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
-    """One 64-bit key for every ``rows`` neighbouring values; equal keys only within a band."""
+    """One 64-bit key for every ``rows`` values, which stand apart; equal keys only within a band.
+
+    A densified sample has runs of one value: neighbours would make bands of a single sample.
+    """
     n, k = values.shape
     bands = k // rows
     with np.errstate(over="ignore"):
         key = np.broadcast_to(mix64(np.arange(7, 7 + bands, dtype=np.uint64)), (n, bands)).copy()
         for i in range(rows):
-            key = mix64(key * _U(_BASE) + values[:, i : bands * rows : rows])
+            key = mix64(key * _U(_BASE) + values[:, i * bands : (i + 1) * bands])
     return key
 
 

@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import arrow_rows
+from .cluster import free_name, map_arrow
 
-#: Most words that a worker remembers.
-CACHE_WORDS = 400_000
+#: Most words that a worker remembers, and words that are scored together.
+CACHE_WORDS, AT_ONCE = 200_000, 8_192
 #: Probability of a character that is no piece; counts that every piece has besides its own.
 UNKNOWN, SMOOTHING = 1e-7, 0.05
 #: About one over the usual probability of a character; letters of a run that is learned at once (longer runs are learned in parts).
@@ -82,11 +82,14 @@ def _hash(text: str) -> int:
     return h
 
 
-def _by_length(words: list[str]) -> dict[int, list[int]]:
+def _by_length(words: list[str]) -> Iterator[tuple[int, list[int]]]:
+    """Words of equal length, at most AT_ONCE of them, as (length, positions)."""
     groups: dict[int, list[int]] = {}
     for i, word in enumerate(words):
         groups.setdefault(len(word), []).append(i)
-    return groups
+    for length, found in groups.items():
+        for start in range(0, len(found), AT_ONCE):
+            yield length, found[start : start + AT_ONCE]
 
 
 def _forward(spans: dict, n: int, table: np.ndarray, rows: int, longest: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -117,7 +120,7 @@ def _forward(spans: dict, n: int, table: np.ndarray, rows: int, longest: int) ->
 def word_scores(words: list[str], pieces: Pieces, table: np.ndarray) -> np.ndarray:
     """Log-probability of each word in each language (columns of ``table``), over all segmentations."""
     out = np.zeros((len(words), table.shape[1]))
-    for length, at in _by_length(words).items():
+    for length, at in _by_length(words):
         spans = pieces.spans([words[i] for i in at])
         alpha, scale = _forward(spans, length + 1, table, len(at), pieces.longest)
         out[at] = np.log(np.maximum(alpha[-1], 1e-300)) + scale[-1]
@@ -128,7 +131,7 @@ def expected_counts(words: list[str], weights: np.ndarray, pieces: Pieces, first
     """Expected uses of each piece under the piece probabilities ``first``, weighted by columns of ``weights``."""
     counts = np.zeros((pieces.size + 1, weights.shape[1]))
     table = np.append(first, 0.0)
-    for length, at in _by_length(words).items():
+    for length, at in _by_length(words):
         spans = pieces.spans([words[i] for i in at])
         n = length + 1
         weight = weights[at]
@@ -203,7 +206,7 @@ def learned(docs: DataFrame, path: str) -> tuple[list[str], np.ndarray, np.ndarr
     docs: text and lang, neither null.  Expected piece counts of every task are summed; the driver
     gets at most one number for each language and piece of the vocabulary.
     """
-    summed = arrow_rows(docs.select("lang", "text")).mapInArrow(_learn(path), "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    summed = map_arrow(docs.select("lang", "text"), _learn(path), "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
     size = pieces_of(path).size
     rows = summed.collect()
     languages = sorted({r["lang"] for r in rows})
@@ -227,8 +230,8 @@ def _predict(path: str, model):
         for batch in batches:
             names: list[str] = []
             values: list[float] = []
-            for begin in range(0, batch.num_rows, 1024):
-                texts = [words_of(t) if t else [] for t in batch.column("text").slice(begin, 1024).to_pylist()]
+            for begin in range(0, batch.num_rows, 512):
+                texts = [words_of(t) if t else [] for t in batch.column("text").slice(begin, 512).to_pylist()]
                 if len(known) > CACHE_WORDS:
                     known.clear()
                     scores = np.zeros((0, len(languages)))
@@ -264,11 +267,12 @@ def identify_languages(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), held.alias("held_out"))
     model = learned(rows.where("not held_out and doc_id is not null and text is not null and lang is not null"), vocabulary_path)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return arrow_rows(rows.select("doc_id", "held_out", "text")).mapInArrow(_predict(vocabulary_path, sent), "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_arrow(rows.select("doc_id", "held_out", "text"), _predict(vocabulary_path, sent), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def in_known_language(docs: DataFrame, vocabulary_path: str, *, least: float = 0.5) -> DataFrame:
     """``docs`` (columns and all) less the rows whose language is ``und`` or has a score below ``least``; null doc_ids pass."""
     found = identify_languages(docs.where("doc_id is not null"), vocabulary_path)
-    bad = found.where((F.col("lang_pred") == "und") | (F.col("score") < least)).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("__bad"), "left_anti")
+    name = free_name(docs, "bad")
+    bad = found.where((F.col("lang_pred") == "und") | (F.col("score") < least)).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .cluster import arrow_rows, checkpointed, semi_join
+from .cluster import checkpointed, free_name, map_arrow, semi_join
 from .neardup import Similarity, near_components
 
 #: Characters of a shingle.
@@ -29,15 +29,17 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, end, flat, bounds in hashing.char_windows(texts, WIDTH):
             values, filled = hashing.one_permutation(flat, bounds, ROWS * BANDS)
             bands = hashing.band_keys(hashing.densified(values, filled), ROWS).view(np.int64)
-            columns = [c.slice(start, end - start) for c in keep] + [pa.array(np.diff(bounds))] + [pa.array(bands[:, i].copy()) for i in range(BANDS)]
+            sizes = np.maximum(np.diff(bounds) - WIDTH + 1, np.minimum(np.diff(bounds), 1))
+            columns = [c.slice(start, end - start) for c in keep] + [pa.array(sizes)] + [pa.array(bands[:, i].copy()) for i in range(BANDS)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "id", "n", *[f"k{i}" for i in range(BANDS)]])
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no from 0, line, text: trimmed and lower-cased, id: its 64-bit hash); a null text has no lines."""
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line"))
-    split = split.withColumn("text", F.lower(F.trim(F.regexp_replace("line", "[\\t\\r]", " "))))
-    return split.withColumn("id", F.xxhash64("text"))
+    """(doc_id, line_no from 0, text: trimmed and lower-cased, id: its 64-bit hash); a null text has no lines."""
+    plain = F.lower(F.replace(F.replace(F.col("text").cast("string"), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" ")))
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(plain, "\n", -1)).alias("line_no", "line"))
+    lines = split.select("doc_id", "line_no", F.trim("line").alias("text"))
+    return lines.withColumn("id", F.xxhash64("text"))
 
 
 def duplicate_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, num: int = 8, den: int = 10) -> DataFrame:
@@ -55,21 +57,21 @@ def duplicate_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, num: int = 8
     lines = lines_of(docs)
     compared = lines.where(F.length("text") >= min_chars)
     schema = "doc_id long, line_no int, id long, n long, " + ", ".join(f"k{i} long" for i in range(BANDS))
-    signed = checkpointed(arrow_rows(compared.select("doc_id", "line_no", "id", "text")).mapInArrow(_signatures, schema))
-    first = F.min(F.struct("doc_id", "line_no")).alias("first")
-    nodes = checkpointed(signed.groupBy("id").agg(first, F.count(F.lit(1)).alias("times"), *[F.min(c).alias(c) for c in ["n", *[f"k{i}" for i in range(BANDS)]]]))
+    signed = checkpointed(map_arrow(compared.select("doc_id", "line_no", "id", "text"), _signatures, schema))
+    nodes = checkpointed(signed.groupBy("id").agg(F.count(F.lit(1)).alias("times"), *[F.min(c).alias(c) for c in ["n", *[f"k{i}" for i in range(BANDS)]]]))
 
     def texts_of(ids: DataFrame) -> DataFrame:
         wanted = checkpointed(ids.select(F.col("id").alias("id_")))
         found = semi_join(compared.select("id", "text"), wanted, F.col("id") == F.col("id_"), wanted.count())
         return found.groupBy("id").agg(F.max("text").alias("text"))
 
-    similarity = Similarity(partial(hashing.char_shingles, width=WIDTH), num, den)
+    similarity = Similarity(partial(hashing.char_shingles, width=WIDTH), num, den, sized=False)
     roots = near_components(nodes, BANDS, similarity, texts_of)
-    linked = nodes.select("id", "first", "times").join(roots.withColumnRenamed("id", "id_"), F.col("id") == F.col("id_"), "left")
-    linked = linked.where("times > 1 or root is not null").select("id", "first", F.coalesce("root", "id").alias("root"))
-    least = linked.groupBy("root").agg(F.min("first").alias("least")).withColumnRenamed("root", "root_")
-    named = linked.join(least, F.col("root") == F.col("root_")).select(F.col("id").alias("id_"), "least")
+    linked = nodes.select("id", "times").join(roots.withColumnRenamed("id", "id_"), F.col("id") == F.col("id_"), "left")
+    linked = checkpointed(linked.where("times > 1 or root is not null").select(F.col("id").alias("id_"), F.coalesce("root", "id").alias("root")))
+    lines_in = signed.select("doc_id", "line_no", "id").join(linked, F.col("id") == F.col("id_"))
+    least = lines_in.groupBy("root").agg(F.min(F.struct("doc_id", "line_no")).alias("least")).withColumnRenamed("root", "root_")
+    named = linked.join(least, F.col("root") == F.col("root_")).select("id_", "least")
     long = signed.select("doc_id", "line_no", "id").join(named, F.col("id") == F.col("id_"), "left")
     long = long.select("doc_id", "line_no", F.coalesce("least", F.struct("doc_id", "line_no")).alias("least"))
     short = lines.where(F.length("text") < min_chars).select("doc_id", "line_no", F.struct("doc_id", "line_no").alias("least"))
@@ -85,11 +87,11 @@ def without_duplicate_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS) -> D
     blank is dropped; n_chars, where it exists, follows the text.  Null texts and null doc_ids pass.
     """
     gone = duplicate_lines(docs.where("doc_id is not null"), min_chars=min_chars).where("not kept")
-    gone = gone.select(F.col("doc_id").alias("__doc_id"), F.col("line_no").cast("int").alias("__no"))
-    lost = gone.groupBy("__doc_id").agg(F.collect_set("__no").alias("__lost"))
-    joined = docs.join(lost, F.col("doc_id").cast("long") == F.col("__doc_id"), "left")
-    rest = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(F.col("__lost"), i))
-    text = F.when(F.col("__lost").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    of, lost = free_name(docs, "of"), free_name(docs, "lost")
+    lists = gone.groupBy(F.col("doc_id").alias(of)).agg(F.collect_set(F.col("line_no").cast("int")).alias(lost))
+    joined = docs.join(lists, F.col("doc_id").cast("long") == F.col(of), "left")
+    rest = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(F.col(lost), i))
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
     columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    out = joined.where(F.col("__lost").isNull() | F.exists(rest, lambda line: F.length(F.trim(line)) > 0)).select(*columns)
+    out = joined.where(F.col(lost).isNull() | F.exists(rest, lambda line: F.length(F.trim(line)) > 0)).select(*columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -106,7 +106,7 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 10) -> D
     vectors and queries: rows (id, v) as of ``integer_vectors``; a shorter vector counts as filled
     with zeros.  Every row but those of the query's own id is a candidate; ties go to the smaller
     id; fewer candidates give fewer rows.  Of a repeated query one copy is asked; repeated
-    candidates are candidates of their own.
+    candidates are candidates of their own.  Scores must fit 64 bits.
 
     Every block of queries meets every shard of vectors once: shards * blocks groups of bounded
     size, each of which returns k rows for a query.

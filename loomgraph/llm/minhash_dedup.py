@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .cluster import arrow_rows, checkpointed, semi_join
+from .cluster import checkpointed, free_name, map_arrow, semi_join
 from .neardup import Similarity, near_components
 
 #: Each band is this many MinHash values; a pair at similarity 0.8 misses all bands with probability (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
@@ -72,14 +72,14 @@ def near_duplicate_documents(docs: DataFrame, *, shingle_words: int = 5, num: in
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in _NAMES[1:])
-    signed = checkpointed(arrow_rows(docs).mapInArrow(_signatures(shingle_words), schema))
+    signed = checkpointed(map_arrow(docs, _signatures(shingle_words), schema))
     nodes = checkpointed(signed.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("owner"), *[F.min(c).alias(c) for c in ["n", *_NAMES[3:]]]))
 
     def texts_of(ids: DataFrame) -> DataFrame:
         wanted = checkpointed(nodes.join(ids.withColumnRenamed("id", "id_"), F.col("id") == F.col("id_"), "left_semi").select("id", "owner"))
         owned = semi_join(docs, wanted.select("owner"), F.col("doc_id") == F.col("owner"), wanted.count())
         # a doc_id may be repeated with other texts: the keys, made anew, tell which text is meant
-        keyed = arrow_rows(owned).mapInArrow(_keyed(shingle_words), "id long, text string")
+        keyed = map_arrow(owned, _keyed(shingle_words), "id long, text string")
         return keyed.join(wanted.select(F.col("id").alias("id_")), F.col("id") == F.col("id_"), "left_semi").groupBy("id").agg(F.max("text").alias("text"))
 
     similarity = Similarity(partial(hashing.word_shingles, width=shingle_words), num, den, SKETCH_WORDS, SAMPLES)
@@ -95,5 +95,6 @@ def near_duplicate_documents(docs: DataFrame, *, shingle_words: int = 5, num: in
 def without_near_duplicates(docs: DataFrame, *, shingle_words: int = 5) -> DataFrame:
     """``docs`` (columns and all) less the rows whose class has a smaller doc_id; null doc_ids pass."""
     classes = near_duplicate_documents(docs.where("doc_id is not null"), shingle_words=shingle_words)
-    gone = classes.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    name = free_name(docs, "gone")
+    gone = classes.where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -5,10 +5,11 @@ No step emits all pairs of a group:
 
 1. each bucket (nodes with an equal band key) proposes its members' links to one hub;
 2. proposals that lengths or sketches rule out are dropped, the rest is confirmed on whole sets;
-3. buckets that still hold several components propose other hubs, in a few rounds;
-4. what is left (members of still mixed buckets) is joined exactly: shingles are ordered by
-   rarity, and only sets of different components that share one of their rarest shingles, at
-   positions that still allow the threshold, are confirmed.
+3. a bucket of bounded size that still holds several components is joined within one task, which
+   returns no more links than join them; of buckets with the same members one is;
+4. larger buckets propose other hubs, in a few rounds, and what then still is mixed
+   is joined exactly: shingles are ordered by rarity, and only sets of different components that
+   share one of their rarest shingles, at positions that still allow the threshold, are confirmed.
 
 Links between different sets are thus lost only where the bands miss them.
 """
@@ -23,11 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import arrow_rows, checkpointed
-from .components import connected_components
+from .cluster import BROADCAST_KEYS, checkpointed, map_arrow
+from .components import connected_components, extended
 
-#: Hub rounds before the exact join of what is left.
+#: Nodes and characters of a bucket that is joined within a task.
+GROUP_NODES, GROUP_CHARS = 2_048, 8_000_000
+#: Hub rounds over larger buckets before the exact join of what is left.
 HUB_ROUNDS = 2
+#: Slots (a power of two) in which shingles are counted for the exact join, and the parts that travel.
+SLOT_BITS, PARTS = 22, 64
 
 
 @dataclass(frozen=True)
@@ -39,6 +44,8 @@ class Similarity:
     den: int = 10
     sketch_words: int = 0
     sketch_samples: int = 0
+    #: The nodes' n is the size of the set (else a size with repeats, which rules nothing out).
+    sized: bool = True
 
 
 def _by_size(s: Similarity, n: str, m: str) -> F.Column:
@@ -83,41 +90,144 @@ def _confirmed(s: Similarity):
             keep = []
             for a, b in zip(*sides, strict=True):
                 x, y = sets[a], sets[b]
-                both = len(x) + len(y) - len(np.union1d(x, y))
+                if len(x) > len(y):
+                    x, y = y, x
+                at = np.searchsorted(y, x)
+                both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
                 keep.append(bool(len(x) and len(y)) and s.den * both >= s.num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _shingle_rows(s: Similarity):
-    """mapInArrow function: (id, label, text) to (id, label, n, shingle)."""
+def _links_of(ids: list[int], labels: list[int], sets: list[np.ndarray], s: Similarity) -> list[tuple[int, int]]:
+    """Links that join the labels of a small group's sets: as many as it takes, of those that reach the threshold."""
+    m = len(ids)
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(m), sizes)
+    _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[token] > 1
+    owner, token = owner[shared], token[shared]
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    token = np.cumsum(np.concatenate([[False], token[1:] != token[:-1]])) if len(token) else token
+    both = np.zeros((m, m), dtype=np.float32)
+    distinct = int(token[-1]) + 1 if len(token) else 0
+    width, at = min(distinct, max(1, (1 << 21) // m)), 0
+    for first in range(0, distinct, max(1, width)):  # a block of shingles at a time
+        end = int(np.searchsorted(token, first + width))
+        block = np.zeros((m, width), dtype=np.float32)
+        block[owner[at:end], token[at:end] - first] = 1
+        both += block @ block.T
+        at = end
+    near = s.den * both.astype(np.int64) >= s.num * (sizes[:, None] + sizes[None, :] - both.astype(np.int64))
+    root = {label: label for label in labels}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        a, b = find(labels[i]), find(labels[j])
+        if a != b and sizes[i] and sizes[j]:
+            root[max(a, b)] = min(a, b)
+            out.append((ids[i], ids[j]))
+    return out
+
+
+def _joined(s: Similarity):
+    """mapInArrow function: (group, id, label, text), sorted by group, to links (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows, links = None, [], []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("group", "id", "label", "text")), strict=True):
+                if row[0] != group:
+                    links += _links_of([r[1] for r in rows], [r[2] for r in rows], list(s.shingles([r[3] for r in rows])), s) if rows else []
+                    group, rows = row[0], []
+                rows.append(row)
+        links += _links_of([r[1] for r in rows], [r[2] for r in rows], list(s.shingles([r[3] for r in rows])), s) if rows else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _counted(s: Similarity):
+    """mapInArrow function: texts to this task's counts of shingles by slot, as (part, counts) in PARTS parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SLOT_BITS, dtype=np.int32)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                for found in s.shingles(batch.column("text").slice(start, 256).to_pylist()):
+                    counts[_slots(found)] += 1  # a set rarely has two shingles of a slot: then one counts
+        parts = counts.reshape(PARTS, -1)
+        used = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["part", "counts"])
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All tasks' counts of the parts that this task has."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, raw in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            counts = np.frombuffer(raw, dtype=np.int32)
+            sums[part] = sums[part] + counts if part in sums else counts.copy()
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
+
+
+def _prefixes(s: Similarity, often):
+    """mapInArrow function: (id, label, text) to the rows (id, label, n, at, shingle) of each set's prefix.
+
+    Shingles are ordered by rarity; the prefix is the shortest in which two sets that reach the
+    threshold must share one.  Shingles that no other set can have are left out of the rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = often.value
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                sets = list(s.shingles(part.column("text").to_pylist()))
-                sizes = np.array([len(x) for x in sets])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(part.column("id").to_numpy(zero_copy_only=False), sizes)),
-                    pa.array(np.repeat(part.column("label").to_numpy(zero_copy_only=False), sizes)),
-                    pa.array(np.repeat(sizes, sizes), pa.int64()),
-                    pa.array((np.concatenate(sets) if sets else np.zeros(0, np.uint64)).view(np.int64)),
-                ], names=["id", "label", "n", "shingle"])
+                ids, labels = part.column("id").to_pylist(), part.column("label").to_pylist()
+                columns: list[list[np.ndarray]] = [[], [], [], [], []]
+                for i, label, found in zip(ids, labels, s.shingles(part.column("text").to_pylist()), strict=True):
+                    n = len(found)
+                    df = counts[_slots(found)]
+                    first = np.lexsort((found, df))[: n - -(-n * s.num // s.den) + 1]
+                    at = np.flatnonzero(df[first] > 1)
+                    for column, x in zip(columns, (np.full(len(at), i), np.full(len(at), label), np.full(len(at), n), at + 1, found[first[at]].view(np.int64)), strict=True):
+                        column.append(x.astype(np.int64))
+                if columns[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["id", "label", "n", "at", "shingle"])
 
     return run
 
 
 def _rest(texts: DataFrame, s: Similarity) -> DataFrame:
-    """(a, b) of different labels that may reach the threshold, whatever their bands: a prefix-filtered join."""
-    rows = checkpointed(arrow_rows(texts).mapInArrow(_shingle_rows(s), "id long, label long, n long, shingle long"))
-    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-    shared = rows.join(often.select(F.col("shingle").alias("shingle_"), "df", "l0", "l1"), F.col("shingle") == F.col("shingle_"))
-    # the position in the set, rarest first; sets are split by id, so that no window holds more than one set
-    ranked = shared.selectExpr("id", "label", "n", "shingle", "l0 < l1 as mixed", "row_number() over (partition by id order by df, shingle) as at")
-    prefix = ranked.where(f"mixed and at <= n - ceil(n * {s.num} / {s.den}) + 1").drop("mixed")
-    prefix = checkpointed(prefix)
+    """(a, b) of different labels that may reach the threshold, whatever their bands: a prefix-filtered join.
+
+    How often shingles occur is counted by slot, in a table of fixed size: shingles that share a
+    slot only look more frequent, which changes the order and no result.
+    """
+    texts = checkpointed(texts)
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    texts = texts.coalesce(-(-chars // GROUP_CHARS) + 1)  # every task fills a table: no more of them than the texts need
+    spread = map_arrow(texts.select("text"), _counted(s), "part int, counts binary")
+    summed = map_arrow(spread.repartition(PARTS, "part"), _summed, "part int, counts binary")
+    table = np.zeros((PARTS, (1 << SLOT_BITS) // PARTS), dtype=np.int32)
+    for row in summed.collect():  # at most 4 << SLOT_BITS bytes
+        table[row["part"]] = np.frombuffer(row["counts"], dtype=np.int32)
+    often = texts.sparkSession.sparkContext.broadcast(table.reshape(-1))
+    prefix = checkpointed(map_arrow(texts, _prefixes(s, often), "id long, label long, n long, at long, shingle long"))
     a, b = (prefix.select([F.col(c).alias(f"{c}_{x}") for c in prefix.columns]) for x in "ab")
     need = F.ceil((F.col("n_a") + F.col("n_b")) * s.num / (s.num + s.den) - 1e-9)
     left = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
@@ -132,8 +242,9 @@ def near_components(nodes: DataFrame, n_bands: int, s: Similarity, texts_of: Cal
     texts_of: from the wanted ids (one column ``id``) to rows id, text.
     """
     bands = nodes.select("id", F.explode(F.array(*[f"k{i}" for i in range(n_bands)])).alias("band"))
-    hubs = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).where("size > 1")
-    members = checkpointed(bands.join(hubs.withColumnRenamed("band", "band_"), F.col("band") == F.col("band_")).select("band", "id", "hub", "size"))
+    hubs = checkpointed(bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).where("size > 1").withColumnRenamed("band", "band_"))
+    shared = F.broadcast(hubs) if hubs.count() <= BROADCAST_KEYS else hubs
+    members = checkpointed(bands.join(shared, F.col("band") == F.col("band_")).select("band", "id", "hub", "size"))
     texts = checkpointed(texts_of(members.select("id").distinct()))
     facts = ["n", *(["filled"] if s.sketch_words else []), *[f"s{i}" for i in range(s.sketch_words)]]
     told = checkpointed(nodes.select("id", *facts).join(members.select(F.col("id").alias("id_")).distinct(), F.col("id") == F.col("id_"), "left_semi"))
@@ -141,36 +252,49 @@ def near_components(nodes: DataFrame, n_bands: int, s: Similarity, texts_of: Cal
     def confirm(pairs: DataFrame) -> DataFrame:
         for x in "ab":
             pairs = pairs.join(told.select([F.col(c).alias(f"{x}{c}") for c in told.columns]), F.col(x) == F.col(f"{x}id")).drop(f"{x}id")
-        pairs = pairs.where(_by_size(s, "an", "bn") & _by_sketch(s, "a", "b")).select("a", "b")
+        pairs = pairs.where((_by_size(s, "an", "bn") if s.sized else F.lit(True)) & _by_sketch(s, "a", "b")).select("a", "b")
         for x in "ab":
             pairs = pairs.join(texts.select(F.col("id").alias(f"id_{x}"), F.col("text").alias(f"text_{x}")), F.col(x) == F.col(f"id_{x}")).drop(f"id_{x}")
-        return checkpointed(arrow_rows(pairs.select("a", "b", "text_a", "text_b")).mapInArrow(_confirmed(s), "a long, b long"))
+        return checkpointed(map_arrow(pairs.select("a", "b", "text_a", "text_b"), _confirmed(s), "a long, b long"))
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
     tried = checkpointed(ordered(members.where("id <> hub")))
-    links = confirm(tried)
-    classes = connected_components(links)
+    classes = checkpointed(connected_components(confirm(tried)))
+
+    def labelled(classes: DataFrame, of: DataFrame) -> DataFrame:
+        named = of.join(classes.select(F.col("id").alias("id_"), "root"), F.col("id") == F.col("id_"), "left")
+        return named.select("band", "id", F.coalesce("root", "id").alias("label"))
+
+    # buckets that hold several components, with what tells their sets of members and their size
+    named = checkpointed(labelled(classes, members.where("size > 2")))
+    lengths = texts.select(F.col("id").alias("id_"), F.length("text").alias("chars"))
+    marks = [F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark")]
+    mixed = named.join(lengths, F.col("id") == F.col("id_")).groupBy("band").agg(*marks).where("l0 < l1")
+    mixed = checkpointed(mixed.select("band", "n", "mark", ((F.col("n") <= GROUP_NODES) & (F.col("chars") <= GROUP_CHARS)).alias("small")))
+    if mixed.isEmpty():
+        return classes
+    once = mixed.where("small").groupBy("n", "mark").agg(F.min("band").alias("band_"))
+    small = named.join(once.select("band_"), F.col("band") == F.col("band_")).select("band", "id", "label")
+    small = small.join(texts.withColumnRenamed("id", "id_"), F.col("id") == F.col("id_")).select(F.col("band").alias("group"), "id", "label", "text")
+    small = small.repartition("group").sortWithinPartitions("group", "id")
+    classes = extended(classes, checkpointed(map_arrow(small, _joined(s), "a long, b long")))
+    large = mixed.where("not small").select(F.col("band").alias("band_"))
+    members = checkpointed(members.join(large, F.col("band") == F.col("band_"), "left_semi"))
+    if members.isEmpty():
+        return classes
     for turn in range(HUB_ROUNDS + 1):
-        labelled = members.where("size > 2").drop("hub").join(classes.select(F.col("id").alias("id_"), "root"), F.col("id") == F.col("id_"), "left")
-        labelled = labelled.select("band", "id", F.coalesce("root", "id").alias("label"))
-        last = turn == HUB_ROUNDS
-        hub = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("id"), F.col("label").alias("label")))
-        mixed = labelled.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), hub.alias("hub")).where("l0 < l1")
-        mixed = mixed.select(F.col("band").alias("band_"), F.col("hub.id").alias("hub"), F.col("hub.label").alias("hub_label"))
-        rest = labelled.join(mixed, F.col("band") == F.col("band_"))
-        if last:
+        now = labelled(classes, members)
+        hub = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("id"), F.col("label").alias("label"))).alias("hub")
+        still = now.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), hub).where("l0 < l1").withColumnRenamed("band", "band_")
+        rest = now.join(still, F.col("band") == F.col("band_"))
+        if turn == HUB_ROUNDS:
             ids = rest.groupBy("id").agg(F.min("label").alias("label"))
             pairs = _rest(ids.join(texts.withColumnRenamed("id", "id_"), F.col("id") == F.col("id_")).select("id", "label", "text"), s)
         else:
-            pairs = ordered(rest.where("label <> hub_label"))
-        new = checkpointed(pairs.join(tried.select(F.col("a").alias("a_"), F.col("b").alias("b_")), (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")), "left_anti"))
-        if new.isEmpty():
-            if last:
-                break
-            continue
-        found = confirm(new)
-        links, tried = links.unionByName(found), tried.unionByName(new)
-        classes = connected_components(links)
+            pairs = ordered(rest.where("label <> hub.label").select("id", F.col("hub.id").alias("hub")))
+        known = tried.select(F.col("a").alias("a_"), F.col("b").alias("b_"))
+        new = checkpointed(pairs.join(known, (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")), "left_anti"))
+        classes, tried = extended(classes, confirm(new)), tried.unionByName(new)
     return classes

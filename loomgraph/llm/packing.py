@@ -13,12 +13,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import arrow_rows
+from .cluster import map_arrow
 
 #: Windows that are packed together, and so tokens of a task in memory: WINDOWS times the capacity.
 WINDOWS = 64
 #: Words whose ids a worker remembers, the first ones that it meets; texts that are encoded together.
-CACHE_WORDS, TEXTS = 800_000, 256
+CACHE_WORDS, TEXTS = 300_000, 256
 
 _LETTERS = "".join(c for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == "L")
 _NUMBERS = "".join(c for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == "N")
@@ -219,4 +219,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096
             yield batch_of()
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_rows(columns).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return map_arrow(columns, run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

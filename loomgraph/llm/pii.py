@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import arrow_rows, checkpointed
+from .cluster import checkpointed, map_arrow
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -270,7 +270,7 @@ def find_personal_data(docs: DataFrame, *, least: float = 0.5) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     numbers = ", ".join(f"n_{k} long" for k in KINDS[:4])
-    found = checkpointed(arrow_rows(texts).mapInArrow(_extract, f"doc_id long, {numbers}, base string, found array<struct<start:long,kind:int,end:long,code:int,base:boolean>>"))
+    found = checkpointed(map_arrow(texts, _extract, f"doc_id long, {numbers}, base string, found array<struct<start:long,kind:int,end:long,code:int,base:boolean>>"))
     counts = np.zeros(PATTERNS)
     for row in found.select(F.explode("found.code").alias("code")).groupBy("code").count().collect():
         counts[row["code"]] = row["count"]
