@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -64,6 +65,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(df: DataFrame) -> None:
+    """Have the driver collect its garbage, on which the shuffle files of finished steps go.
+
+    They would stay until the driver needs memory, which may be long after the disks are full.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def semi_join(df: DataFrame, keys: DataFrame, on: Column, n_keys: int) -> DataFrame:
     """Rows of ``df`` with a partner in ``keys`` (``n_keys`` rows, counted by the caller).
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .cluster import checkpointed, free_name, map_arrow, semi_join
+from .cluster import checkpointed, free_name, map_arrow, release, semi_join
 from .neardup import Similarity, near_components
 
 #: Characters of a shingle.
@@ -67,6 +67,7 @@ def duplicate_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, num: int = 8
 
     similarity = Similarity(partial(hashing.char_shingles, width=WIDTH), num, den, sized=False)
     roots = near_components(nodes, BANDS, similarity, texts_of)
+    release(nodes)
     linked = nodes.select("id", "times").join(roots.withColumnRenamed("id", "id_"), F.col("id") == F.col("id_"), "left")
     linked = checkpointed(linked.where("times > 1 or root is not null").select(F.col("id").alias("id_"), F.coalesce("root", "id").alias("root")))
     lines_in = signed.select("doc_id", "line_no", "id").join(linked, F.col("id") == F.col("id_"))
