@@ -18,7 +18,7 @@ from .neardup import Similarity, near_components
 WIDTH = 8
 #: Each band is this many samples; a pair at similarity 0.8 misses all bands with probability (1 - 0.8 ** ROWS) ** BANDS = 0.3 %, one at 0.9 with 0.003 %.
 ROWS, BANDS = 3, 8
-#: Shorter lines are never compared: clean documents share them by chance.
+#: Shorter lines are not compared by default, as in the pipeline's removal: clean documents share them by chance.
 MIN_CHARS = 30
 
 
@@ -47,7 +47,8 @@ def duplicate_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, num: int = 8
 
     docs: doc_id and text; further columns, whatever their names, are not read.  Lines end at
     "\\n"; they are compared trimmed and lower-cased.  Lines of fewer than ``min_chars``
-    characters (blank ones too) are never compared and always kept.
+    characters (blank ones too) are never compared and always kept; 1 compares every line that
+    isn't blank, one of fewer than 8 characters being its own only shingle.
 
     Returns one row for each line: doc_id, line_no, first_doc_id and first_line_no (the least line
     of its component, its own without links) and kept (it is that line).  A null text has no lines;

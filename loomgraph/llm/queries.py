@@ -30,7 +30,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_lines(_table(spark, sf_dir, "documents"))
+    return duplicate_lines(_table(spark, sf_dir, "documents"), min_chars=1)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

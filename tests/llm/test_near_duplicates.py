@@ -112,6 +112,17 @@ def test_lines(spark, monkeypatch, in_task):
     assert missed <= len(compared) * 0.02
 
 
+def test_short_lines_are_linked(spark):
+    rows = [(1, "Short.\nand ornd."), (2, "short.\n\nother"), (3, " and ornd. \nshort"), (4, "  \n\n"), (5, "abcdefghijk"), (6, "ABCDEFGHIJK\nabcdefghxyz")]
+    compared = lines(rows, 1, WIDTH)
+    want = components(compared)
+    got = {(r["doc_id"], r["line_no"]): ((r["first_doc_id"], r["first_line_no"]), r["kept"]) for r in duplicate_lines(frame(spark, rows), min_chars=1).collect()}
+    assert got == {key: (want.get(key, key), want.get(key, key) == key) for key in got}
+    assert got[2, 0] == ((1, 0), False)
+    assert got[3, 0] == ((1, 1), False)
+    assert all(kept for key, (_, kept) in got.items() if key not in compared)
+
+
 def test_lines_are_removed(spark):
     line = "the very same line of some fifty characters or so"
     rows = [(1, f"{line}\nown line of document one, long enough"), (2, f"{line.upper()}\nshort"), (3, f"  {line}\n"), (4, "clean and unique text\n\nof two lines"), (5, None), (6, ""), (None, line)]

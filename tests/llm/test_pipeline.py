@@ -88,3 +88,19 @@ def test_query_runs_over_whole_table(spark, name):
         assert got.count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
     else:
         assert got.count() > 0
+
+
+def test_line_query_links_short_lines(spark):
+    """The registered query links every copy of a line that isn't blank, however short."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    compared = lines(rows, 1, WIDTH)
+    want = components(compared)
+    got = {(r["doc_id"], r["line_no"]): (r["first_doc_id"], r["first_line_no"]) for r in QUERIES["op1_line_dedup"](spark, DATA).collect()}
+    short = set(compared) - set(lines(rows, MIN_CHARS, WIDTH))
+    assert any(want[key] != key for key in short)
+    assert all(want[got[key]] == want[key] for key in compared)  # none is made up
+    copies = {}
+    for key in sorted(compared):
+        copies.setdefault(compared[key], []).append(key)
+    assert all(len({got[key] for key in keys}) == 1 for keys in copies.values())
+    assert sum(got[key] != want[key] for key in short) <= len(short) * 0.02
