@@ -44,7 +44,7 @@ SELECTS = {
             CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN './util/x' WHEN 2 THEN '../lib/y' WHEN 3 THEN 'acme/lib/x' ELSE 'com\\acme' END AS source,
             concat('/ws/p/src/m', cast(p_partkey % 50 AS string), '/f.go') AS file
         FROM part""",
-    "edges": "SELECT DISTINCT concat('n', cast(l_partkey % 100 AS string)) AS callee, concat('n', cast(l_suppkey AS string)) AS caller FROM lineitem WHERE l_linenumber = 1",
+    "edges": "SELECT DISTINCT concat('n', cast(l_partkey % 100 AS string)) AS callee, concat('n', cast(l_suppkey AS string)) AS caller FROM lineitem",
     "local_tree": "SELECT c_name AS path, cast(c_custkey AS string) AS hash FROM customer WHERE c_custkey % 11 <> 0",
     "remote_tree": "SELECT c_name AS path, CASE WHEN c_custkey % 5 = 0 THEN concat('x', cast(c_custkey AS string)) ELSE cast(c_custkey AS string) END AS hash FROM customer WHERE c_custkey % 7 <> 0",
     "queue": """
@@ -53,7 +53,7 @@ SELECTS = {
             concat('/f', regexp_extract(props, '[0-9]+', 0)) AS path, concat('/t', regexp_extract(props, '[0-9]+', 0)) AS target,
             concat('sync', cast(event_id % 40 AS string)) AS sync_id, cast(event_id % 6 + 1 AS int) AS embedding_status, cast(event_id % 4 + 1 AS int) AS codegraph_status, ts AS created_at, ts AS updated_at
         FROM events""",
-    "published": "SELECT id, workspace, event_type, path, created_at FROM queue WHERE id % 3 = 0",
+    "published": "SELECT id, workspace, CASE id % 3 WHEN 0 THEN event_type WHEN 1 THEN 'modify_file' ELSE 'delete_file' END AS event_type, path, created_at FROM queue",
     "changes": """
         SELECT DISTINCT concat('/ws', cast(user_id AS string)) AS workspace, concat('/f', cast(user_id % 100 + k AS string)) AS path,
             CASE (user_id + k) % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'modify' ELSE 'delete' END AS status

@@ -12,6 +12,7 @@ import pytest
 
 import __spark_entry__ as entry
 from loomgraph.plans.catalogue import ORACLE_SQL, QUERIES
+from loomgraph.plans.views import table
 
 DATA = "/root/testdata/sf0.001"
 
@@ -48,6 +49,14 @@ def test_query(spark, duck, name):
     assert got == want
 
 
+def test_model_tables_read_every_row(spark, duck):
+    """Call edges come from all line numbers, published events from the whole queue."""
+    want = duck.execute("SELECT DISTINCT concat('n', l_partkey % 100), concat('n', l_suppkey) FROM lineitem").fetchall()
+    assert {tuple(r) for r in table(spark, DATA, "edges").select("callee", "caller").collect()} == set(want)
+    events = duck.execute("SELECT event_id FROM events").fetchall()
+    assert sorted(r["id"] for r in table(spark, DATA, "published").select("id").collect()) == sorted(i for (i,) in events)
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0
