@@ -16,7 +16,7 @@ from .neardup import Similarity, near_components
 
 #: Characters of a shingle.
 WIDTH = 8
-#: Each band is this many samples; a pair at similarity 0.8 misses all bands with probability (1 - 0.8 ** ROWS) ** BANDS = 0.3 %, one at 0.9 with 0.003 %.
+#: Each band is this many samples; independent samples would miss a pair at similarity 0.8 with probability (1 - 0.8 ** ROWS) ** BANDS = 0.3 %, one at 0.9 with 0.003 %; densified ones of short lines miss more (README).
 ROWS, BANDS = 3, 8
 #: Shorter lines are not compared by default, as in the pipeline's removal: clean documents share them by chance.
 MIN_CHARS = 30

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from loomgraph.llm import hashing, neardup
 from loomgraph.llm.components import connected_components
-from loomgraph.llm.line_dedup import WIDTH, duplicate_lines, without_duplicate_lines
+from loomgraph.llm.line_dedup import BANDS, ROWS, WIDTH, duplicate_lines, without_duplicate_lines
 from loomgraph.llm.minhash_dedup import near_duplicate_documents, without_near_duplicates
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -123,6 +123,19 @@ def test_short_lines_are_linked(spark):
     assert all(kept for key, (_, kept) in got.items() if key not in compared)
 
 
+@pytest.mark.parametrize(("size", "most"), [(22, 0.01), (30, 0.01), (40, 0.006), (60, 0.004)])
+def test_bands_of_lines_miss_few(size, most):
+    """Pairs at 0.8 or a little more: no band is shared by at most the share that the README names, with some room."""
+    rng = random.Random(1)
+    left = ["".join(rng.choice("abcdefghijklmnop") for _ in range(size + WIDTH - 1)) for _ in range(4000)]
+    right = [t + "".join(rng.choice("xyz") for _ in range(size // 4)) for t in left]
+    keys = []
+    for texts in (left, right):
+        made = [hashing.one_permutation(flat, bounds, ROWS * BANDS) for _, _, flat, bounds in hashing.char_windows(texts, WIDTH)]
+        keys.append(np.vstack([hashing.band_keys(hashing.densified(*m), ROWS) for m in made]))
+    assert 1 - (keys[0] == keys[1]).any(axis=1).mean() <= most
+
+
 def test_lines_are_removed(spark):
     line = "the very same line of some fifty characters or so"
     rows = [(1, f"{line}\nown line of document one, long enough"), (2, f"{line.upper()}\nshort"), (3, f"  {line}\n"), (4, "clean and unique text\n\nof two lines"), (5, None), (6, ""), (None, line)]
