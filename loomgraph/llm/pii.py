@@ -35,8 +35,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _LOOSE_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
 _SPELLED_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63} ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,10}(?![A-Za-z0-9])")
-_ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}([^\s,;\"']{6,128})")
-_KEY = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{16,64}(?![A-Za-z0-9_])")
+_ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}([^\s,;\"']{6,}+)")
+_KEY = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{16,}+")
 
 #: Top-level domains, first digits of card issuers, prefixes of access keys, words before a span that speak for its kind, and words that speak against every kind.
 DOMAINS = frozenset("com org net edu gov mil int info biz io co app dev de fr es it uk eu us ca au jp cn in br ru ch at nl be se no dk fi pl pt mx ar".split())

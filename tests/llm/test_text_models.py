@@ -100,6 +100,14 @@ def all_segmentations(word, prob, unknown):
     return total
 
 
+@pytest.mark.parametrize("size", [20, 64, 65, 128, 129, 5000])
+def test_secret_candidates_are_whole_runs(size):
+    """A long password or key is a candidate from its first character to its last."""
+    run = ("aB3x" * size)[:size]
+    assert pii.candidates(f"see {run} there", []) == [("secret", 4, 4 + size)]
+    assert pii.candidates(f"password: {run}%, more", []) == [("secret", 10, 11 + size)]
+
+
 def test_forward_sums_all_segmentations():
     import sentencepiece
 
