@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from loomgraph.llm.packing import Encoder, differencing, pack_block, pack_documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["it's 'S I'll o'clock ''s x_y 12³ ½ naïve ÉCOLE", "İstanbul ŉ Σίσυφος ΣΑΣ", "<|endoftext|> and <|startoftext|>", "", " ", "ﬁ 漢字 \x1c\x1f \x85 ​ a", "don't 're'VE'll'd --- ''''s", "\ttab\r\nx", "\x7f\x80 a\xa0b\x0bc", "é é"]
+TEXTS = ["x" * 100 + " " + "é" * 70 + " x " + "y" * 64, "a's'song we'rent ''s' '' 1's2 !'s", "it's 'S I'll o'clock ''s x_y 12³ ½ naïve ÉCOLE", "İstanbul ŉ Σίσυφος ΣΑΣ", "<|endoftext|> and <|startoftext|>", "", " ", "ﬁ 漢字 \x1c\x1f \x85 ​ a", "don't 're'VE'll'd --- ''''s", "\ttab\r\nx", "\x7f\x80 a\xa0b\x0bc", "é é"]
 
 
 @pytest.fixture(scope="module")
@@ -72,23 +72,37 @@ def test_whole_documents(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 100), max_size=40), st.booleans())
-def test_block(sizes, cut):
-    windows = pack_block(sizes, 100, cut=cut)
-    pieces = defaultdict(list)
-    for w in windows:
-        assert 0 < sum(n for _, _, n in w) <= 100
-        for i, start, n in w:
-            pieces[i].append((start, n))
-    for i, size in enumerate(sizes):
-        at = 0
-        for start, n in sorted(pieces[i]):
-            assert start == at
-            at += n
-        assert at == size
-        assert cut or len(pieces[i]) == 1
-    if cut:
-        assert len(windows) <= max(1, -(-sum(sizes) // 100))
+@given(st.lists(st.integers(1, 100), max_size=40))
+def test_block(sizes):
+    windows = pack_block(sizes, 100)
+    assert all(0 < sum(sizes[i] for i in w) <= 100 for w in windows)
+    assert sorted(i for w in windows for i in w) == list(range(len(sizes)))
+
+
+def test_the_window_count_rises_as_long_as_a_window_exceeds_the_capacity():
+    assert len(pack_block([60, 60, 60], 100)) == 3  # 180 would fill two windows, but no two items share one
+    assert len(pack_block([50, 50, 60], 100)) == 2
+    sizes = [40] * 5 + [70] * 3
+    assert max(sum(sizes[i] for i in part) for part in differencing(sizes, 5)) > 100 >= max(sum(sizes[i] for i in w) for w in pack_block(sizes, 100))
+
+
+def test_windows_are_what_differencing_gives(spark):
+    rows = [(i, "some words of a text " * (i * 37 % 61 + 1)) for i in range(600)]
+    found = pack_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), PATH, windows=16).collect()
+    filled = defaultdict(int)
+    for r in found:
+        filled[r["sequence_id"]] += r["length"]
+    sizes = sorted(filled.values())
+    assert sum(sizes) > 0.99 * 4096 * (len(sizes) - 1)
+    assert sum(n == 4096 for n in sizes) < len(sizes) / 2  # not filled up by cutting: a little room is left in most
+
+
+def test_a_very_long_text_and_rows_alike(spark):
+    rows = [(1, "word " * 400_000), (1, "word " * 400_000), (2, "x" * 300_000)]
+    found = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    assert sum(r["length"] for r in found if r["doc_id"] == 1) == 2 * 400_001
+    assert sum(r["length"] for r in found if r["doc_id"] == 2) == {r["doc_tokens"] for r in found if r["doc_id"] == 2}.pop()
+    assert all(r["offset"] + r["length"] <= 4096 for r in found)
 
 
 def test_differencing_is_near_equal():
