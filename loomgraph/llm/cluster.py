@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import ctypes
-import gc
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..session import checkpoint_folder
+
+#: Has a query's shuffle files removed when it is done; set for the steps that write a table.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Most keys that a join may broadcast: 16 bytes each, so 16 MB before hashing.
 BROADCAST_KEYS = 1_000_000
@@ -18,7 +23,7 @@ BROADCAST_KEYS = 1_000_000
 ARROW_BATCH = "4m"
 
 
-def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``df.mapInArrow(run, schema)`` over small batches, which the session keeps from now on.
 
     A worker gives its free memory back after each task: it lives on, beside a JVM that may by then
@@ -53,25 +58,102 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the reliable checkpoint folder and read from there.
+    """``df`` written as a Parquet table in the shared checkpoint folder, and read from there.
 
-    The folder is the session's ``spark.checkpoint.dir``.  A temporary one is
-    set only where that is unset (local tests).
+    This cuts the lineage: lost executors cost nothing that is written.  Columns that a later step
+    doesn't use aren't read again.  The shuffle files of the step go when it is written.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomgraph-checkpoint-"))
-    return df.checkpoint()
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``checkpointed`` wrote; nothing that is still to run may read them."""
+    for table in tables:
+        for name in table.inputFiles()[:1]:
+            folder = name.rsplit("/", 1)[0]
+            if not folder.rsplit("/", 1)[1].startswith("table-"):
+                raise ValueError(f"{folder} is no intermediate table")
+            path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-def release(df: DataFrame) -> None:
-    """Have the driver collect its garbage, on which the shuffle files of finished steps go.
 
-    They would stay until the driver needs memory, which may be long after the disks are full.
+def row_keys(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes that tell the rows (doc_id, text) of ``df`` apart."""
+    row = [F.col("doc_id").cast("long"), F.col("text").cast("string")]
+    return [F.xxhash64(F.lit(1), *row), F.xxhash64(*row, F.lit(2))]
+
+
+def keyed_rows(docs: DataFrame, words: Column) -> tuple[DataFrame, list[str]]:
+    """(docs with two key columns, their names): rows equal in doc_id and text, if they hold ``words``, are reduced to one.
+
+    Which one isn't defined where other columns differ.  Copies are counted first; without any,
+    rows pass as they are.
+    """
+    names = []
+    for name, key in zip(("key1", "key2"), row_keys(docs), strict=True):
+        docs = docs.withColumn(free_name(docs, name), key)
+        names.append(docs.columns[-1])
+    copies = [free_name(docs, "copies1"), free_name(docs, "copies2")]
+    counted = docs.where(words).groupBy(*[F.col(n).alias(c) for n, c in zip(names, copies, strict=True)]).agg(F.count(F.lit(1)).alias("n"))
+    repeated = checkpointed(counted.where("n > 1").select(*copies))
+    n = repeated.count()
+    if not n:
+        return docs, names
+    side = F.broadcast(repeated) if n <= BROADCAST_KEYS else repeated
+    on = (F.col(names[0]) == F.col(copies[0])) & (F.col(names[1]) == F.col(copies[1]))
+    once = docs.join(side, on, "left_anti")
+    many = docs.where(words).join(side, on, "left_semi").groupBy(*[F.col(x).alias(c) for x, c in zip(names, copies, strict=True)]).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    blank = docs.where(~F.coalesce(words, F.lit(False))).join(side, on, "left_semi")
+    return once.unionByName(blank).unionByName(many.select("row.*")), names
+
+
+def without(docs: DataFrame, names: list[str], gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows with a key in ``gone`` (row1, row2), and without the key columns."""
+    a, b = free_name(docs, "gone1"), free_name(docs, "gone2")
+    gone = gone.select(F.col("row1").alias(a), F.col("row2").alias(b)).distinct()
+    return docs.join(gone, (F.col(names[0]) == F.col(a)) & (F.col(names[1]) == F.col(b)), "left_anti").drop(*names)
+
+
+def kept_rows(docs: DataFrame, keep: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """The rows of ``docs``, columns and all, for which ``keep`` says true: each row is judged where it is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(keep(batch))
+
+    return map_arrow(docs, run, docs.schema)
+
+
+def apart(df: DataFrame, torn: list[DataFrame]) -> DataFrame:
+    """``df`` (id, check, ...) with new ids for those that stand for several checks (``torn``: tables of such ids)."""
+    for ids in torn:
+        df = df.join(F.broadcast(ids.select(F.col("id").alias("torn_"))), F.col("id") == F.col("torn_"), "left")
+        df = df.withColumn("id", F.when(F.col("torn_").isNull(), F.col("id")).otherwise(F.xxhash64("id", "check"))).drop("torn_")
+    return df
+
+
+def distinct_nodes(signed: DataFrame, *facts: Column) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(signed, one row for each id with ``facts``, tables of ids that were told apart).
+
+    signed: id and check, two independent 64-bit hashes of one thing.  Things that share an id by
+    chance have other checks: they get ids of their own, so that nothing is merged by 64 bits alone.
     """
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    torn: list[DataFrame] = []
+    while True:
+        nodes = checkpointed(signed.groupBy("id").agg(F.min("check").alias("least"), F.max("check").alias("most"), *facts))
+        found = checkpointed(nodes.where("least <> most").select("id"))
+        if found.isEmpty():
+            return signed, nodes.drop("least", "most"), torn
+        torn.append(found)
+        signed = checkpointed(apart(signed, [found]))
 
 
 def semi_join(df: DataFrame, keys: DataFrame, on: Column, n_keys: int) -> DataFrame:

@@ -138,18 +138,65 @@ def char_windows(texts: list[str], width: int) -> Iterator[tuple[int, int, np.nd
             yield start, end, out, bounds
 
 
-def char_shingles(texts: list[str], width: int) -> Iterator[np.ndarray]:
-    """Sorted distinct hashes of each text's character windows."""
-    for _, _, hashes, bounds in char_windows(texts, width):
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            found = np.unique(hashes[a:b])
-            yield found[:-1] if len(found) and found[-1] == NO_WINDOW else found
+#: Bits of a shingle in sets that are compared many at once; the rest of a number tells the sets apart.
+SHINGLE_BITS = 52
+_AT_ONCE = 1 << (64 - SHINGLE_BITS)
+
+
+def distinct_sets(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct SHINGLE_BITS-bit values of each run of ``flat``, their boundaries); NO_WINDOW is left out."""
+    values, sizes = [], []
+    for low in range(0, len(bounds) - 1, _AT_ONCE):
+        cuts = bounds[low : low + _AT_ONCE + 1]
+        part = flat[cuts[0] : cuts[-1]]
+        owner = np.repeat(np.arange(len(cuts) - 1, dtype=np.uint64), np.diff(cuts))
+        real = part != NO_WINDOW
+        keys = np.sort((owner[real] << _U(SHINGLE_BITS)) | (part[real] >> _U(64 - SHINGLE_BITS)))
+        if len(keys):
+            keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+        sizes.append(np.bincount((keys >> _U(SHINGLE_BITS)).astype(np.int64), minlength=len(cuts) - 1))
+        values.append(keys & _U((1 << SHINGLE_BITS) - 1))
+    return np.concatenate([np.zeros(0, np.uint64), *values]), np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))]).astype(np.int64)
+
+
+def shared_values(values: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values the sets a[i] and b[i] of ``distinct_sets`` share, for each i."""
+    out, sizes = np.zeros(len(a), dtype=np.int64), np.diff(bounds)
+    weights = np.cumsum(sizes[a] + sizes[b])
+    low = 0
+    while low < len(a):  # as many pairs as the numbers tell apart, of about CHUNK_BYTES values
+        high = min(low + _AT_ONCE, max(low + 1, int(np.searchsorted(weights, (weights[low - 1] if low else 0) + CHUNK_BYTES, "right"))))
+        keys = []
+        for side in (a[low:high], b[low:high]):
+            n = sizes[side]
+            at = np.repeat(bounds[side] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            keys.append((np.repeat(np.arange(high - low, dtype=np.uint64), n) << _U(SHINGLE_BITS)) | values[at])
+        both = np.sort(np.concatenate(keys))
+        out[low:high] = np.bincount((both[1:][both[1:] == both[:-1]] >> _U(SHINGLE_BITS)).astype(np.int64), minlength=high - low)
+        low = high
+    return out
+
+
+def _joined_sets(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    values = np.concatenate([np.zeros(0, np.uint64), *(v for v, _ in parts)])
+    return values, np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(np.diff(b) for _, b in parts)]))]).astype(np.int64)
+
+
+def char_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of each text's character windows, as of ``distinct_sets``."""
+    return _joined_sets([distinct_sets(hashes, bounds) for _, _, hashes, bounds in char_windows(texts, width)])
+
+
+def word_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of each text's word shingles, as of ``distinct_sets``."""
+    sets = list(word_shingles(texts, width))
+    return distinct_sets(np.concatenate([np.zeros(0, np.uint64), *sets]), np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64))
 
 
-def set_keys(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def set_keys(flat: np.ndarray, bounds: np.ndarray, seed: int = 0xA0761D6478BD642F) -> np.ndarray:
     """A 64-bit key of each set of distinct hashes, whatever their order (0: empty)."""
     with np.errstate(over="ignore"):
-        sums = np.concatenate([[_U(0)], np.cumsum(mix64(flat ^ _U(0xA0761D6478BD642F)))])
+        sums = np.concatenate([[_U(0)], np.cumsum(mix64(flat ^ _U(seed)))])
         sizes = np.diff(bounds).astype(np.uint64)
         return np.where(sizes > 0, mix64((sums[bounds[1:]] - sums[bounds[:-1]]) + sizes * _U(_BASE)), _U(0))
 

@@ -24,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import BROADCAST_KEYS, checkpointed, map_arrow, release
+from . import hashing
+from .cluster import BROADCAST_KEYS, checkpointed, map_arrow
 from .components import connected_components, extended
 
 #: Nodes and characters of a bucket that is joined within a task.
 GROUP_NODES, GROUP_CHARS = 2_048, 8_000_000
+#: Characters of small groups that are joined at once; nodes of a group whose pairs are listed.
+GROUPED_CHARS, PAIRED = 1 << 20, 12
 #: Hub rounds over larger buckets before the exact join of what is left.
 HUB_ROUNDS = 2
 #: Slots (a power of two) in which shingles are counted for the exact join, and the parts that travel.
@@ -37,9 +40,9 @@ SLOT_BITS, PARTS = 22, 64
 
 @dataclass(frozen=True)
 class Similarity:
-    """Jaccard similarity of at least ``num / den`` of the sets that ``shingles`` gives."""
+    """Jaccard similarity of at least ``num / den`` of the sets that ``sets`` gives (as of ``hashing.distinct_sets``)."""
 
-    shingles: Callable[[list], Iterable[np.ndarray]]
+    sets: Callable[[list], tuple[np.ndarray, np.ndarray]]
     num: int = 8
     den: int = 10
     sketch_words: int = 0
@@ -71,6 +74,17 @@ def _by_sketch(s: Similarity, a: str, b: str):
     return F.when(2 * z >= 0.98 * w, False).otherwise(-w / 2 * F.log(1 - 2 * z / w) <= most + 6 * spread)
 
 
+def _near(s: Similarity, values: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the sets a[i] and b[i] reach the threshold; empty ones never do."""
+    sizes = np.diff(bounds)
+    small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+    out = (small > 0) & (s.den * small >= s.num * large)
+    at = np.flatnonzero(out)
+    both = hashing.shared_values(values, bounds, a[at], b[at])
+    out[at] = s.den * both >= s.num * (small[at] + large[at] - both)
+    return out
+
+
 def _confirmed(s: Similarity):
     """mapInArrow function: (a, b, text_a, text_b) to the pairs whose whole sets reach the threshold."""
 
@@ -86,26 +100,36 @@ def _confirmed(s: Similarity):
                         texts.append(text)
                     at.append(where[key])
                 sides.append(at)
-            sets = list(s.shingles(texts))
-            keep = []
-            for a, b in zip(*sides, strict=True):
-                x, y = sets[a], sets[b]
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                keep.append(bool(len(x) and len(y)) and s.den * both >= s.num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            near = _near(s, *s.sets(texts), *(np.array(side, dtype=np.int64) for side in sides))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(near))
 
     return run
 
 
-def _links_of(ids: list[int], labels: list[int], sets: list[np.ndarray], s: Similarity) -> list[tuple[int, int]]:
-    """Links that join the labels of a small group's sets: as many as it takes, of those that reach the threshold."""
-    m = len(ids)
-    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+def _spanning(ids: list[int], labels: list[int], near: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of the near pairs (i, j) as many as join the labels."""
+    root = {label: label for label in labels}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in near:
+        a, b = find(labels[i]), find(labels[j])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((ids[i], ids[j]))
+    return out
+
+
+def _near_in(values: np.ndarray, bounds: np.ndarray, s: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """All near pairs (i, j) of a bounded group's sets, by products of blocks of their incidence matrix."""
+    m, sizes = len(bounds) - 1, np.diff(bounds)
     owner = np.repeat(np.arange(m), sizes)
-    _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    _, token, often = np.unique(values, return_inverse=True, return_counts=True)
     shared = often[token] > 1
     owner, token = owner[shared], token[shared]
     order = np.argsort(token, kind="stable")
@@ -121,20 +145,34 @@ def _links_of(ids: list[int], labels: list[int], sets: list[np.ndarray], s: Simi
         both += block @ block.T
         at = end
     near = s.den * both.astype(np.int64) >= s.num * (sizes[:, None] + sizes[None, :] - both.astype(np.int64))
-    root = {label: label for label in labels}
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-        a, b = find(labels[i]), find(labels[j])
-        if a != b and sizes[i] and sizes[j]:
-            root[max(a, b)] = min(a, b)
-            out.append((ids[i], ids[j]))
+    near &= (sizes[:, None] > 0) & (sizes[None, :] > 0)
+    return np.nonzero(np.triu(near, 1))
+
+
+def _links_of(groups: list[list[tuple]], s: Similarity) -> list[tuple[int, int]]:
+    """Links that join the labels of each group's rows (group, id, label, text): as many as it takes, of those that reach the threshold."""
+    values, bounds = s.sets([row[3] for rows in groups for row in rows])
+    first = np.cumsum([0, *map(len, groups)])
+    out, a, b = [], [], []
+    small = [g for g, rows in enumerate(groups) if len(rows) <= PAIRED]
+    for g in small:
+        labels = [row[2] for row in groups[g]]
+        for i in range(len(labels)):
+            for j in range(i + 1, len(labels)):
+                if labels[i] != labels[j]:
+                    a.append(first[g] + i)
+                    b.append(first[g] + j)
+    near = _near(s, values, bounds, np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))
+    found: dict[int, list[tuple[int, int]]] = {}
+    for at in np.flatnonzero(near).tolist():
+        g = int(np.searchsorted(first, a[at], "right")) - 1
+        found.setdefault(g, []).append((int(a[at] - first[g]), int(b[at] - first[g])))
+    for g, rows in enumerate(groups):
+        if len(rows) > PAIRED:
+            low, high = bounds[first[g]], bounds[first[g + 1]]
+            found[g] = list(zip(*_near_in(values[low:high], bounds[first[g] : first[g + 1] + 1] - low, s), strict=True))
+    for g, pairs in found.items():
+        out += _spanning([row[1] for row in groups[g]], [row[2] for row in groups[g]], pairs)
     return out
 
 
@@ -142,21 +180,25 @@ def _joined(s: Similarity):
     """mapInArrow function: (group, id, label, text), sorted by group, to links (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows, links = None, [], []
+        groups, chars = [], 0
+        links: list[tuple[int, int]] = []
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("group", "id", "label", "text")), strict=True):
-                if row[0] != group:
-                    links += _links_of([r[1] for r in rows], [r[2] for r in rows], list(s.shingles([r[3] for r in rows])), s) if rows else []
-                    group, rows = row[0], []
-                rows.append(row)
-        links += _links_of([r[1] for r in rows], [r[2] for r in rows], list(s.shingles([r[3] for r in rows])), s) if rows else []
+                if not groups or row[0] != groups[-1][0][0]:
+                    if chars > GROUPED_CHARS:  # many small groups are joined at once
+                        links += _links_of(groups, s)
+                        groups, chars = [], 0
+                    groups.append([])
+                groups[-1].append(row)
+                chars += len(row[3])
+        links += _links_of(groups, s) if groups else []
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
 def _slots(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    return (shingles >> np.uint64(hashing.SHINGLE_BITS - SLOT_BITS)).astype(np.int64)
 
 
 def _counted(s: Similarity):
@@ -166,8 +208,8 @@ def _counted(s: Similarity):
         counts = np.zeros(1 << SLOT_BITS, dtype=np.int32)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                for found in s.shingles(batch.column("text").slice(start, 256).to_pylist()):
-                    counts[_slots(found)] += 1  # a set rarely has two shingles of a slot: then one counts
+                values, _ = s.sets(batch.column("text").slice(start, 256).to_pylist())
+                np.add.at(counts, _slots(values), 1)
         parts = counts.reshape(PARTS, -1)
         used = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["part", "counts"])
@@ -199,8 +241,9 @@ def _prefixes(s: Similarity, often):
                 part = batch.slice(start, 256)
                 ids, labels = part.column("id").to_pylist(), part.column("label").to_pylist()
                 columns: list[list[np.ndarray]] = [[], [], [], [], []]
-                for i, label, found in zip(ids, labels, s.shingles(part.column("text").to_pylist()), strict=True):
-                    n = len(found)
+                values, bounds = s.sets(part.column("text").to_pylist())
+                for i, label, low, high in zip(ids, labels, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    found, n = values[low:high], high - low
                     df = counts[_slots(found)]
                     first = np.lexsort((found, df))[: n - -(-n * s.num // s.den) + 1]
                     at = np.flatnonzero(df[first] > 1)
@@ -241,20 +284,19 @@ def near_components(nodes: DataFrame, n_bands: int, s: Similarity, texts_of: Cal
     nodes: id long (one row each), n (shingles), k0.. (band keys) and, with sketches, filled and s0..
     texts_of: from the wanted ids (one column ``id``) to rows id, text.
     """
-    release(nodes)
     bands = nodes.select("id", F.explode(F.array(*[f"k{i}" for i in range(n_bands)])).alias("band"))
     hubs = checkpointed(bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).where("size > 1").withColumnRenamed("band", "band_"))
-    release(nodes)
     shared = F.broadcast(hubs) if hubs.count() <= BROADCAST_KEYS else hubs
     members = checkpointed(bands.join(shared, F.col("band") == F.col("band_")).select("band", "id", "hub", "size"))
     texts = checkpointed(texts_of(members.select("id").distinct()))
-    facts = ["n", *(["filled"] if s.sketch_words else []), *[f"s{i}" for i in range(s.sketch_words)]]
-    told = checkpointed(nodes.select("id", *facts).join(members.select(F.col("id").alias("id_")).distinct(), F.col("id") == F.col("id_"), "left_semi"))
+    facts = [*(["n"] if s.sized else []), *(["filled", *[f"s{i}" for i in range(s.sketch_words)]] if s.sketch_words else [])]
+    told = checkpointed(nodes.select("id", *facts).join(members.select(F.col("id").alias("id_")).distinct(), F.col("id") == F.col("id_"), "left_semi")) if facts else None
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        for x in "ab":
-            pairs = pairs.join(told.select([F.col(c).alias(f"{x}{c}") for c in told.columns]), F.col(x) == F.col(f"{x}id")).drop(f"{x}id")
-        pairs = pairs.where((_by_size(s, "an", "bn") if s.sized else F.lit(True)) & _by_sketch(s, "a", "b")).select("a", "b")
+        if told is not None:  # sizes and sketches, where there are any, rule pairs out before texts meet
+            for x in "ab":
+                pairs = pairs.join(told.select([F.col(c).alias(f"{x}{c}") for c in told.columns]), F.col(x) == F.col(f"{x}id")).drop(f"{x}id")
+            pairs = pairs.where((_by_size(s, "an", "bn") if s.sized else F.lit(True)) & _by_sketch(s, "a", "b")).select("a", "b")
         for x in "ab":
             pairs = pairs.join(texts.select(F.col("id").alias(f"id_{x}"), F.col("text").alias(f"text_{x}")), F.col(x) == F.col(f"id_{x}")).drop(f"id_{x}")
         return checkpointed(map_arrow(pairs.select("a", "b", "text_a", "text_b"), _confirmed(s), "a long, b long"))
@@ -262,7 +304,6 @@ def near_components(nodes: DataFrame, n_bands: int, s: Similarity, texts_of: Cal
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
-    release(nodes)
     tried = checkpointed(ordered(members.where("id <> hub")))
     classes = checkpointed(connected_components(confirm(tried)))
 

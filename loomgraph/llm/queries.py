@@ -30,7 +30,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_lines(_table(spark, sf_dir, "documents"), min_chars=1)
+    return duplicate_lines(_table(spark, sf_dir, "documents"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_documents(_table(spark, sf_dir, "documents"), shingle_words=2)
+    return near_duplicate_documents(_table(spark, sf_dir, "documents"), shingle_words=2).drop("first")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
