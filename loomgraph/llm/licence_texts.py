@@ -1,5 +1,7 @@
 """Public licence texts and spellings that licence matching treats as equal."""
 
+from pathlib import Path
+
 #: (spelling, standard spelling), words in lower case without punctuation.
 EQUIVALENT = [
     ("acknowledgment", "acknowledgement"),
@@ -59,7 +61,7 @@ _BSD_HEAD = """Redistribution and use in source and binary forms, with or withou
 """
 _BSD_AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 
-#: (SPDX identifier, text).
+#: (SPDX identifier, text): whole licence texts; a notice that names a licence is none.
 KNOWN = [
     ("MIT", f"MIT License\n\nCopyright (c) <year> <copyright holders>\n\n{_MIT_GRANT}, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n{_MIT_AS_IS}\n"),
     ("MIT", f"Copyright (c) <year> <copyright holders>\n\n{_MIT_GRANT}, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n{_MIT_AS_IS}\n"),
@@ -70,10 +72,7 @@ KNOWN = [
     ("BSD-2-Clause", f"Copyright (c) <year>, <owner>\nAll rights reserved.\n\n{_BSD_HEAD}\n{_BSD_AS_IS}\n"),
     ("BSD-3-Clause", f"BSD 3-Clause License\n\nCopyright (c) <year>, <owner>\nAll rights reserved.\n\n{_BSD_HEAD}\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n{_BSD_AS_IS}\n"),
     ("BSD-3-Clause", f"Copyright (c) <year>, <owner>\nAll rights reserved.\n\n{_BSD_HEAD}\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n{_BSD_AS_IS}\n"),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.\n'),
     ("WTFPL", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.\n\nDO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nTERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION\n\n0. You just DO WHAT THE FUCK YOU WANT TO.\n"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
 ]
+# the longer ones lie beside this module as <SPDX identifier>.txt
+KNOWN += [(path.stem, path.read_text(encoding="utf-8")) for path in sorted(Path(__file__).with_name("licence_files").glob("*.txt"))]

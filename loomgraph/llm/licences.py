@@ -15,12 +15,18 @@ COPYRIGHT_LINE = r"^[^a-z0-9©\n]*((copyright|\(c\)|©)[ \t]*(©|\(c\)|[0-9]{4}|
 
 
 def canonical_text(text: Column) -> Column:
-    """Case, punctuation, copyright lines and equivalent spellings normalised; words have a space on either side."""
+    """Case, punctuation, copyright lines and equivalent spellings normalised; words have two spaces between them, one at either end.
+
+    Single words are looked up one by one, in one pass; the few spellings of several words are
+    replaced after that.
+    """
     lines = F.regexp_replace(F.lower(text), "(?md)" + COPYRIGHT_LINE, "")
-    words = F.regexp_replace(lines, "[^\\p{L}\\p{N}]+", "  ")
-    out = F.concat(F.lit(" "), F.trim(words), F.lit(" "))
-    for spelling, standard in EQUIVALENT:
-        out = F.replace(out, F.lit(f" {spelling.replace(' ', '  ')} "), F.lit(f" {standard.replace(' ', '  ')} "))
+    words = F.split(F.trim(F.regexp_replace(lines, "[^\\p{L}\\p{N}]+", " ")), " ")
+    standard = F.create_map(*[F.lit(x) for pair in EQUIVALENT if " " not in pair[0] for x in pair])
+    out = F.concat(F.lit(" "), F.array_join(F.transform(words, lambda w: F.coalesce(standard[w], w)), "  "), F.lit(" "))
+    for spelling, other in EQUIVALENT:
+        if " " in spelling:
+            out = F.replace(out, F.lit(f" {spelling.replace(' ', '  ')} "), F.lit(f" {other.replace(' ', '  ')} "))
     return out
 
 
@@ -31,7 +37,7 @@ def canonical_digest(text: Column) -> Column:
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
-    """(license_id, text) of the licences that come with the package."""
+    """(license_id, text) of the licences that come with the package: MIT, ISC, the BSD family, Apache, GPL, LGPL, MPL and others."""
     return spark.createDataFrame(KNOWN, "license_id string, text string")
 
 
@@ -41,7 +47,8 @@ def scan_licences(docs: DataFrame, known: DataFrame, n_known: int | None = None)
     docs: doc_id and text, known: license_id and text; further columns, whatever their names, are
     not read.  Returns one row for each row of docs: doc_id, digest, license_id (null: none known;
     ids of licences with the same canonical text are joined by ";").  Null and empty texts, and
-    texts without letters and digits, have a null digest and no licence.
+    texts without letters and digits, have a null digest and no licence.  Rows alike give rows alike,
+    with or without doc_id; texts are read whole, however long; an empty table gives no rows.
 
     Built-in functions only.  Up to BROADCAST_DIGESTS known digests are broadcast, so that texts
     that many documents share meet no single task; more are joined by a shuffle.
