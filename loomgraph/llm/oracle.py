@@ -24,8 +24,10 @@ def _licences() -> str:
 
 
 def _revisits() -> str:
-    bare = "regexp_replace(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#@]*@)?|#.*$', '', 'g')"
-    host = f"regexp_replace(lower(regexp_extract({bare}, '^[^/?]*')), '^(www[0-9]*|m)\\.|:(80|443)$|\\.$', '', 'g')"
+    plain = "regexp_replace(trim(url), '#.*$', '')"
+    bare = f"regexp_replace({plain}, '^([A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#@]*@)?', '')"
+    host = f"regexp_replace(regexp_replace(lower(regexp_extract({bare}, '^[^/?]*')), '^www[0-9]*\\.', ''), CASE WHEN starts_with(lower({plain}), 'https:') THEN ':443$' ELSE ':80$' END, '')"
+    host = f"regexp_replace({host}, '\\.$', '')"
     path = f"regexp_replace(regexp_extract({bare}, '^[^/?]*([^?]*)', 1), '/+$', '')"
     kept = f"list_sort(list_filter(string_split(regexp_extract({bare}, '\\?(.*)$', 1), '&'), lambda p: length(p) > 0 AND NOT regexp_full_match(lower(p), '({TRACKING})(=.*)?')))"
     canonical = f"concat({host}, {path}, CASE WHEN len({kept}) > 0 THEN concat('?', array_to_string({kept}, '&')) ELSE '' END)"

@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 #: Ranges of capture times; a URL's captures within one range are ordered in one task.
 RANGES = 64
 #: Query parameters that don't tell pages apart; headers that a 304 response may update.
-TRACKING = "utm_[a-z]+|ref|gclid|fbclid|msclkid|sessionid|phpsessid|jsessionid"
+TRACKING = "utm_[a-z]+|gclid|fbclid|msclkid|sessionid|phpsessid|jsessionid"
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 
 
 def canonical_url(url: Column) -> Column:
     """One form for the spellings of a URL.
 
-    Scheme, user, "www" or "m" label, default port, fragment, trailing slash and tracking
+    Scheme, user, "www" label, the scheme's default port, fragment, trailing slash and tracking
     parameters go; the host is lower-cased and the other parameters are sorted.  Null stays null.
     """
-    bare = F.regexp_replace(F.trim(url), "^([A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#@]*@)?|#.*$", "")
-    host = F.lower(F.regexp_extract(bare, "^[^/?]*", 0))
-    host = F.regexp_replace(host, "^(www[0-9]*|m)\\.|:(80|443)$|\\.$", "")
+    plain = F.regexp_replace(F.trim(url), "#.*$", "")
+    bare = F.regexp_replace(plain, "^([A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#@]*@)?", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^[^/?]*", 0)), "^www[0-9]*\\.", "")
+    # a port goes where it is that of the scheme; without a scheme it is taken for http
+    port = F.when(F.lower(plain).startswith("https:"), F.lit(":443")).otherwise(F.lit(":80"))
+    host = F.regexp_replace(F.when(F.endswith(host, port), F.substring(host, F.lit(1), F.length(host) - F.length(port))).otherwise(host), "\\.$", "")
     path = F.regexp_replace(F.regexp_extract(bare, "^[^/?]*([^?]*)", 1), "/+$", "")
     query = F.split(F.regexp_extract(bare, "\\?(.*)$", 1), "&", -1)
     kept = F.array_sort(F.filter(query, lambda p: (F.length(p) > 0) & ~F.lower(p).rlike(f"^({TRACKING})(=.*)?$")))
@@ -49,9 +52,12 @@ def resolve_revisits(records: DataFrame, *, ranges: int = RANGES) -> DataFrame:
     - status "resolved", with headers: the response's, updated by those of the revisit that a 304
       response may update.  In the other cases response headers are null.
 
-    As-of in two levels, so that no task orders all captures of one URL: the last response of each
-    range of capture times is carried over the (at most ``ranges``) ranges of its URL, and only
-    captures of one URL and range are ordered together.
+    Ties of response times go to the greater record_id; repeated rows are records of their own; an
+    empty table gives no rows; null headers are none.
+
+    As-of in two levels, so that no task orders all captures of one URL: only captures of one URL
+    and range of capture times are ordered together; a range with revisits also gets the last
+    response of the nearest earlier range that has one, found among the ranges' keys alone.
     """
     payload = ("record_id", "etag", "last_modified", "digest", "headers")
     rows = records.select(
@@ -63,9 +69,13 @@ def resolve_revisits(records: DataFrame, *, ranges: int = RANGES) -> DataFrame:
     rows = rows.withColumn("range", F.when(F.col("ts").isNull(), -1).otherwise(F.size(F.filter(cuts, lambda c: c <= F.col("ts")))))
     response = F.struct(*payload)
     ends = rows.where("full and canonical_url is not null and ts is not null").groupBy("canonical_url", "range").agg(F.max_by(response, F.struct("ts", "record_id")).alias("last"))
-    carried = ends.selectExpr("canonical_url as url_", "range as from_", "lead(range) over (partition by canonical_url order by range) as to_", "last as carried")
-    # a range's captures get the last response of the nearest earlier range that has one
-    carried = carried.selectExpr("url_", "explode(sequence(from_ + 1, coalesce(to_, %d))) as range_" % ranges, "carried").where(F.col("range_") <= ranges)
+    # (URL, range) pairs with responses or revisits, at most 2 * ranges + 2 rows of a URL: each gets the last response of the nearest earlier range
+    keys = ends.select("canonical_url", "range", F.lit(True).alias("has")).unionByName(rows.where("not full and canonical_url is not null and ts is not null").select("canonical_url", "range", F.lit(False).alias("has")).distinct())
+    before = keys.groupBy("canonical_url", "range").agg(F.max("has").alias("has"), F.min("has").alias("only"))
+    before = before.selectExpr("canonical_url as url_", "range as range_", "not only as asked", "max(case when has then range end) over (partition by canonical_url order by range rows between unbounded preceding and 1 preceding) as from_").where("asked and from_ is not null")
+    last = ends.select(F.col("canonical_url").alias("url__"), F.col("range").alias("range__"), F.col("last").alias("carried"))
+    # payloads travel to the ranges that ask for them, no others
+    carried = before.join(last, (F.col("url_") == F.col("url__")) & (F.col("from_") == F.col("range__"))).select("url_", "range_", "carried")
     inside = rows.withColumn("last", F.expr(f"last(case when full then struct({', '.join(payload)}) end, true) over (partition by canonical_url, range order by ts, full, record_id rows between unbounded preceding and current row)"))
     joined = inside.where("not full").join(carried, (F.col("canonical_url") == F.col("url_")) & (F.col("range") == F.col("range_")), "left")
     known = F.col("canonical_url").isNotNull() & F.col("ts").isNotNull()

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm.licence_texts import KNOWN
+from loomgraph.llm.licence_texts import EQUIVALENT, KNOWN
 from loomgraph.llm.licences import canonical_text, known_licences, scan_licences
 from loomgraph.llm.revisit import canonical_url, captures, resolve_revisits
 
@@ -29,6 +29,28 @@ def test_variants(spark):
     assert licence_of(spark, mit + " Except on Sundays.", "MIT", None, "", "!!! ...", "x" * 2_000_000) == [None] * 6
 
 
+def test_a_notice_is_no_licence(spark):
+    notices = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0."]
+    assert licence_of(spark, *notices, *[f"some text\n{n}" for n in notices]) == [None] * 8
+
+
+def test_the_common_licences_are_known(spark):
+    wanted = {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSL-1.0", "Unlicense", "CC0-1.0", "Zlib", "MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause"}
+    texts = dict(KNOWN)
+    assert wanted <= set(texts)
+    rewrapped = {i: re.sub(r"\s+", " ", texts[i]).replace("license", "licence") for i in ("Apache-2.0", "GPL-3.0", "MPL-2.0")}
+    assert licence_of(spark, *rewrapped.values()) == list(rewrapped)
+
+
+def test_words_are_looked_up_like_replaced_spellings(spark):
+    """One pass over the words gives what replacing one spelling after the other gives."""
+    words = " ".join(x for pair in EQUIVALENT for x in (pair[0], "between", pair[1], pair[0], pair[0])) + " per  cent, sub-licence"
+    want = " " + re.sub("[^a-z]+", "  ", words) + " "
+    for spelling, standard in EQUIVALENT:
+        want = want.replace(" " + spelling.replace(" ", "  ") + " ", " " + standard.replace(" ", "  ") + " ")
+    assert spark.range(1).select(canonical_text(F.lit(words))).first()[0] == want
+
+
 def test_copyright_line_inside_a_sentence_stays(spark):
     text = "THE AUTHORS OR\ncopyright holders be liable"
     assert "copyright  holders" in spark.range(1).select(canonical_text(F.lit(text))).first()[0]
@@ -42,7 +64,8 @@ def test_many_known(spark, monkeypatch):
 
 
 def test_scan_is_native_and_keeps_rows(spark):
-    docs = spark.createDataFrame([(None, "Released under the MIT licence."), (1, "released UNDER the MIT license"), (1, "released UNDER the MIT license")], "doc_id long, text string")
+    mit = KNOWN[0][1]
+    docs = spark.createDataFrame([(None, mit), (1, mit.upper()), (1, mit.upper())], "doc_id long, text string")
     found = scan_licences(docs, known_licences(spark))
     assert [r["license_id"] for r in found.collect()] == ["MIT"] * 3
     assert not re.search("Python|Arrow|Pandas", found._jdf.queryExecution().executedPlan().toString().replace("PythonRDD", ""))
@@ -53,8 +76,8 @@ def test_scan_is_native_and_keeps_rows(spark):
 @pytest.mark.parametrize(
     ("url", "want"),
     [
-        ("HTTP://www.Example.com:80/A/b/?utm_source=x&b=2&a=1#frag", "example.com/A/b?a=1&b=2"), ("https://m.example.com/", "example.com"), ("https://u:p@h.org:443/x", "h.org/x"),
-        ("//h.org/x?ref=1", "h.org/x"), ("h.org/x?q=#a", "h.org/x?q="), ("", ""), (None, None), ("http://h.org?b&a", "h.org?a&b"), ("http://h.org/x?Ref=1&reference=2", "h.org/x?reference=2"),
+        ("HTTP://www.Example.com:80/A/b/?utm_source=x&b=2&a=1#frag", "example.com/A/b?a=1&b=2"), ("https://m.example.com/", "m.example.com"), ("https://u:p@h.org:443/x", "h.org/x"), ("http://h.org:443/x", "h.org:443/x"), ("HTTPS://h.org:80", "h.org:80"),
+        ("//h.org/x?ref=1", "h.org/x?ref=1"), ("h.org:80/x?gclid=1", "h.org/x"), ("h.org/x?q=#a", "h.org/x?q="), ("", ""), (None, None), ("http://h.org?b&a", "h.org?a&b"), ("http://h.org/x?Utm_Id=1&reference=2", "h.org/x?reference=2"),
     ],
 )
 def test_canonical_url(spark, url, want):
