@@ -1,10 +1,11 @@
-"""Exact top-k inner products by MaxScore over sharded postings.
-
-The components of a vector are its terms.  Within a shard, term t of a query can add at most
-max(q_t * v_t).  Terms are ordered by this bound; the tail whose bounds sum to less than what a
-vector still needs is non-essential: the essential terms' postings are traversed for all vectors
-of a block, the others are probed one after the other, only for vectors that remain competitive.
-The shards' best rows are merged.
+"""Exact top-k inner products by MaxScore over postings.
+
+The components of a vector are its terms.  A part of the vectors has a postings list for each term:
+its rows ordered by their value, read from the top where the query's component is positive and
+from the bottom where it is negative.  Terms are ordered by their score bounds; the tail whose
+bounds sum to less than what a vector still needs is non-essential.  The essential postings are
+traversed, deeper and deeper, until no row that they haven't shown can compete; the other terms are
+probed one after the other, only for rows that remain competitive.  The parts' best rows are merged.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors of a shard, at most twice that many; queries of a block.  Both bound what a task holds.
-SHARD_ROWS, QUERY_ROWS = 32_768, 4_096
-#: Vectors scored at once, and the first ones that are scored in full to find a threshold.
-BLOCK, SEED = 2_048, 128
+from .cluster import checkpointed, map_arrow
+
+#: Vectors of a part, and bytes of the queries that travel to the tasks at once.  Both bound what a task holds.
+PART_ROWS, QUERY_BYTES = 32_768, 32 << 20
+#: Entries of each essential postings list that are traversed first, and how many times deeper it gets each time.
+FIRST, DEEPER = 64, 4
 
 
 def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
@@ -32,57 +35,90 @@ def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
     return out
 
 
-def best_of(query: np.ndarray, own: int, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, scores) of the k best rows of ``vectors`` (sorted by id) for one query, by MaxScore."""
-    most, least = vectors.max(axis=0), vectors.min(axis=0)
-    bounds = np.maximum(query * most, query * least)
+class Postings:
+    """For each term of a part's vectors its rows in descending order of value."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
+        order = np.argsort(ids, kind="stable")  # positions follow ids: ties go to the first
+        self.ids, self.vectors = ids[order], vectors[order]
+        self.lists = np.argsort(-self.vectors, axis=0, kind="stable").astype(np.int32).T.copy()
+        self.most, self.least = self.vectors.max(axis=0), self.vectors.min(axis=0)
+
+    def entries(self, term: int, up: bool, start: int, stop: int) -> np.ndarray:
+        """Rows start to stop of a list, read from the top (``up``) or from the bottom."""
+        rows, n = self.lists[term], len(self.ids)
+        return rows[start:stop] if up else rows[n - stop : n - start]
+
+    def value(self, term: int, up: bool, depth: int):
+        """The best value that the list still holds below ``depth``."""
+        return self.vectors[self.lists[term, depth if up else len(self.ids) - 1 - depth], term]
+
+
+def best_of(query: np.ndarray, own: int, postings: Postings, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, scores) of the k best rows for one query, by MaxScore; rows of the id ``own`` take no part."""
+    n, vectors = len(postings.ids), postings.vectors
+    bounds = np.maximum(query * postings.most, query * postings.least)
     order = np.argsort(-bounds, kind="stable")
     tail = np.concatenate([np.cumsum(bounds[order][::-1])[::-1], [0]])  # tail[i]: what the terms from the i-th can add
-    at, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=vectors.dtype)
-    start = 0
-    while start < len(vectors):
-        stop = start + (BLOCK if len(scores) >= k else SEED)
-        part = vectors[start:stop]
+    seen = np.zeros(n, dtype=bool)
+    seen[np.searchsorted(postings.ids, own) : np.searchsorted(postings.ids, own, "right")] = True
+    at, scores, depth = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=vectors.dtype), 0
+    while depth < n:
         threshold = scores[-1] if len(scores) >= k else None
-        alive = np.flatnonzero(ids[start:stop] != own)
-        if threshold is None:
-            sums = part[alive] @ query
-        else:
-            # essential: the terms without which no vector can reach the threshold
-            essential = max(1, int((tail <= threshold).argmax())) if (tail <= threshold).any() else len(order)
-            sums = part[:, order[:essential]][alive] @ query[order[:essential]]
-            for i in range(essential, len(order) + 1):
-                keep = sums + tail[i] > threshold  # an equal score loses to the smaller ids before it
+        # essential: the terms without which no row can reach the threshold
+        essential = len(order) if threshold is None else max(1, int((tail < threshold).argmax())) if (tail < threshold).any() else len(order)
+        terms, stop = order[:essential], min(n, max(FIRST, depth * DEEPER))
+        shown = np.zeros(n, dtype=bool)
+        for t in terms.tolist():
+            shown[postings.entries(t, query[t] >= 0, depth, stop)] = True
+        alive = np.flatnonzero(shown & ~seen)
+        seen |= shown
+        sums = vectors[np.ix_(alive, terms)] @ query[terms]
+        for i in range(essential, len(order) + 1):
+            if threshold is not None:
+                keep = sums + tail[i] >= threshold  # an equal score may be that of a smaller id
                 alive, sums = alive[keep], sums[keep]
-                if i == len(order) or not len(alive):
-                    break
-                sums = sums + part[alive, order[i]] * query[order[i]]
-        at, scores = np.concatenate([at, alive + start]), np.concatenate([scores, sums])
+            if i == len(order) or not len(alive):
+                break
+            sums = sums + vectors[alive, order[i]] * query[order[i]]
+        at, scores = np.concatenate([at, alive]), np.concatenate([scores, sums])
         best = np.lexsort((at, -scores))[:k]
-        at, scores = at[best], scores[best]
-        start = stop
+        at, scores, depth = at[best], scores[best], stop
+        if len(scores) >= k and depth < n:
+            left = sum(query[t] * postings.value(t, query[t] >= 0, depth) for t in terms.tolist()) + tail[essential]
+            if left < scores[-1]:  # rows that no essential list has shown stay below
+                break
     return at, scores
 
 
-def _search(k: int, width: int):
-    def run(_, queries: Iterator[pa.RecordBatch], vectors: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [(b.column("id"), _matrix(b.column("v"), width)) for b in vectors]
-        if not found:
-            return
-        ids = np.concatenate([np.asarray(i.to_numpy(zero_copy_only=False), dtype=np.int64) for i, _ in found])
-        matrix = np.concatenate([m for _, m in found])
-        order = np.argsort(ids, kind="stable")
-        ids, matrix = ids[order], matrix[order]
+def _search(k: int, width: int, sent):
+    """mapInArrow function: rows (id, v) to the k best of each part for each of the sent queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows, held = [], [], 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, PART_ROWS):
+                part = batch.slice(start, PART_ROWS)
+                if held + part.num_rows > PART_ROWS:
+                    yield from answers(np.concatenate(ids), np.concatenate(rows))
+                    ids, rows, held = [], [], 0
+                ids.append(part.column("id").to_numpy())
+                rows.append(_matrix(part.column("v"), width))
+                held += part.num_rows
+        if held:
+            yield from answers(np.concatenate(ids), np.concatenate(rows))
+
+    def answers(ids: np.ndarray, matrix: np.ndarray) -> Iterator[pa.RecordBatch]:
+        query_ids, asked = sent.value
+        # sums below 2 ** 53 are exact as doubles, which multiply faster
         largest = float(max(abs(int(matrix.max())), abs(int(matrix.min()))))
-        for batch in queries:
+        exact = np.float64 if width * largest * float(np.abs(asked).max()) < 2.0**53 else np.int64
+        postings = Postings(matrix.astype(exact), ids)
+        for start in range(0, len(asked), 1024):
             out: list[list[np.ndarray]] = [[], [], []]
-            asked = _matrix(batch.column("v"), width)
-            # sums below 2 ** 53 are exact as doubles, which multiply faster
-            exact = np.float64 if width * largest * float(np.abs(asked).max()) < 2.0**53 else np.int64
-            matrix, asked = matrix.astype(exact, copy=False), asked.astype(exact, copy=False)
-            for query_id, query in zip(batch.column("id").to_pylist(), asked, strict=True):
-                at, scores = best_of(query, query_id, matrix, ids, k)
-                for column, x in zip(out, (np.full(len(at), query_id, dtype=np.int64), ids[at], scores.astype(np.int64)), strict=True):
+            for own, query in zip(query_ids[start : start + 1024].tolist(), asked[start : start + 1024].astype(exact), strict=True):
+                at, scores = best_of(query, own, postings, k)
+                for column, x in zip(out, (np.full(len(at), own, dtype=np.int64), postings.ids[at], scores.astype(np.int64)), strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score"])
 
@@ -108,25 +144,28 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = 10) -> D
     id; fewer candidates give fewer rows.  Of a repeated query one copy is asked; repeated
     candidates are candidates of their own.  Scores must fit 64 bits.
 
-    Every block of queries meets every shard of vectors once: shards * blocks groups of bounded
-    size, each of which returns k rows for a query.
+    No vector is shuffled: every task answers a block of queries from the vectors that it reads, by
+    parts of at most PART_ROWS, each of which returns k rows for a query.  Queries go to the tasks
+    in blocks of at most QUERY_BYTES, which the driver holds one at a time; with several blocks, each
+    block's merged answers are written before the next.  No queries or no vectors give no rows.
     """
-    n, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    spark = vectors.sparkSession
     asked, wide = queries.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-asked // QUERY_ROWS))
-    width = max(1, width or 0, wide or 0)
-    spread = vectors.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    width = max(1, vectors.agg(F.max(F.size("v"))).first()[0] or 0, wide or 0)
+    blocks = max(1, -(-asked * 8 * width // QUERY_BYTES))
+    if blocks > 1:
+        vectors = checkpointed(vectors)
     once = queries.dropDuplicates(["id"])
-    sent = once.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-    found = sent.groupBy("shard", "block").cogroup(spread.groupBy("shard", "block")).applyInArrow(_cogrouped(_search(k, width)), "query_id long, vec_id long, score long")
-    ranked = found.selectExpr("query_id", "row_number() over (partition by query_id order by score desc, vec_id) as rank", "vec_id", "score")
-    return ranked.where(F.col("rank") <= k)
-
-
-def _cogrouped(search):
-    def run(key, queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-        tables = [x.combine_chunks().to_batches() if x.num_rows else [] for x in (queries, vectors)]
-        return pa.Table.from_batches(list(search(key, *tables)), schema=schema)
-
-    return run
+    out = None
+    for block in range(blocks):
+        rows = once.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select("id", "v").toArrow()
+        if not rows.num_rows and out is not None:
+            continue
+        sent = spark.sparkContext.broadcast((rows.column("id").to_numpy(), _matrix(rows.column("v").combine_chunks(), width)) if rows.num_rows else (np.zeros(0, dtype=np.int64), np.zeros((0, width), dtype=np.int64)))
+        found = map_arrow(vectors.select("id", "v"), _search(k, width, sent), "query_id long, vec_id long, score long") if rows.num_rows else spark.createDataFrame([], "query_id long, vec_id long, score long")
+        ranked = found.selectExpr("query_id", "row_number() over (partition by query_id order by score desc, vec_id) as rank", "vec_id", "score").where(F.col("rank") <= k)
+        if blocks > 1:
+            ranked = checkpointed(ranked)
+            sent.unpersist()
+        out = ranked if out is None else out.unionByName(ranked)
+    return out
