@@ -17,14 +17,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import free_name, map_arrow
+from .cluster import checkpointed, kept_rows, map_arrow
 
-#: Most words that a worker remembers, and words that are scored together.
-CACHE_WORDS, AT_ONCE = 200_000, 8_192
+#: Words whose scores a worker remembers, the first ones that it meets; distinct words that it counts before it passes the counts on; words, and texts, that are scored together.
+CACHE_WORDS, COUNTED_WORDS, AT_ONCE, TEXTS = 500_000, 200_000, 8_192, 2_048
 #: Probability of a character that is no piece; counts that every piece has besides its own.
 UNKNOWN, SMOOTHING = 1e-7, 0.05
-#: About one over the usual probability of a character; letters of a run that is learned at once (longer runs are learned in parts).
-LEVEL, RUN = 100.0, 100
+#: Letters of a run whose spans are kept; those of a longer one are found again where they are read.
+KEPT = 4_096
+#: Rows of each language, about, on which expectation-maximisation runs to its fixed point before all rows are counted; its most rounds, and the change of the mean log-probability of a word that ends it.
+SAMPLE_ROWS, ROUNDS, SETTLED = 200, 30, 1e-4
+#: A text whose mean log-probability of a character is this much below its language's is in none of the learned languages.
+MARGIN = 4.0
+#: Languages that are learned, those with the most texts; counts are summed as whole multiples of 1 / UNITS, so that their order is all the same.
+LANGUAGES, UNITS = 256, 1 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -51,28 +57,40 @@ class Pieces:
             self.by_length[length] = (np.array([h for h, _ in found], dtype=np.uint64), np.array([i for _, i in found], dtype=np.int64))
         self.longest = max(self.by_length)
 
-    def spans(self, words: list[str]) -> dict[tuple[int, int], np.ndarray]:
+    def spans(self, words: list[str]) -> dict[tuple[int, int], np.ndarray] | _Spans:
         """(start, end) to the piece there in each of the words, all of one length; ``size``: none."""
+        found = _Spans(self, words)
         n = len(words[0]) + 1
-        codes = np.frombuffer((_MARK + _MARK.join(words)).encode("utf-32-le"), dtype=np.uint32).reshape(len(words), n).astype(np.uint64)
-        out = {}
+        if n > KEPT:
+            return found
+        keys = ((start, start + length) for length in self.by_length if length <= n for start in range(n - length + 1))
+        return {key: ids for key in keys if (ids := found.get(key)) is not None}
+
+
+class _Spans:
+    """The pieces of words of one length by (start, end), from running hashes of their characters."""
+
+    def __init__(self, pieces: Pieces, words: list[str]):
+        self.pieces, n = pieces, len(words[0]) + 1
+        codes = np.frombuffer((_MARK + _MARK.join(words)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(words), n).astype(np.uint64)
+        self.sums = np.zeros((n + 1, len(words)), dtype=np.uint64)
+        self.powers = [_U(1)]
         with np.errstate(over="ignore"):
-            sums = np.zeros((len(words), n + 1), dtype=np.uint64)
             for j in range(n):
-                sums[:, j + 1] = sums[:, j] * _BASE + codes[:, j] + _U(1)
-            power = _U(1)
-            for length in range(1, min(n, self.longest) + 1):
-                power = power * _BASE
-                if length not in self.by_length:
-                    continue
-                hashes, ids = self.by_length[length]
-                for start in range(n - length + 1):
-                    h = sums[:, start + length] - sums[:, start] * power
-                    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                    hit = hashes[at] == h
-                    if length == 1 or hit.any():
-                        out[start, start + length] = np.where(hit, ids[at], self.size)
-        return out
+                self.sums[j + 1] = self.sums[j] * _BASE + codes[:, j] + _U(1)
+            for _ in range(pieces.longest):
+                self.powers.append(self.powers[-1] * _BASE)
+
+    def get(self, key: tuple[int, int]) -> np.ndarray | None:
+        start, end = key
+        if end - start not in self.pieces.by_length:
+            return None
+        hashes, ids = self.pieces.by_length[end - start]
+        with np.errstate(over="ignore"):
+            h = self.sums[end] - self.sums[start] * self.powers[end - start]
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        hit = hashes[at] == h
+        return np.where(hit, ids[at], self.pieces.size) if end - start == 1 or hit.any() else None
 
 
 def _hash(text: str) -> int:
@@ -92,14 +110,14 @@ def _by_length(words: list[str]) -> Iterator[tuple[int, list[int]]]:
             yield length, found[start : start + AT_ONCE]
 
 
-def _forward(spans: dict, n: int, table: np.ndarray, rows: int, longest: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Sums over all segmentations of every prefix, and the logarithms they are scaled by."""
+def _forward(spans, n: int, table: np.ndarray, rows: int, longest: int, *, back: bool = False, keep: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Sums over all segmentations of every prefix (``back``: suffix, by its length), and the logarithms they are scaled by."""
     languages = table.shape[1]
     alpha, scale = [np.ones((rows, languages))], [np.zeros((rows, languages))]
     for end in range(1, n + 1):
         total, base = np.zeros((rows, languages)), scale[end - 1]
         for start in range(max(0, end - longest), end):
-            ids = spans.get((start, end))
+            ids = spans.get((n - end, n - start) if back else (start, end))
             if ids is not None:
                 p = table[ids]
                 if end - start == 1:
@@ -112,7 +130,7 @@ def _forward(spans: dict, n: int, table: np.ndarray, rows: int, longest: int) ->
             total = np.where(low, total * 1e100, total)
         alpha.append(total)
         scale.append(base)
-        if end > longest:  # what is too far back is never read again
+        if end > longest and not keep:  # what is too far back is never read again
             alpha[end - longest - 1] = scale[end - longest - 1] = None
     return alpha, scale
 
@@ -127,30 +145,28 @@ def word_scores(words: list[str], pieces: Pieces, table: np.ndarray) -> np.ndarr
     return out
 
 
-def expected_counts(words: list[str], weights: np.ndarray, pieces: Pieces, first: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece under the piece probabilities ``first``, weighted by columns of ``weights``."""
-    counts = np.zeros((pieces.size + 1, weights.shape[1]))
-    table = np.append(first, 0.0)
+def expected_counts(words: list[str], weights: np.ndarray, pieces: Pieces, first: np.ndarray) -> tuple[np.ndarray, float]:
+    """(expected uses of each piece in weighted words under the probabilities ``first``, weighted log-probability of the words)."""
+    counts = np.zeros(pieces.size + 1)
+    table, logs = np.append(first, 0.0)[:, None], 0.0
     for length, at in _by_length(words):
         spans = pieces.spans([words[i] for i in at])
-        n = length + 1
-        weight = weights[at]
-        p = {}
-        for (start, end), ids in spans.items():
-            x = table[ids]
-            # a factor for each character changes no share, and keeps the products near 1
-            p[start, end] = (np.where(ids == pieces.size, UNKNOWN, x) if end - start == 1 else x) * LEVEL ** (end - start)
-        alpha, beta = [np.ones(len(at))], {n: np.ones(len(at))}
+        n, weight = length + 1, weights[at]
+        alpha, up = _forward(spans, n, table, len(at), pieces.longest, keep=True)
+        beta, down = _forward(spans, n, table, len(at), pieces.longest, back=True, keep=True)
+        whole, top = np.maximum(alpha[n][:, 0], 1e-300), up[n][:, 0]
+        logs += float(((np.log(whole) + top) * weight).sum())
         for end in range(1, n + 1):
-            alpha.append(sum((alpha[s] * p[s, end] for s in range(max(0, end - pieces.longest), end) if (s, end) in p), np.zeros(len(at))))
-        for start in range(n - 1, -1, -1):
-            beta[start] = sum((beta[e] * p[start, e] for e in range(start + 1, min(n, start + pieces.longest) + 1) if (start, e) in p), np.zeros(len(at)))
-        whole = np.maximum(alpha[n], 1e-300)
-        for (start, end), ids in spans.items():
-            share = alpha[start] * p[start, end] * beta[end] / whole
-            for j in range(weights.shape[1]):
-                counts[:, j] += np.bincount(ids, share * weight[:, j], len(counts))
-    return counts[:-1]
+            for start in range(max(0, end - pieces.longest), end):
+                ids = spans.get((start, end))
+                if ids is None:
+                    continue
+                p = table[ids, 0]
+                if end - start == 1:
+                    p = np.where(ids == pieces.size, UNKNOWN, p)
+                share = alpha[start][:, 0] * p * beta[n - end][:, 0] / whole * np.exp(np.clip(up[start][:, 0] + down[n - end][:, 0] - top, -600, 600))
+                counts += np.bincount(ids, share * weight, len(counts))
+    return counts[:-1], logs
 
 
 _pieces: dict[str, Pieces] = {}
@@ -163,8 +179,11 @@ def pieces_of(path: str) -> Pieces:
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _WORD.findall(text.lower())
+    """Runs of letters, lower-cased; signs that are numerals in words, as ½ or Ⅷ, are no letters."""
+    words = _WORD.findall(text.lower())
+    if "".join(words).isalpha():
+        return words
+    return [part for w in words for part in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def _first(size: int) -> np.ndarray:
@@ -173,86 +192,169 @@ def _first(size: int) -> np.ndarray:
     return p / p.sum()
 
 
-def _learn(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(path)
-        seen: dict[str, Counter] = {}
-        totals: dict[str, np.ndarray] = {}
-        texts: Counter = Counter()
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each word occurs in texts of each language; the empty word counts the texts."""
+    seen: dict[str, Counter] = {}
+
+    def passed() -> pa.RecordBatch:
+        rows = [(lang, word, n) for lang, words in seen.items() for word, n in words.items()]
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
+
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            words = seen.setdefault(lang, Counter())
+            words.update(words_of(text))
+            words[""] += 1
+        if sum(map(len, seen.values())) > COUNTED_WORDS:
+            yield passed()
+    yield passed()
+
 
-        def flush() -> None:
-            for lang, words in seen.items():
-                got = expected_counts(list(words), np.array(list(words.values()), dtype=float)[:, None], pieces, _first(pieces.size))[:, 0]
-                totals[lang] = totals.get(lang, 0) + got
-            seen.clear()
+def _expect(path: str, sent):
+    """mapInArrow function: (lang, word, n) to the expected uses of pieces, as whole multiples of 1 / UNITS."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, starts = pieces_of(path), sent.value
+        totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                texts[lang] += 1
-                seen.setdefault(lang, Counter()).update(part for w in words_of(text) for part in ([w] if len(w) <= RUN else [w[i : i + RUN] for i in range(0, len(w), RUN)]))
-                if sum(map(len, seen.values())) > CACHE_WORDS:
-                    flush()
-        flush()
+            langs = batch.column("lang").to_pylist()
+            words, n = np.array(batch.column("word").to_pylist(), dtype=object), batch.column("n").to_numpy(zero_copy_only=False).astype(float)
+            groups: dict[str, list[int]] = {}
+            for i, lang in enumerate(langs):
+                groups.setdefault(lang, []).append(i)
+            for lang, at in groups.items():
+                got, _ = expected_counts(words[at].tolist(), n[at], pieces, starts[lang])
+                totals[lang] = totals.get(lang, 0) + np.rint(got * UNITS).astype(np.int64)
         for lang, counts in totals.items():
             used = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(used) + 1), pa.string()), pa.array([*used, -1], pa.int32()), pa.array([*counts[used], texts[lang]], pa.float64())], names=["lang", "piece", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())], names=["lang", "piece", "n"])
 
     return run
 
 
-def learned(docs: DataFrame, path: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, piece probabilities with a zero row at the end, log shares of the texts).
+def settled(words: list[str], n: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """Piece probabilities of weighted words, by expectation-maximisation from Zipf's law to its fixed point."""
+    p, before = _first(pieces.size), -math.inf
+    for _ in range(ROUNDS if words else 0):
+        counts, logs = expected_counts(words, n, pieces, p)
+        p = (counts + SMOOTHING) / (counts + SMOOTHING).sum()
+        if logs - before < SETTLED * n.sum():
+            break
+        before = logs
+    return p
+
 
-    docs: text and lang, neither null.  Expected piece counts of every task are summed; the driver
-    gets at most one number for each language and piece of the vocabulary.
+def learned(docs: DataFrame, path: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(languages, piece probabilities with a zero row at the end, log shares of the texts, mean log-probability of a character).
+
+    docs: doc_id, text and lang, none null.  Words are counted over all rows.  Expectation-
+    maximisation runs to its fixed point on about SAMPLE_ROWS rows of each language; with these
+    probabilities the pieces of all words are expected and counted once more.  The driver gets the
+    words of the sample and at most one number for each of LANGUAGES languages and each piece.
     """
-    summed = map_arrow(docs.select("lang", "text"), _learn(path), "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
-    size = pieces_of(path).size
-    rows = summed.collect()
-    languages = sorted({r["lang"] for r in rows})
+    spark = docs.sparkSession
+    counted = checkpointed(map_arrow(docs.select("lang", "text"), _count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    texts = {r["lang"]: r["n"] for r in counted.where("word = ''").orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    languages = sorted(texts)
+    pieces = pieces_of(path)
+    if not languages:
+        return [], np.zeros((pieces.size + 1, 0)), np.zeros(0), np.zeros(0)
+    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, SAMPLE_ROWS / texts[lang]))])
+    drawn = docs.where(F.col("lang").isin(languages)).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    sample: dict[str, dict[str, int]] = {lang: {} for lang in languages}
+    for r in map_arrow(drawn.select("lang", "text"), _count, "lang string, word string, n long").where("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
+        sample[r["lang"]][r["word"]] = r["n"]
+    starts = {lang: settled(sorted(words), np.array([words[w] for w in sorted(words)], dtype=float), pieces) for lang, words in sample.items()}
+    sent = spark.sparkContext.broadcast(starts)
+    whole = counted.where((F.col("word") != "") & F.col("lang").isin(languages))
+    expected = map_arrow(whole, _expect(path, sent), "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
     column = {lang: j for j, lang in enumerate(languages)}
-    counts, texts = np.full((size + 1, len(languages)), SMOOTHING), np.ones(len(languages))
-    for r in rows:
-        if r["piece"] < 0:
-            texts[column[r["lang"]]] = r["n"]
-        else:
-            counts[r["piece"], column[r["lang"]]] += r["n"]
-    counts[size] = 0
-    return languages, counts / counts.sum(axis=0, keepdims=True) if languages else counts, np.log(texts / texts.sum()) if languages else texts
+    counts = np.full((pieces.size + 1, len(languages)), SMOOTHING)
+    for r in expected.collect():
+        counts[r["piece"], column[r["lang"]]] += r["n"] / UNITS
+    counts[pieces.size] = 0
+    shares = np.array([texts[lang] for lang in languages], dtype=float)
+    table, usual = counts / counts.sum(axis=0, keepdims=True), np.zeros(len(languages))
+    for j, lang in enumerate(languages):
+        words = sorted(sample[lang])
+        n = np.array([sample[lang][w] for w in words], dtype=float)
+        usual[j] = (word_scores(words, pieces, table[:, j : j + 1])[:, 0] * n).sum() / (n * [len(w) + 1 for w in words]).sum() if words else -math.inf
+    return languages, table, np.log(shares / shares.sum()), usual
+
+
+class Predictor:
+    """Languages of texts by a learned model; scores of words are remembered."""
+
+    def __init__(self, path: str, model: tuple[list[str], np.ndarray, np.ndarray, np.ndarray]):
+        self.languages, self.table, self.prior, self.usual = model
+        self.pieces = pieces_of(path)
+        self.known: dict[str, int] = {}
+        self.scores = np.zeros((1 << 16, len(self.languages)))
+
+    def _rows(self, texts: list[list[str]]) -> tuple[dict[str, int], np.ndarray]:
+        """(row of each word, scores): words beyond CACHE_WORDS serve this call alone."""
+        new = list({w for words in texts for w in words if w not in self.known})
+        if not new:
+            return self.known, self.scores
+        found, n = word_scores(new, self.pieces, self.table), len(self.known)
+        if n + len(new) <= CACHE_WORDS:
+            while n + len(new) > len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.scores[n : n + len(new)] = found
+            self.known.update(zip(new, range(n, n + len(new)), strict=True))
+            return self.known, self.scores
+        here = {w: i for i, w in enumerate(new)}
+        old = list({w for words in texts for w in words if w not in here})
+        return here | {w: len(new) + i for i, w in enumerate(old)}, np.concatenate([found, self.scores[[self.known[w] for w in old]]])
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """(language, posterior, how far a character's mean log-probability is from the language's usual one) of each text; (und, 0, 0) for one without letters or where nothing was learned."""
+        split = [words_of(t) if t else [] for t in texts]
+        if not self.languages:
+            return ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+        row, scores = self._rows(split)
+        names, values, levels = [], [], []
+        for words in split:
+            if not words:
+                names.append("und")
+                values.append(0.0)
+                levels.append(0.0)
+                continue
+            total = scores[np.fromiter(map(row.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0) + self.prior
+            best = int(total.argmax())
+            names.append(self.languages[best])
+            values.append(float(1.0 / np.exp(np.minimum(total - total[best], 0.0)).sum()))
+            levels.append(float((total[best] - self.prior[best]) / (len(words) + sum(map(len, words))) - self.usual[best]))
+        return names, values, levels
 
 
 def _predict(path: str, model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, table, prior = model.value
-        pieces = pieces_of(path)
-        known: dict[str, int] = {}
-        scores = np.zeros((0, len(languages)))
+        predict = Predictor(path, model.value)
         for batch in batches:
             names: list[str] = []
             values: list[float] = []
-            for begin in range(0, batch.num_rows, 512):
-                texts = [words_of(t) if t else [] for t in batch.column("text").slice(begin, 512).to_pylist()]
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                    scores = np.zeros((0, len(languages)))
-                new = list({w for words in texts for w in words if w not in known}) if languages else []
-                if new:
-                    known.update(zip(new, range(len(scores), len(scores) + len(new)), strict=True))
-                    scores = np.concatenate([scores, word_scores(new, pieces, table)])
-                for words in texts:
-                    if not words or not languages:
-                        names.append("und")
-                        values.append(0.0)
-                        continue
-                    total = scores[np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0) + prior
-                    best = int(total.argmax())
-                    names.append(languages[best])
-                    values.append(float(1.0 / np.exp(np.minimum(total - total[best], 0.0)).sum()))
+            for begin in range(0, batch.num_rows, TEXTS):
+                found = predict(batch.column("text").slice(begin, TEXTS).to_pylist())
+                names += found[0]
+                values += found[1]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(values, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
 
+def _model(docs: DataFrame, vocabulary_path: str):
+    """The broadcast model learned from rows with text and lang whose crc32 of the doc_id isn't 1 modulo 3."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    taught = rows.where("doc_id is not null and text is not null and lang is not null").where(~_held(F.col("doc_id")))
+    return docs.sparkSession.sparkContext.broadcast(learned(taught, vocabulary_path))
+
+
+def _held(doc_id: F.Column) -> F.Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
 def identify_languages(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """The language of every text, learned from the other texts.
 
@@ -261,18 +363,31 @@ def identify_languages(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     row for each row of docs: doc_id, held_out (that remainder is 1; false for a null doc_id),
     lang_pred, score (posterior probability).  A text that is null or holds no letter, and every
     text if nothing could be learned, is ``und`` with score 0; ties go to the first language in
-    order.  lang is never read for a prediction.
+    order.  Rows alike are judged alike; a very long text or word is scored whole; an empty table
+    gives no rows.  lang is never read for a prediction.
+    """
+    sent = _model(docs, vocabulary_path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return map_arrow(rows, _predict(vocabulary_path, sent), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def in_known_language(docs: DataFrame, vocabulary_path: str, *, least: float = 0.5, margin: float = MARGIN) -> DataFrame:
+    """``docs`` (columns and all) less the rows whose text is ``und``, has a score below ``least`` or isn't like its language.
+
+    The score compares the learned languages only, and nears 1 for long texts in any other; so a
+    text goes too whose mean log-probability of a character is ``margin`` below the usual one.
+    Each row is judged by its own text where it is read; doc_ids, null or repeated, don't matter.
     """
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), held.alias("held_out"))
-    model = learned(rows.where("not held_out and doc_id is not null and text is not null and lang is not null"), vocabulary_path)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    return map_arrow(rows.select("doc_id", "held_out", "text"), _predict(vocabulary_path, sent), "doc_id long, held_out boolean, lang_pred string, score double")
-
-
-def in_known_language(docs: DataFrame, vocabulary_path: str, *, least: float = 0.5) -> DataFrame:
-    """``docs`` (columns and all) less the rows whose language is ``und`` or has a score below ``least``; null doc_ids pass."""
-    found = identify_languages(docs.where("doc_id is not null"), vocabulary_path)
-    name = free_name(docs, "bad")
-    bad = found.where((F.col("lang_pred") == "und") | (F.col("score") < least)).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    sent = _model(docs, vocabulary_path)
+    held: list[Predictor] = []
+
+    def keep(batch: pa.RecordBatch) -> pa.Array:
+        if not held:
+            held.append(Predictor(vocabulary_path, sent.value))
+        good: list[bool] = []
+        for begin in range(0, batch.num_rows, TEXTS):
+            found = held[0](batch.column("text").slice(begin, TEXTS).to_pylist())
+            good += [name != "und" and value >= least and level >= -margin for name, value, level in zip(*found, strict=True)]
+        return pa.array(good, pa.bool_())
+
+    return kept_rows(docs, keep)

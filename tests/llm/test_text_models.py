@@ -128,11 +128,42 @@ def test_forward_sums_all_segmentations():
 
 def test_expected_counts_cover_each_character():
     pieces = langid.pieces_of(VOCABULARY)
-    counts = langid.expected_counts(["nation", "the", "x" * 100], np.array([[2.0], [1.0], [1.0]]), pieces, langid._first(pieces.size))
+    words, n = ["nation", "the", "x" * 100, "漢" * 400], np.array([2.0, 1.0, 1.0, 1.0])
+    counts, logs = langid.expected_counts(words, n, pieces, langid._first(pieces.size))
     lengths = np.zeros(pieces.size)
-    for n, (_, ids) in pieces.by_length.items():
-        lengths[ids] = n
-    assert math.isclose(counts[:, 0] @ lengths, 2 * 7 + 4 + 101, rel_tol=1e-6)
+    for length, (_, ids) in pieces.by_length.items():
+        lengths[ids] = length
+    letters = 2 * 7 + 4 + 101
+    assert counts @ lengths >= letters * (1 - 1e-6)
+    table = np.append(langid._first(pieces.size), 0.0)[:, None]
+    assert math.isclose(logs, float(langid.word_scores(words, pieces, table)[:, 0] @ n), rel_tol=1e-9)
+
+
+def test_long_runs_are_summed_like_short_ones(monkeypatch):
+    pieces = langid.pieces_of(VOCABULARY)
+    words, n = ["abcde" * 30, "the"], np.array([1.0, 1.0])
+    table = langid._first(pieces.size)
+    whole = langid.expected_counts(words, n, pieces, table)
+    monkeypatch.setattr(langid, "KEPT", 3)  # as beyond it: spans are found again where they are read
+    again = langid.expected_counts(words, n, pieces, table)
+    assert np.allclose(whole[0], again[0])
+    assert whole[1] == again[1]
+
+
+def test_learning_ends_at_a_fixed_point():
+    pieces = langid.pieces_of(VOCABULARY)
+    words = sorted(set(" ".join(SAMPLES.values()).split()))
+    n = np.ones(len(words))
+    p = langid.settled(words, n, pieces)
+    counts, logs = langid.expected_counts(words, n, pieces, p)
+    assert logs > langid.expected_counts(words, n, pieces, langid._first(pieces.size))[1]
+    after = langid.expected_counts(words, n, pieces, (counts + langid.SMOOTHING) / (counts + langid.SMOOTHING).sum())[1]
+    assert abs(after - logs) <= 2 * langid.SETTLED * len(words)
+
+
+def test_numerals_are_no_letters():
+    assert langid.words_of("½ ² ① Ⅷ 12 ٣") == []
+    assert langid.words_of("x² aⅧb été") == ["x", "a", "b", "été"]
 
 
 SAMPLES = {"en": "the house and the people were in this town with that river ", "fr": "la maison et les gens étaient dans cette ville avec le fleuve ", "de": "das haus und die leute waren in dieser stadt mit dem fluss "}
@@ -150,7 +181,7 @@ def language_rows():
 
 def test_languages(spark):
     rows = language_rows()
-    odd = [(1000, None, "en"), (1001, "", None), (1002, "123 !!", "en"), (1003, "漢字 кириллица", None), (1004, "the " * 50_000, None), (None, "das haus", "de"), (7, rows[7][1], rows[7][2])]
+    odd = [(1000, None, "en"), (1001, "", None), (1002, "123 !! ½ ² ①", "en"), (1003, "漢字 кириллица", None), (1004, "the " * 50_000, None), (None, "das haus", "de"), (7, rows[7][1], rows[7][2])]
     docs = spark.createDataFrame([(i, t, x, 1, 2) for i, t, x in rows + odd], "doc_id long, text string, lang string, score int, bad int")
     got = identify_languages(docs, VOCABULARY).collect()
     assert len(got) == len(rows) + len(odd)
@@ -169,10 +200,17 @@ def test_languages(spark):
             assert r["lang_pred"] in SAMPLES
     kept = in_known_language(docs, VOCABULARY)
     assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} >= set(truth) | {None, 1004}
+    assert {r["doc_id"] for r in kept.collect()} == set(truth) | {None, 1004}  # foreign letters go too
     assert not {1000, 1001, 1002} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_rows_are_judged_by_their_own_text(spark):
+    """Rows of one doc_id, or of none, with other texts; gibberish and a foreign text."""
+    rows = language_rows() + [(3, "12 34", "en"), (3, "the house", "en"), (None, "...", "en"), (None, "the town", "en"), (2000, "xqzjk qqxzv kkwjx zzxqj vvkqz", None), (2001, "кириллица и другие буквы", None)]
+    kept = in_known_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), VOCABULARY)
+    assert sorted(r["text"] for r in kept.where("doc_id = 3 or doc_id is null or doc_id >= 2000").collect()) == sorted([rows[3][1], "the house", "the town"])
+
+
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "the house", None), (2, None, "en")], "doc_id long, text string, lang string")
     assert [r["lang_pred"] for r in identify_languages(docs, VOCABULARY).collect()] == ["und", "und"]
@@ -212,6 +250,9 @@ def test_contaminated_documents_go(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     kept = without_contaminated(docs, items)
     assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} == {4, 5, 6, 7, 11, None}
+    assert {r["doc_id"] for r in kept.collect()} == {4, 5, 6, 7, 11}
+    assert without_contaminated(docs, items, at_once=2).count() == kept.count()
+    repeated = spark.createDataFrame([(1, DOCS[0][1]), (1, "a clean text of the same doc_id"), (None, "clean"), (None, "short item here")], "doc_id long, text string")
+    assert sorted(r["text"] for r in without_contaminated(repeated, items).collect()) == ["a clean text of the same doc_id", "clean"]
     assert contaminated_words(docs, items.limit(0)).where("size(spans) > 0").count() == 0
     assert contaminated_words(docs.limit(0), items).count() == 0
