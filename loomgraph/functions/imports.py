@@ -76,10 +76,18 @@ def preprocess(language: Column, name: Column, source: Column, file: Column, mod
     return F.when(classify_package(language, name, modules) != "system", F.struct(normalise(n).alias("name"), normalise(s).alias("source")))
 
 
+def dotted(path: Column) -> Column:
+    return F.translate(path, "/\\", "..")
+
+
+def named_in(path: Column, name: Column, source: Column) -> Column:
+    """A dotted path contains the name or the source of an import."""
+    return F.contains(path, name) | F.contains(path, source)
+
+
 def in_package(path: Column, name: Column, source: Column) -> Column:
     """The file may be what the import means: its dotted path contains the name or the source."""
-    dotted = F.translate(path, "/\\", "..")
-    return F.contains(dotted, name) | F.contains(dotted, source)
+    return named_in(dotted(path), name, source)
 
 
 def visible(path: Column, file: Column, imports: Column) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .imports import in_package
-from .paths import same_parent, stem
+from .imports import dotted, named_in
+from .paths import parent_dir, stem
 
 
 def bigrams(text: Column) -> Column:
@@ -15,18 +15,32 @@ def bigrams(text: Column) -> Column:
     return F.when(n >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(text, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
 
 
-def dice(a: Column, b: Column) -> Column:
-    """Dice coefficient of the bigram sets; equal texts without bigrams give 1."""
-    x, y = bigrams(a), bigrams(b)
+def _dice(a: Column, x: Column, b: Column, y: Column) -> Column:
     total = F.size(x) + F.size(y)
     return F.when(total > 0, 2 * F.size(F.array_intersect(x, y)) / total).otherwise((a == b).cast("double"))
 
 
+def dice(a: Column, b: Column) -> Column:
+    """Dice coefficient of the bigram sets; equal texts without bigrams give 1."""
+    return _dice(a, bigrams(a), b, bigrams(b))
+
+
+def file_facts(path: Column) -> Column:
+    """What ``match_facts`` takes from a file: its folder, dotted path, name without ending, and the name's bigrams."""
+    return F.struct(parent_dir(path).alias("folder"), dotted(path).alias("dotted"), stem(path).alias("stem"), bigrams(stem(path)).alias("grams"))
+
+
+def match_facts(caller: Column, of_caller: Column, callee: Column, of_callee: Column, imports: Column) -> Column:
+    """``match_score`` of two files by their ``file_facts``."""
+    imported = F.exists(imports, lambda i: named_in(of_callee["dotted"], i["name"], i["source"]))
+    names = F.lit(15) + F.floor(_dice(of_callee["stem"], of_callee["grams"], of_caller["stem"], of_caller["grams"]) * 10).cast("int") + F.lit(1)
+    same_folder = of_caller["folder"] == of_callee["folder"]
+    return F.when(caller == callee, 100).when(same_folder, 75).when(F.coalesce(imported, F.lit(False)), 50).otherwise(names)
+
+
 def match_score(caller: Column, callee: Column, imports: Column) -> Column:
     """100: one file; 75: one folder; 50: the caller imports the callee's file; else 16 to 26 by file names.
 
     The last case has 15 for the symbol's name and 1 for the folder, which are the same for every pair.
     """
-    imported = F.exists(imports, lambda i: in_package(callee, i["name"], i["source"]))
-    names = F.lit(15) + F.floor(dice(stem(callee), stem(caller)) * 10).cast("int") + F.lit(1)
-    return F.when(caller == callee, 100).when(same_parent(caller, callee), 75).when(F.coalesce(imported, F.lit(False)), 50).otherwise(names)
+    return match_facts(caller, file_facts(caller), callee, file_facts(callee), imports)

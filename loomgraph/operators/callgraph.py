@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.params import arity_fits
-from ..functions.scores import match_score
+from ..functions.scores import file_facts, match_facts
+from ..session import checkpoint_folder
 
 CALLERS = 10
 _KEY = ("path", "name", "sl", "sc", "el", "ec")
@@ -35,17 +35,25 @@ def ranked_callers(edges: DataFrame, imports: DataFrame, callees: DataFrame, mos
     """For each definition in callees (columns c_path, c_name, c_params, c_var_args and further ones) its calls by score.
 
     A call fits if its number of arguments does.  Ties in the score go by path, position and name.
+    What the score takes from a file is made once for each call and each definition, on their own
+    sides of the join; a pair only compares it.
     """
     folded = imports.groupBy("path").agg(F.collect_set(F.struct("name", "source")).alias("imports")).withColumnRenamed("path", "ipath")
+    sites = edges.join(folded, F.col("path") == F.col("ipath"), "left").drop("ipath").withColumn("file", file_facts(F.col("path")))
+    of = callees.columns
+    called = callees.withColumn("c_file", file_facts(F.col("c_path")))
     fits = (F.col("callee") == F.col("c_name")) & arity_fits(F.col("args"), F.col("c_params"), F.col("c_var_args"))
-    found = edges.join(callees, fits).join(folded, F.col("path") == F.col("ipath"), "left")
-    found = found.withColumn("score", match_score(F.col("path"), F.col("c_path"), F.col("imports"))).drop("imports", "ipath")
+    found = sites.join(called, fits).withColumn("score", match_facts(F.col("path"), F.col("file"), F.col("c_path"), F.col("c_file"), F.col("imports"))).drop("imports", "file", "c_file")
     order = [F.desc("score"), "path", "sl", "sc", "caller", "call_sl", "call_sc"]
-    of = [c for c in callees.columns]
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*of).orderBy(*order)))
     return found if most is None else found.where(F.col("rank") <= most)
 
 
+def bounded_layers(asked: int | None, default: int = 5, most: int = 10) -> int:
+    """Layers of a query: ``default`` where none or no positive number is asked for, ``most`` at most."""
+    return min(asked, most) if asked and asked > 0 else default
+
+
 def reverse_call_graph(edges: DataFrame, imports: DataFrame, roots: DataFrame, *, max_layer: int = 3, most: int = CALLERS, faithful: bool = False) -> DataFrame:
     """Layers of callers above the roots: one row for each node.
 
@@ -55,19 +63,22 @@ def reverse_call_graph(edges: DataFrame, imports: DataFrame, roots: DataFrame, *
     parent (by path, position, name) has it, once for each call site.  The first layer is not
     limited, later ones give each parent ``most`` callers.  ``faithful``: callers are no longer
     variadic when they become parents, as in an index that doesn't store it.
+
+    A layer begins with the calls of its parents' names, so that the visited set only meets these;
+    at most 10 layers are made.
     """
-    spark = roots.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-checkpoint-"))
+    checkpoint_folder(roots.sparkSession)
     none = F.lit(None)
     layer = roots.select(*_KEY, "params", "var_args").distinct().withColumns({"depth": F.lit(0), "parent_path": none.cast("string"), "parent_name": none.cast("string"), "parent_sl": none.cast("int"), "score": none.cast("int"), "rank": F.lit(1)})
     out = layer = layer.checkpoint()
     visited = layer.select(*_KEY)
-    for depth in range(1, max_layer + 1):
+    edges = edges.persist(StorageLevel.DISK_ONLY)  # each layer reads them
+    for depth in range(1, bounded_layers(max_layer) + 1):
         parents = layer.select(*[F.col(c).alias(f"c_{c}") for c in (*_KEY, "params", "var_args")]).distinct()
         if faithful and depth > 1:
             parents = parents.withColumn("c_var_args", F.lit(False))
-        new = edges.withColumn("name", F.col("caller")).join(visited.distinct(), list(_KEY), "left_anti")
+        near = edges.join(parents.select(F.col("c_name").alias("callee")).distinct(), "callee", "left_semi")
+        new = near.withColumn("name", F.col("caller")).join(visited.distinct(), list(_KEY), "left_anti")
         found = ranked_callers(new, imports, parents, None if depth == 1 else most)
         parent = F.struct("c_path", "c_sl", "c_sc", "c_name")
         first = F.min(parent).over(Window.partitionBy(*_KEY))
@@ -76,6 +87,7 @@ def reverse_call_graph(edges: DataFrame, imports: DataFrame, roots: DataFrame, *
         if layer.isEmpty():
             break
         out, visited = out.unionByName(layer), visited.unionByName(layer.select(*_KEY))
+    edges.unpersist()
     return out
 
 
@@ -84,9 +96,7 @@ def reachable_callers(edges: DataFrame, roots: DataFrame, *, max_layer: int = 3)
 
     edges: callee, caller.  A loop of joins that keeps only names not seen before.
     """
-    spark = roots.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-checkpoint-"))
+    checkpoint_folder(roots.sparkSession)
     pairs = edges.select("callee", "caller").distinct()
     out = layer = roots.select(F.col("name").alias("root"), "name", F.lit(0).alias("depth")).distinct()
     for depth in range(1, max_layer + 1):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,12 @@ def tree_diff(local: DataFrame, remote: DataFrame, *, deletes: bool = True) -> D
     return both.withColumn("status", status).where("status is not null").select("path", "status", F.coalesce("l", F.lit("")).alias("hash"))
 
 
+def batches(changes: DataFrame, size: int = 20) -> DataFrame:
+    """changes with a batch number: those of one status in order of path, ``size`` at a time."""
+    w = Window.partitionBy("status").orderBy("path")
+    return changes.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+
+
 def overlay(base: DataFrame, top: DataFrame) -> DataFrame:
     """(path, hash) of both trees; top wins."""
     a, b = base.select("path", F.col("hash").alias("l")), top.select("path", F.col("hash").alias("r"))

@@ -58,10 +58,10 @@ def rename_paths(table: DataFrame, source: str, target: str) -> DataFrame:
     """Rows of the file or folder source under target, with the language inferred anew."""
     moves = (F.col("path") == source) | F.startswith(F.col("path"), with_separator(F.lit(source)))
     path = F.when(moves, F.concat(F.lit(target), F.substr(F.col("path"), F.lit(len(source) + 1)))).otherwise(F.col("path"))
-    out = table.withColumn("path", path)
+    out = table.withColumns({"moves": moves, "path": path})
     if "language" not in table.columns:
-        return out
-    return out.withColumn("language", F.when(F.startswith(F.col("path"), F.lit(target)), F.coalesce(infer_language(F.col("path")), F.col("language"))).otherwise(F.col("language")))
+        return out.drop("moves")
+    return out.withColumn("language", F.when(F.col("moves"), F.coalesce(infer_language(F.col("path")), F.col("language"))).otherwise(F.col("language"))).drop("moves")
 
 
 def reindexed(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -69,6 +69,27 @@ def reindexed(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("path").distinct(), "path", "left_anti").select(old.columns).unionByName(new)
 
 
+def replaced_occurrences(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Occurrences after further ones were found: a new one takes the place of an old one of equal language, name, path and range."""
+    keys = ["language", "name", "path", "sl", "sc", "el", "ec"]
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").select(old.columns).unionByName(new)
+
+
+def remaining_symbols(symbols: DataFrame, gone: DataFrame) -> DataFrame:
+    """The symbol table (language, name, occurrences) without the occurrences in the files of gone; a symbol without any goes.
+
+    Occurrences are taken apart, joined by path and folded again: no list of files meets a row.
+    """
+    flat = symbols.select("language", "name", F.explode("occurrences").alias("o")).withColumn("path", F.col("o.path"))
+    kept = flat.join(gone.select("path").distinct(), "path", "left_anti")
+    return kept.groupBy("language", "name").agg(F.array_sort(F.collect_list("o")).alias("occurrences"))
+
+
+def count_prefix(table: DataFrame, key: str, prefix: str = "") -> DataFrame:
+    """One row, n: rows whose key begins with the prefix; all rows for an empty one."""
+    return table.where(F.startswith(F.col(key), F.lit(prefix)) if prefix else F.lit(True)).agg(F.count(F.lit(1)).alias("n"))
+
+
 def index_summary(files: DataFrame, projects: DataFrame) -> DataFrame:
     """Files of each project, and "success" or "pending"."""
     counted = projects.join(files.groupBy("project").agg(F.count(F.lit(1)).alias("n")), "project", "left")

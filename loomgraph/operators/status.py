@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,18 +47,29 @@ def all_succeeded(events: DataFrame) -> DataFrame:
 
 
 def failed_digest(failed: DataFrame, most: int = 5) -> DataFrame:
-    """(workspace, paths): the first failed paths, joined by commas."""
-    return failed.groupBy("workspace").agg(F.array_join(F.slice(F.array_sort(F.collect_set("path")), 1, most), ",").alias("paths"))
+    """(workspace, paths, message): the first failed paths, joined by commas, and what is said of the first of them.
+
+    failed: workspace, path, message.  Paths are ranked first, so that no list is longer than ``most``.
+    """
+    once = failed.groupBy("workspace", "path").agg(F.min("message").alias("message"))
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("workspace").orderBy("path"))).where(F.col("rank") <= most)
+    listed = F.array_sort(F.collect_list(F.struct("path", "message")))
+    return ranked.groupBy("workspace").agg(listed.alias("first")).select("workspace", F.array_join("first.path", ",").alias("paths"), F.get("first", F.lit(0))["message"].alias("message"))
 
 
 def index_metrics(files: DataFrame) -> DataFrame:
-    """One row over index results (symbols, variables, failed): totals, and the failed paths in order."""
+    """One row over index results (path, symbols, variables, failed): totals; ``failed_paths`` lists the failed ones."""
     return files.agg(
         F.count(F.lit(1)).alias("total_files"), F.sum("symbols").alias("total_symbols"), F.sum("variables").alias("total_variables"),
         F.count_if("failed").alias("failed_files"),
     )
 
 
+def failed_paths(files: DataFrame) -> DataFrame:
+    """(path) of the files that failed, however many, in order."""
+    return files.where("failed").select("path").orderBy("path")
+
+
 def expired_indexes(workspaces: DataFrame, now: Column, enabled: bool = True) -> DataFrame:
     """Workspaces whose index goes: inactive for 3 days with files, or, switched off, for 24 hours."""
     hours = 72 if enabled else 24

@@ -12,7 +12,7 @@ from ..functions import params as P
 from ..functions import paths as X
 from ..functions import ranges as R
 from ..functions import scores as S
-from ..operators import callgraph, definitions, diffs, events, index, references, status, text, tree
+from ..operators import callgraph, definitions, diffs, events, index, mutations, references, status, text, tree
 from ..sources import extract, samples
 from .views import table, with_views
 
@@ -80,15 +80,23 @@ def prefix_scan(t):
     return t("files").where(X.under(F.col("path"), F.lit("/ws/src3/en"))).select("doc_id", "path")
 
 
-@query(" SELECT path FROM files WHERE starts_with(path, '/ws/src2/')")
+_ASKED = "(SELECT min(path) FROM files)"
+
+
+@query(f""" WITH keyed AS (SELECT path FROM files UNION ALL SELECT concat({_ASKED}, '/below') UNION ALL SELECT '/ws/src2')
+SELECT path, 'folder' AS asked FROM keyed WHERE starts_with(path, '/ws/src1/') UNION ALL SELECT path, 'file' FROM keyed WHERE path = {_ASKED} UNION ALL SELECT path, 'both' FROM keyed WHERE path = '/ws/src2'""")
 def lookup_exact_or_prefix(t):
-    return index.lookup(t("files").select("path"), "/ws/src2")
+    files = t("files").select("path")
+    first = files.agg(F.min("path")).first()[0]
+    keyed = files.unionByName(files.sparkSession.createDataFrame([(f"{first}/below",), ("/ws/src2",)], "path string"))
+    asked = {"folder": "/ws/src1", "file": first, "both": "/ws/src2"}
+    found = [index.lookup(keyed, target).withColumn("asked", F.lit(name)) for name, target in asked.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query(r""" SELECT DISTINCT e.path, p.project FROM elements e JOIN projects p ON starts_with(e.path, concat(p.root, '/'))""")
 def file_to_project(t):
-    files = t("elements").select("path").distinct()
-    return files.join(F.broadcast(t("projects")), X.is_subdir(F.col("root"), F.col("path"))).select("path", "project")
+    return mutations.of_projects(t("elements"), t("projects")).join(t("projects"), "root").select("path", "project")
 
 
 @query(" SELECT DISTINCT path, concat('ws_', left(sha256(path), 32)) AS project_id, concat(regexp_extract(path, '[^/]*$'), '_', md5(path)) AS codebase_id FROM elements")
@@ -199,10 +207,10 @@ def skeleton_import_text(t):
     return t("files").select("doc_id", text.import_text(F.col("content"), F.col("first_line").cast("int"), F.col("last_line").cast("int")).alias("import_text"))
 
 
-@query(""" SELECT e.path, e.ordinal, e.name, e.sl + 1 AS start_line FROM elements e WHERE e.path IN (SELECT path FROM imports)""")
+@query(""" SELECT e.path, e.ordinal, CASE WHEN length(trim(coalesce(string_split(s.content, chr(10))[e.sl + 1], ''))) > 0 THEN substring(trim(string_split(s.content, chr(10))[e.sl + 1]), 1, 200) ELSE e.name END AS signature, e.sl + 1 AS start_line
+FROM elements e JOIN source_texts s ON s.path = e.path""")
 def file_skeleton(t):
-    contents = t("imports").select("path").distinct().withColumn("content", F.lit(""))
-    return text.skeleton(t("elements"), contents).select("path", "ordinal", F.col("signature").alias("name"), "start_line")
+    return text.skeleton(t("elements"), t("source_texts")).select("path", "ordinal", "signature", "start_line")
 
 
 @query(""" SELECT path, parent, depth, max(is_dir) AS is_dir FROM (
@@ -421,14 +429,14 @@ def upload_batches(t):
 
 
 @query(""" SELECT q.id, CASE WHEN r.status IN ('completed', 'unsupported') THEN 6 WHEN r.status = 'failed' THEN 5 ELSE 3 END AS embedding_status
-FROM queue q LEFT JOIN remote_status r ON r.path = CASE WHEN q.event_type = 'rename_file' THEN q.target ELSE q.path END WHERE q.embedding_status = 3""")
+FROM queue q LEFT JOIN remote_status r ON r.workspace = q.workspace AND r.sync_id = q.sync_id AND r.path = CASE WHEN q.event_type = 'rename_file' THEN q.target ELSE q.path END WHERE q.embedding_status = 3""")
 def remote_status_fold(t):
     return events.remote_fold(t("queue"), t("remote_status"))
 
 
-@query(""" SELECT q.id, coalesce(nullif(u.sync_id, ''), q.sync_id) AS sync_id, coalesce(nullif(u.embedding_status, 0), q.embedding_status) AS embedding_status FROM queue q LEFT JOIN event_updates u ON u.id = q.id""")
+@query(""" SELECT q.id, coalesce(nullif(u.sync_id, ''), q.sync_id) AS sync_id, coalesce(nullif(u.embedding_status, 0), q.embedding_status) AS embedding_status, CASE WHEN u.id IS NULL THEN q.updated_at ELSE TIMESTAMP '2024-01-15 00:00:00' END AS updated_at FROM queue q LEFT JOIN event_updates u ON u.id = q.id""")
 def event_merge(t):
-    return events.merged(t("queue"), t("event_updates")).select("id", "sync_id", "embedding_status")
+    return events.merged(t("queue"), t("event_updates"), _now()).select("id", "sync_id", "embedding_status", "updated_at")
 
 
 @query(""" SELECT q.id, CASE WHEN q.id % 6 = 0 THEN 3 WHEN q.id % 2 = 0 THEN 4 ELSE q.codegraph_status END AS codegraph_status FROM queue q""")
@@ -472,14 +480,18 @@ def all_success(t):
     return status.all_succeeded(t("queue"))
 
 
-@query(""" SELECT workspace, string_agg(path, ',' ORDER BY path) AS paths FROM (SELECT *, row_number() OVER (PARTITION BY workspace ORDER BY path) AS rn FROM (SELECT DISTINCT workspace, path FROM queue WHERE embedding_status IN (4, 5)) a) b WHERE rn <= 5 GROUP BY workspace""")
+@query(""" SELECT workspace, string_agg(path, ',' ORDER BY path) AS paths, min_by(message, path) AS message FROM (SELECT *, row_number() OVER (PARTITION BY workspace ORDER BY path) AS rn
+  FROM (SELECT workspace, path, min(concat(sync_id, ' failed')) AS message FROM queue WHERE embedding_status IN (4, 5) GROUP BY workspace, path) a) b WHERE rn <= 5 GROUP BY workspace""")
 def failed_digest(t):
-    return status.failed_digest(t("queue").where("embedding_status in (4, 5)"))
+    return status.failed_digest(t("queue").where("embedding_status in (4, 5)").withColumn("message", F.concat("sync_id", F.lit(" failed"))))
 
 
-@query(" SELECT workspace FROM workspaces WHERE active = 'false' AND file_num > 0")
+@query(f""" WITH aged AS (SELECT workspace, active, file_num, {_NOW} - to_hours(cast(file_num * 2 AS int)) AS updated_at FROM workspaces)
+SELECT workspace, 'on' AS mode FROM aged WHERE active = 'false' AND file_num > 0 AND updated_at <= {_NOW} - INTERVAL 72 HOUR
+UNION ALL SELECT workspace, 'off' FROM aged WHERE active = 'false' AND file_num > 0 AND updated_at <= {_NOW} - INTERVAL 24 HOUR""")
 def expired_indexes(t):
-    return status.expired_indexes(t("workspaces").withColumn("updated_at", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")), _now())
+    aged = t("workspaces").withColumn("updated_at", _now() - F.make_dt_interval(F.lit(0), (F.col("file_num") * 2).cast("int")))
+    return status.expired_indexes(aged, _now()).withColumn("mode", F.lit("on")).unionByName(status.expired_indexes(aged, _now(), enabled=False).withColumn("mode", F.lit("off")))
 
 
 @query(" SELECT count(*) AS total_files, cast(sum(n) AS bigint) AS total_symbols, cast(sum(v) AS bigint) AS total_variables, count(*) FILTER (v > 3) AS failed_files FROM (SELECT path, count(*) AS n, count(*) FILTER (element_type = 'VARIABLE') AS v FROM elements GROUP BY path) z")
@@ -517,7 +529,7 @@ def table_upsert(t):
 @query(""" SELECT p.project, count(e.path) AS total_files, CASE WHEN count(e.path) > 0 THEN 'success' ELSE 'pending' END AS status
 FROM projects p LEFT JOIN (SELECT DISTINCT path FROM elements) e ON starts_with(e.path, concat(p.root, '/')) GROUP BY p.project""")
 def index_summary(t):
-    files = t("elements").select("path").distinct().join(F.broadcast(t("projects")), X.under(F.col("path"), F.col("root"))).select("project", "path")
+    files = mutations.of_projects(t("elements"), t("projects")).join(t("projects"), "root").select("project", "path")
     return index.index_summary(files, t("projects").select("project"))
 
 
@@ -537,3 +549,6 @@ def extract_elements(t):
 @query()
 def file_structure(t):
     return extract.file_structure(samples.sources(t("elements")))
+
+
+from . import programs  # noqa: E402, F401  (registers its queries)

@@ -59,8 +59,9 @@ SELECTS = {
             CASE (user_id + k) % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'modify' ELSE 'delete' END AS status
         FROM events CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 7 UNION ALL SELECT 31) few""",
     "remote_status": """
-        SELECT DISTINCT path, CASE length(path) % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' WHEN 2 THEN 'processing' ELSE 'unsupported' END AS status
-        FROM (SELECT path FROM queue UNION ALL SELECT target AS path FROM queue WHERE id % 2 = 0) both_""",
+        SELECT DISTINCT workspace, sync_id, path, CASE (length(path) + length(workspace) + length(sync_id)) % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' WHEN 2 THEN 'processing' ELSE 'unsupported' END AS status
+        FROM (SELECT workspace, sync_id, path FROM queue UNION ALL SELECT workspace, sync_id, target AS path FROM queue WHERE id % 2 = 0) both_""",
+    "source_texts": "SELECT DISTINCT path, repeat(concat('  line of ', path, ' ', chr(10), chr(10)), 20) AS content FROM elements",
     "event_updates": "SELECT id, CASE WHEN id % 2 = 0 THEN '' ELSE 'changed' END AS sync_id, cast(id % 5 AS int) AS embedding_status FROM queue WHERE id % 10 < 4",
     "workspaces": """
         SELECT concat('/ws', cast(c_custkey AS string)) AS workspace, CASE WHEN c_nationkey % 2 = 0 THEN 'true' ELSE 'false' END AS active,

@@ -29,8 +29,8 @@ def _relative(files: DataFrame, root: str) -> DataFrame:
     return files.withColumn("path", F.regexp_replace(F.substr(bare, F.lit(len(root.rstrip("/")) + 1)), "^/+", ""))
 
 
-def accepted(files: DataFrame, rules: list[str], *, extensions: tuple[str, ...] = tuple(LANGUAGES), most_bytes: int = MAX_BYTES, most_files: int | None = MAX_FILES) -> DataFrame:
-    """Files that are indexed, at most ``most_files`` in order of path, with ts in seconds."""
+def accepted(files: DataFrame, rules: list[str], *, extensions: tuple[str, ...] = tuple(LANGUAGES), most_bytes: int = MAX_BYTES, most_files: int | None = None) -> DataFrame:
+    """Files that are indexed, with ts in seconds; with ``most_files`` (MAX_FILES for a small machine), so many in order of path."""
     kept = files.where(~rejected(F.col("path"), F.col("size"), rules, extensions, most=most_bytes, inclusive=True))
     kept = kept.select("path", "size", F.unix_seconds("modified").alias("ts"))
     return kept if most_files is None else kept.orderBy("path").limit(most_files)
@@ -41,6 +41,38 @@ def hash_tree(files: DataFrame, codebase: Column | str = "") -> DataFrame:
     return files.select((F.lit(codebase) if isinstance(codebase, str) else codebase).alias("codebase_id"), "path", F.unix_millis("modified").cast("string").alias("hash"))
 
 
+def scan_paths(files: DataFrame, paths: DataFrame, rules: list[str], *, extensions: tuple[str, ...] = tuple(LANGUAGES), most_bytes: int = MAX_BYTES) -> DataFrame:
+    """The listed files, and the files below listed folders, that are indexed: path and modified.
+
+    files: a listing (path, modified, size).  Each file is expanded into its folders, which are
+    matched with the list by equality.
+    """
+    wanted = paths.select(F.regexp_replace("path", "/+$", "").alias("asked")).distinct()
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    hits = files.select("path", F.explode(above).alias("asked")).join(wanted, "asked", "left_semi").select("path").distinct()
+    kept = files.where(~rejected(F.col("path"), F.col("size"), rules, extensions, most=most_bytes, inclusive=True))
+    return kept.join(hits, "path", "left_semi").select("path", "modified")
+
+
+def with_content_hash(files: DataFrame) -> DataFrame:
+    """files (with content) and the SHA-256 of their UTF-8 contents, in hex."""
+    return files.withColumn("sha256", F.sha2(F.col("content").cast("binary"), 256))
+
+
+def manifest(changes: DataFrame, codebase: Column | str, size: int = 100_000) -> DataFrame:
+    """(part, metadata): what goes with an upload, as JSON: every changed path with its status; parts of about ``size`` paths.
+
+    Paths are dealt to the parts by hash, so that no list grows with the workspace.
+    """
+    n = changes.count()
+    parts = max(1, -(-n // size))
+    rows = changes.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int"))
+    listed = F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "status"))))
+    name = F.lit(codebase) if isinstance(codebase, str) else codebase
+    return rows.groupBy("part").agg(listed.alias("files")).select("part", F.to_json(F.struct(name.alias("codebase"), F.col("files").alias("files"))).alias("metadata"))
+
+
 def projects(paths: DataFrame, workspace: str, depth: int = 3) -> DataFrame:
     """(root) of each project: folders with a .git entry, at most ``depth`` levels down, none inside another; else the workspace.
 
@@ -58,7 +90,7 @@ def projects(paths: DataFrame, workspace: str, depth: int = 3) -> DataFrame:
 
 
 def go_modules(files: DataFrame) -> DataFrame:
-    """(folder, module) of every go.mod among files (path, content)."""
+    """(folder, module) of every go.mod among files (path, content), (a module that a go.work names has one of its own)."""
     mods = files.where(F.col("path").rlike("(^|/)go\\.mod$"))
     module = F.regexp_extract("content", "(?m)^\\s*module\\s+\"?([^\\s\"]+)", 1)
     folder = F.when(F.contains("path", F.lit("/")), parent_dir(F.col("path"))).otherwise("")

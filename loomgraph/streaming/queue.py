@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.events import drained
+from ..operators.events import polls
 
 _OUT = "workspace string, path string, id long, event_type string, action string"
 _STATE = "id long, event_type string, busy boolean"
@@ -64,9 +64,17 @@ def recent(stream: DataFrame, hours: int = 48) -> DataFrame:
 
 
 def drain(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, per_type: int = 10) -> StreamingQuery:
-    """Each micro-batch's open events in their order of types, the oldest first, to ``handle``; ends when the input is read."""
+    """Each micro-batch's open events in polls of ``per_type`` of each type, the oldest first, to ``handle``; ends when the input is read.
+
+    A batch is polled until none of its events is left: poll n has the n-th ``per_type`` of each type.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        handle(drained(batch, per_type).orderBy("priority", "rn"), number)
+        waiting = polls(batch, per_type).persist()
+        try:
+            for poll in range((waiting.agg(F.max("poll")).first()[0] or 0) + 1 if not waiting.isEmpty() else 0):
+                handle(waiting.where(F.col("poll") == poll).drop("poll").orderBy("priority", "rn"), number)
+        finally:
+            waiting.unpersist()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
