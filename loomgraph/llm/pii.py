@@ -3,16 +3,17 @@
 Labelers (shape, checksum or variety, gazetteer, context) vote for or against every candidate
 span or abstain.  Expectation-maximisation over the counts of the vote patterns estimates how
 reliable each labeler is; its posteriors are the soft labels on which the final classifier, a
-logistic regression over discrete features, is trained.  Whatever the corpus, the driver only sees
-counts of distinct feature patterns.
+logistic regression over features of the span and its context that no labeler sees (length,
+character classes, the hashed word before it), is trained.  Whatever the corpus, the driver only
+sees counts of distinct feature patterns, of which there are at most PATTERNS.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,10 @@ from .cluster import checkpointed, map_arrow
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELERS = ("shape", "check", "gazetteer", "context")
-LENGTHS = 4
+#: Length classes of a span, sets of character classes in it, buckets of the word before it (0: none).
+LENGTHS, CLASSES, WORDS = 4, 8, 32
+#: Patterns whose features are held at once.
+AT_ONCE = 20_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -176,64 +180,98 @@ def _length_class(a: int, b: int) -> int:
     return min(LENGTHS - 1, (b - a) // 12)
 
 
-def _code(kind: str, said: tuple[int, ...], length: int) -> int:
-    """One number for kind, votes and length class."""
+def _classes(span: str) -> int:
+    """Which of digits, capitals and small letters a span has."""
+    return any("0" <= c <= "9" for c in span) + 2 * any("A" <= c <= "Z" for c in span) + 4 * any("a" <= c <= "z" for c in span)
+
+
+def _word_bucket(text: str, a: int) -> int:
+    """The last word among the 32 characters before a span, hashed."""
+    words = _WORD.findall(text[max(0, a - 32) : a])
+    return 1 + zlib.crc32(words[-1].lower().encode()) % (WORDS - 1) if words else 0
+
+
+VOTES = len(KINDS) * 3 ** len(LABELERS)
+PATTERNS = VOTES * LENGTHS * CLASSES * WORDS
+
+
+def _code(kind: str, said: tuple[int, ...], length: int, classes: int = 0, word: int = 0) -> int:
+    """One number for kind, votes, length class, character classes and the word before."""
     out = KINDS.index(kind)
     for v in said:
         out = out * 3 + v + 1
-    return out * LENGTHS + length
+    return ((out * LENGTHS + length) * CLASSES + classes) * WORDS + word
 
 
-PATTERNS = len(KINDS) * 3 ** len(LABELERS) * LENGTHS
-
-
-def _decoded() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kind, votes and length class of every code."""
-    every = list(product(range(len(KINDS)), *[(-1, 0, 1)] * len(LABELERS), range(LENGTHS)))
-    table = np.array(every)
-    return table[:, 0], table[:, 1:-1], table[:, -1]
+def _votes_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kind, and votes plus one, of each of the VOTES codes."""
+    said = np.stack([codes // 3**j % 3 for j in reversed(range(len(LABELERS)))], axis=1)
+    return codes // 3 ** len(LABELERS), said
 
 
 def reliabilities(counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """(P(labeler says v | private), posterior of each pattern) by expectation-maximisation.
+    """(P(labeler says v | private or not, and it speaks), posterior of each of the VOTES patterns) by expectation-maximisation.
 
     counts: how often each of PATTERNS codes occurs.  Each labeler is independent given the class;
     the share of private spans is estimated for each kind.  The start is the majority of votes.
     """
-    kind, said, _ = _decoded()
-    posterior = 1 / (1 + np.exp(-1.5 * said.sum(axis=1)))
-    said_at = said + 1
+    counts = counts.reshape(VOTES, -1).sum(axis=1)
+    kind, said_at = _votes_of(np.arange(VOTES))
+    posterior = 1 / (1 + np.exp(-1.5 * (said_at - 1).sum(axis=1)))
     speaks = np.full((2, len(LABELERS), 3), 1 / 3)
     for _ in range(rounds):
         share = np.array([((posterior * counts)[kind == k].sum() + 1) / (counts[kind == k].sum() + 2) for k in range(len(KINDS))])
         for c, weight in enumerate(((1 - posterior) * counts, posterior * counts)):
             for j in range(len(LABELERS)):
-                prior = np.array([1.0, 1.0, 3.0]) if c else np.array([3.0, 1.0, 1.0])  # labelers do better than chance
-                speaks[c, j] = np.bincount(said_at[:, j], weight, 3) + prior
-                speaks[c, j] /= speaks[c, j].sum()
+                prior = np.array([1.0, 0.0, 3.0]) if c else np.array([3.0, 0.0, 1.0])  # labelers do better than chance
+                said = np.bincount(said_at[:, j], weight, 3) * [1, 0, 1] + prior
+                speaks[c, j] = said / said.sum()
+        speaks[:, :, 1] = 1.0  # to abstain says nothing
         logs = [np.log(speaks[c][np.arange(len(LABELERS)), said_at]).sum(axis=1) for c in (0, 1)]
         odds = np.log(share[kind] / (1 - share[kind])) + logs[1] - logs[0]
         posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return speaks, posterior
 
 
-def trained(counts: np.ndarray, steps: int = 400) -> np.ndarray:
-    """Probability that a span of each code is private: logistic regression on the EM's soft labels."""
+def _features(codes: np.ndarray) -> np.ndarray:
+    """One-hot features: kind, each labeler's vote, length class, and by kind the character classes and the word before."""
+    word, rest = codes % WORDS, codes // WORDS
+    classes, rest = rest % CLASSES, rest // CLASSES
+    length, rest = rest % LENGTHS, rest // LENGTHS
+    kind, said = _votes_of(rest)
+    hot = [(kind, len(KINDS)), *((said[:, j], 3) for j in range(len(LABELERS))), (length, LENGTHS), (kind * CLASSES + classes, len(KINDS) * CLASSES), (kind * WORDS + word, len(KINDS) * WORDS)]
+    out, at = np.zeros((len(codes), sum(n for _, n in hot))), 0
+    for values, n in hot:
+        out[np.arange(len(codes)), at + values] = 1
+        at += n
+    return out
+
+
+def trained(counts: np.ndarray, steps: int = 100) -> np.ndarray:
+    """Probability that a span of each code is private (0 for codes that don't occur): logistic regression on the EM's soft labels."""
     _, posterior = reliabilities(counts)
-    kind, said, length = _decoded()
-    features = np.concatenate([np.eye(len(KINDS))[kind], *(np.eye(3)[said[:, j] + 1] for j in range(len(LABELERS))), np.eye(LENGTHS)[length]], axis=1)
-    used = counts > 0
-    x, y, weight = features[used], posterior[used], np.sqrt(counts[used])  # frequent patterns don't drown the others
-    w = np.zeros(features.shape[1])
-    for _ in range(steps if used.any() else 0):
-        p = 1 / (1 + np.exp(-x @ w))
-        slope = x.T @ ((p - y) * weight) + 0.1 * w
-        curve = (x * (p * (1 - p) * weight)[:, None]).T @ x + 0.1 * np.eye(len(w))
+    used = np.flatnonzero(counts)
+    out = np.zeros(len(counts))
+    parts = [used[i : i + AT_ONCE] for i in range(0, len(used), AT_ONCE)]
+    w = np.zeros(_features(used[:1]).shape[1])
+    for _ in range(steps if parts else 0):
+        slope, curve = 0.1 * w, 0.1 * np.eye(len(w))
+        for part in parts:
+            x, y, weight = _features(part), posterior[part // (PATTERNS // VOTES)], np.sqrt(counts[part])  # frequent patterns don't drown the others
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope = slope + x.T @ ((p - y) * weight)
+            curve = curve + (x * (p * (1 - p) * weight)[:, None]).T @ x
         step = np.linalg.solve(curve, slope)
-        w -= step
+        w = w - step
         if np.abs(step).max() < 1e-9:
             break
-    return 1 / (1 + np.exp(-features @ w))
+    for part in parts:
+        out[part] = 1 / (1 + np.exp(-np.clip(_features(part) @ w, -30, 30)))
+    return out
+
+
+def _code_of(text: str, kind: str, a: int, b: int) -> int:
+    return _code(kind, votes(text, kind, a, b), _length_class(a, b), _classes(text[a:b]), _word_bucket(text, a))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +282,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = list(matches(text))
             sure = _ordered([s[:3] for s in base if s[3]])
             extra = candidates(text, base)
-            codes = [_code(k, votes(text, k, a, b), _length_class(a, b)) for k, a, b in [*sure, *extra]]
+            codes = [_code_of(text, k, a, b) for k, a, b in [*sure, *extra]]
             listed = ",".join(f"{k}:{a}:{b}" for k, a, b in sure)
             out.append((
                 *(sum(s[0] == k for s in sure) for k in KINDS[:4]),
@@ -266,7 +304,9 @@ def find_personal_data(docs: DataFrame, *, least: float = 0.5) -> DataFrame:
 
     Returns one row for each row of docs: doc_id, n_email, n_ip, n_card, n_phone and base (the base
     spans), and spans (all); a list is "kind:start:end", by start and then kind, joined by commas,
-    in code points, end exclusive.  A text without any has zeros and empty strings.
+    in code points, end exclusive.  A text without any has zeros and empty strings.  Texts are read
+    whole, however long; rows alike give rows alike, with or without doc_id; spans that tie are
+    listed by kind; an empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     numbers = ", ".join(f"n_{k} long" for k in KINDS[:4])
@@ -274,7 +314,7 @@ def find_personal_data(docs: DataFrame, *, least: float = 0.5) -> DataFrame:
     counts = np.zeros(PATTERNS)
     for row in found.select(F.explode("found.code").alias("code")).groupBy("code").count().collect():
         counts[row["code"]] = row["count"]
-    private = [int(c) for c in np.flatnonzero(trained(counts) >= least)]
+    private = [int(c) for c in np.flatnonzero((trained(counts) >= least) & (counts > 0))]
     names = F.array(*[F.lit(k) for k in KINDS])
     taken = F.array_sort(F.filter("found", lambda s: s["base"] | F.array_contains(F.lit(private).cast("array<int>"), s["code"])))
     listed = F.array_join(F.transform(taken, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
