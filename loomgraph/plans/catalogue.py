@@ -533,7 +533,7 @@ def index_summary(t):
     return index.index_summary(files, t("projects").select("project"))
 
 
-@query()
+@query(""" SELECT concat('{"language":"', language, '","name":"', name, '","occurrences":[', string_agg(concat('{"path":"', path, '","sl":', sl, ',"sc":', sc, ',"el":', el, ',"ec":', ec, ',"element_type":"', element_type, '"}'), ',' ORDER BY path, sl, sc, el, ec, element_type), ']}') AS value FROM symbols GROUP BY language, name""")
 def export_ndjson(t):
     return index.export_rows(index.symbol_table(t("elements")))
 
@@ -546,6 +546,23 @@ def extract_elements(t):
     return extract.extract_elements(samples.sources(t("elements")))
 
 
+_HEAD = "CASE language WHEN 'java' THEN 3 ELSE 2 END"
+_MADE = f"made AS (SELECT path, language, name, arity, {_HEAD} + ordinal - 1 AS sl, CASE WHEN element_type IN ('FUNCTION', 'METHOD') THEN CASE language WHEN 'java' THEN 'METHOD' ELSE 'FUNCTION' END WHEN element_type = 'CALL' THEN 'CALL' ELSE 'VARIABLE' END AS kind FROM elements)"
+
+
+@query(f" WITH {_MADE} SELECT path, name, kind AS element_type, cast(sl AS int) AS sl, CASE WHEN kind <> 'VARIABLE' THEN arity END AS arity FROM made")
+def extract_known(t):
+    """What is read from the made-up sources is what they were made of: each element's kind, line and arity."""
+    found = extract.extract_elements(samples.sources(t("elements")))
+    return found.where(F.col("name").rlike("^s[0-9]+$")).select("path", "name", "element_type", "sl", "arity")
+
+
+@query(f""" WITH {_MADE} SELECT path, CASE WHEN kind = 'VARIABLE' THEN CASE language WHEN 'java' THEN 'declaration.field' WHEN 'typescript' THEN 'declaration.variable' WHEN 'go' THEN 'global_variable' WHEN 'javascript' THEN 'global_variable' ELSE 'variable' END
+  WHEN language = 'java' THEN 'declaration.method' WHEN language IN ('python', 'cpp') THEN 'definition.function' ELSE 'declaration.function' END AS type, name, cast(sl + 1 AS int) AS start_line, cast(sl + 1 AS int) AS end_line FROM made WHERE kind <> 'CALL'""")
+def structure_known(t):
+    return extract.file_structure(samples.sources(t("elements"))).where(F.col("name").rlike("^s[0-9]+$"))
+
+
 @query()
 def file_structure(t):
     return extract.file_structure(samples.sources(t("elements")))

@@ -71,3 +71,14 @@ def test_without_training_data_operators(tmp_path):
     shutil.copy(os.path.join(here, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'call_edges' in q and not any(n.startswith('op') for n in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
+
+
+def test_with_a_broken_optional_import(tmp_path):
+    """The code index stays when the operators of training data lack something that they import."""
+    here = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(os.path.join(here, "loomgraph"), tmp_path / "loomgraph", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "loomgraph" / "llm").mkdir()
+    (tmp_path / "loomgraph" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "loomgraph" / "llm" / "queries.py").write_text("import no_such_module\n")
+    shutil.copy(os.path.join(here, "__spark_entry__.py"), tmp_path)
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert 'call_edges' in e.queries() and e.oracle_sql()"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)

@@ -5,7 +5,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import callgraph, definitions, diffs, events, index, references, status, text, tree
+from loomgraph.functions import times, validators
+from loomgraph.operators import callgraph, definitions, diffs, events, index, mutations, references, status, text, tree, workspaces
 
 
 def rows(df, *columns):
@@ -164,8 +165,69 @@ def test_merge_and_fold(spark):
     queue = spark.createDataFrame([event(1, "add_file", "a", 3, 4, T1), event(2, "rename_file", "b", 3, 4, T1)], QUEUE)
     updates = spark.createDataFrame([(1, "s", 0), (2, "", 5)], "id bigint, sync_id string, embedding_status int")
     assert rows(events.merged(queue, updates), "id", "sync_id", "embedding_status") == [(1, "s", 3), (2, "", 5)]
-    remote = spark.createDataFrame([("a", "failed"), ("b2", "unsupported")], "path string, status string")
-    assert rows(events.remote_fold(queue, remote)) == [(1, 5), (2, 6)]
+    stamped = events.merged(queue, updates, F.lit(T2))
+    assert rows(stamped.where("id = 1"), "updated_at") == [(T2,)]
+    sync = queue.select("workspace", "sync_id").first()
+    remote = spark.createDataFrame([(sync["workspace"], sync["sync_id"], "a", "failed"), (sync["workspace"], sync["sync_id"], "b2", "unsupported"), ("/other", sync["sync_id"], "a", "completed"), (sync["workspace"], "later", "a", "completed")], "workspace string, sync_id string, path string, status string")
+    assert rows(events.remote_fold(queue, remote)) == [(1, 5), (2, 6)]  # answers of other workspaces and uploads don't count
+
+
+def test_queue_changes(spark):
+    queue = spark.createDataFrame([event(5, "add_file", "a", 6, 4, T1), event(9, "add_file", "b", 6, 4, T2)], QUEUE)
+    new = spark.createDataFrame([("/w", "z", "add_file"), ("/v", "y", "add_file"), ("/v", "x", "delete_file")], "workspace string, path string, event_type string")
+    made = events.inserted(queue, new, F.lit(T2))
+    assert rows(made.where("id > 9"), "id", "workspace", "path") == [(10, "/v", "x"), (11, "/v", "y"), (12, "/w", "z")]
+    assert rows(events.deleted(queue, queue.where("id = 5")), "id") == [(9,)]
+    now = F.lit(datetime(2024, 1, 20)).cast("timestamp_ntz")
+    assert events.retained(queue, now).count() == 0  # all succeeded
+    assert rows(events.published(queue, F.col("file") == "a"), "id") == [(9,)]
+
+
+def test_rename_leaves_other_rows_alone(spark):
+    files = spark.createDataFrame([("/ws/a/x.go", "go"), ("/ws/moved2/y.h", "c"), ("/ws/moved/z.h", "c")], "path string, language string")
+    got = index.rename_paths(files, "/ws/a", "/ws/moved")
+    assert rows(got) == [("/ws/moved/x.go", "go"), ("/ws/moved/z.h", "c"), ("/ws/moved2/y.h", "c")]
+
+
+def test_index_programs(spark):
+    files = spark.createDataFrame([("/w/a.py", 1, "def f(x): return g(x)"), ("/w/d/b.py", 1, "y = 1"), ("/w/d/c.txt", 1, "-")], "path string, ts long, content string")
+    first = mutations.index_workspace(files)
+    names = lambda made: rows(made.elements, "path", "name")
+    assert names(first) == [("/w/a.py", "f"), ("/w/a.py", "g"), ("/w/d/b.py", "y")]
+    later = spark.createDataFrame([("/w/a.py", 1, "def never_read(): pass"), ("/w/d/b.py", 2, "z = 2")], "path string, ts long, content string")
+    second = mutations.index_workspace(later, first)
+    assert names(second) == [("/w/a.py", "f"), ("/w/a.py", "g"), ("/w/d/b.py", "z")]
+    assert rows(second.files, "path") == [("/w/a.py",), ("/w/d/b.py",)]
+    assert names(mutations.removed(second, spark.createDataFrame([("/w/d/",)], "path string"))) == [("/w/a.py", "f"), ("/w/a.py", "g")]
+    moves = spark.createDataFrame([("/w", "/v"), ("/w/d", "/u")], "path string, target string")
+    assert names(mutations.renamed(second, moves)) == [("/u/b.py", "z"), ("/v/a.py", "f"), ("/v/a.py", "g")]
+    events_ = spark.createDataFrame([("rebuild_workspace", "", ""), ("delete_file", "/w/a.py", ""), ("rename_file", "/w/d/b.py", "/w/e.py")], "event_type string, path string, target string")
+    assert names(mutations.applied(first, events_, later)) == [("/w/e.py", "z")]
+    assert rows(mutations.of_projects(spark.createDataFrame([("/a/b/c",), ("x",)], "path string"), spark.createDataFrame([("/a",), ("/a/b",), ("/a/b/c",), ("/ab",)], "root string"))) == [("/a/b/c", "/a"), ("/a/b/c", "/a/b")]
+
+
+def test_workspaces(spark):
+    table = spark.createDataFrame([("/w", "true", 5, 2, T1, T1), ("/v", "false", 3, 3, T2, T2)], "workspace string, active string, file_num long, done long, created_at timestamp_ntz, updated_at timestamp_ntz")
+    new = spark.createDataFrame([("/u",), ("/w",)], "workspace string")
+    assert rows(workspaces.created(table, new), "workspace") == [("/u",), ("/v",), ("/w",)]
+    changed = workspaces.updated(table, spark.createDataFrame([("/w", None, 9)], "workspace string, active string, file_num long"), F.lit(T2))
+    assert rows(changed.where("workspace = '/w'"), "active", "file_num", "updated_at") == [("true", 9, T2)]
+    assert rows(workspaces.listed(table, 1), "workspace") == [("/v",)]
+    queue = spark.createDataFrame([event(1, "add_file", "a", 1, 1, T1), event(2, "add_file", "b", 2, 2, T1)], QUEUE)
+    after, left = workspaces.switched(table, queue, spark.createDataFrame([("/w", "false"), ("/v", "true")], "workspace string, active string"), F.lit(T2))
+    assert rows(after, "workspace", "active") == [("/v", "true"), ("/w", "false")]
+    assert rows(left, "workspace", "event_type") == [("/v", "open_workspace"), ("/w", "add_file")]
+    assert callgraph.bounded_layers(None) == callgraph.bounded_layers(0) == 5
+    assert callgraph.bounded_layers(99) == 10
+
+
+def test_paths_that_clients_send(spark):
+    value = lambda c: spark.range(1).select(c).first()[0]
+    assert [value(validators.sanitised_path(F.lit(p))) for p in ("", "a//b/./c", "/a/../b", "../x", "/../x", "a/../../b")] == ["", "/a/b/c", "/b", None, "/x", None]
+    assert [value(validators.valid_path(F.lit(p))) for p in ("", "a/b", "a/../b", "~x", "a\\b", "x" * 1025)] == [False, True, False, False, False, False]
+    assert value(times.upload_timeout(F.lit(5 * 1024 * 1024))) == 60
+    assert value(times.upload_timeout(F.lit(10 * 1024 * 1024))) == 85
+    assert value(times.upload_timeout(F.lit(10**10))) == 600
 
 
 @pytest.mark.parametrize(

@@ -84,7 +84,7 @@ def test_go():
     assert found("a.go", GO, "CLASS") == [("Box", 8, 10, None)]
     assert [x[0] for x in found("a.go", GO, "INTERFACE")] == ["Shape"]
     assert [(x[0], x[3]) for x in found("a.go", GO, "CALL") if x[0] != "Area"] == [("Count", 3), ("Println", 2)]
-    assert [x[0] for x in found("a.go", GO, "VARIABLE")] == ["x", "y"]
+    assert [x[0] for x in found("a.go", GO, "VARIABLE")] == ["n", "x", "y"]  # a struct's field too
     assert [(r["name"], r["source"], r["alias"]) for r in extract.elements_of("a.go", GO) if r["element_type"] == "IMPORT"] == [("fmt", "fmt", ""), ("lib", "acme/lib", "al")]
 
 
@@ -159,7 +159,7 @@ def test_typescript():
     assert ("size", 4, 6, 2) in found("a.ts", TS, "METHOD")
     assert [x[0] for x in found("a.ts", TS, "FUNCTION")] == ["add"]
     assert [x[0] for x in found("a.ts", TS, "INTERFACE")] == ["Thing"]
-    assert [x[0] for x in found("a.ts", TS, "VARIABLE")] == ["z"]
+    assert [x[0] for x in found("a.ts", TS, "VARIABLE")] == ["n", "z"]
     assert [(x[0], x[3]) for x in found("a.ts", TS, "CALL")] == [("helper", 2), ("add", 2)]
     assert {x[0] for x in found("a.ts", TS, "IMPORT")} == {"a", "b", "d"}
 
@@ -172,6 +172,51 @@ def test_cpp():
     assert [x[0] for x in found("a.cpp", CPP, "IMPORT")] == ["vector", "my/lib.h"]
 
 
+def table(path, content):
+    """(line, kind, name, types, return type, scope) of what isn't a call, import or package."""
+    return [(r["sl"], r["element_type"], r["name"], r.get("types"), r.get("return_type"), r.get("scope")) for r in extract.elements_of(path, content) if r["element_type"] not in ("CALL", "IMPORT", "PACKAGE")]
+
+
+def test_python_variables_and_types():
+    text = "x = 1\na, (b, *c) = 1, (2, 3)\nclass K:\n    f: Thing = None\n    def m(self, p: Box, *args: int) -> Out:\n        self.h = y = p\n"
+    assert table("a.py", text) == [
+        (0, "VARIABLE", "x", [], None, "project"), (1, "VARIABLE", "a", [], None, "project"), (1, "VARIABLE", "b", [], None, "project"), (1, "VARIABLE", "c", [], None, "project"),
+        (2, "CLASS", "K", None, None, "project"), (3, "REFERENCE", "Thing", None, None, None), (3, "VARIABLE", "f", ["Thing"], None, "class"),
+        (4, "METHOD", "m", ["Box", "int"], ["Out"], "class"), (4, "REFERENCE", "Box", None, None, None), (4, "REFERENCE", "Out", None, None, None),
+        (5, "VARIABLE", "h", [], None, "function"), (5, "VARIABLE", "y", [], None, "function"),
+    ]
+
+
+def test_go_fields_groups_and_results():
+    text = "package p\ntype Pt struct {\n\tA, b int `json:\"a\"`\n\tC *pkg.Thing\n\tBase\n}\nfunc (p *Pt) Do(a, b int, c In) (out Result, err error) {\n\tloc := 1\n}\nfunc New() *Pt { return nil }\n"
+    assert table("a.go", text) == [
+        (1, "CLASS", "Pt", None, None, "project"), (2, "VARIABLE", "A", ["int"], None, "project"), (2, "VARIABLE", "b", ["int"], None, "package"),
+        (3, "REFERENCE", "Thing", None, None, None), (3, "VARIABLE", "C", ["*pkg.Thing"], None, "project"), (4, "REFERENCE", "Base", None, None, None),
+        (6, "REFERENCE", "In", None, None, None), (6, "REFERENCE", "Result", None, None, None), (6, "METHOD", "Do", ["int", "int", "In"], ["Result", "error"], "project"),
+        (7, "VARIABLE", "loc", [], None, "function"), (9, "FUNCTION", "New", [], ["*Pt"], "project"), (9, "REFERENCE", "Pt", None, None, None),
+    ]
+
+
+def test_java_types_and_scopes():
+    text = "public class Box {\n  private static final List<Item> items = null;\n  protected int n;\n  public Map<String, Item> get(final Thing a, int... xs) { int loc = 1; }\n  void plain() { }\n}\ninterface I { }\n"
+    assert table("a.java", text) == [
+        (0, "CLASS", "Box", None, None, "project"), (1, "REFERENCE", "Item", None, None, None), (1, "VARIABLE", "items", ["List<Item>"], None, "class"), (2, "VARIABLE", "n", ["int"], None, "package"),
+        (3, "METHOD", "get", ["Thing", "int"], ["Map<String, Item>"], "project"), (3, "REFERENCE", "Item", None, None, None), (3, "REFERENCE", "Thing", None, None, None), (3, "VARIABLE", "loc", ["int"], None, "function"),
+        (4, "METHOD", "plain", [], [], "package"), (6, "INTERFACE", "I", None, None, "project"),
+    ]
+
+
+def test_typescript_properties_and_destructuring():
+    text = "class Box {\n  private name: Thing;\n  count = 1;\n  run(a: In): Promise<Out> { const { p, q: r = 1, ...rest } = a; }\n}\ninterface S { area: number; kind: Kind }\nconst [m, n] = arr;\n"
+    assert table("a.ts", text) == [
+        (0, "CLASS", "Box", None, None, "file"), (1, "REFERENCE", "Thing", None, None, None), (1, "VARIABLE", "name", ["Thing"], None, "class"), (2, "VARIABLE", "count", [], None, "class"),
+        (3, "METHOD", "run", ["In"], ["Promise<Out>"], "class"), (3, "REFERENCE", "In", None, None, None), (3, "REFERENCE", "Out", None, None, None),
+        (3, "VARIABLE", "p", None, None, "function"), (3, "VARIABLE", "r", None, None, "function"), (3, "VARIABLE", "rest", None, None, "function"),
+        (5, "INTERFACE", "S", None, None, "file"), (5, "VARIABLE", "area", ["number"], None, "project"), (5, "REFERENCE", "Kind", None, None, None), (5, "VARIABLE", "kind", ["Kind"], None, "project"),
+        (6, "VARIABLE", "m", None, None, "file"), (6, "VARIABLE", "n", None, None, "file"),
+    ]
+
+
 def test_extraction_as_table(spark):
     files = spark.createDataFrame([("a.go", GO), ("b.py", PYTHON), ("c.rs", "fn x() {}"), ("d.py", None), (None, "x")], "path string, content string")
     got = extract.extract_elements(files)
@@ -207,3 +252,13 @@ def test_stream_drain(spark, tmp_path):
     stream = spark.readStream.schema(QUEUE).parquet(str(tmp_path / "in"))
     stream_queue.drain(stream, lambda df, _: seen.extend(r["event_type"] for r in df.collect()), str(tmp_path / "c")).awaitTermination()
     assert seen == ["add_file", "delete_file"]
+
+
+def test_stream_drain_handles_every_event(spark, tmp_path):
+    """A batch of 25 events of one type and 3 of another: polls of ten, none lost, types in order in each poll."""
+    events = [event(i, "modify_file", f"p{i}", 1, 1, T1) for i in range(25)] + [event(100 + i, "add_file", f"q{i}", 1, 1, T2) for i in range(3)] + [event(200, "add_file", "busy", 1, 2, T1)]
+    spark.createDataFrame(events, QUEUE).coalesce(1).write.parquet(str(tmp_path / "in"))
+    polls = []
+    stream = spark.readStream.schema(QUEUE).parquet(str(tmp_path / "in"))
+    stream_queue.drain(stream, lambda df, _: polls.append([r["id"] for r in df.collect()]), str(tmp_path / "c")).awaitTermination()
+    assert polls == [[100, 101, 102, *range(10)], list(range(10, 20)), list(range(20, 25))]
