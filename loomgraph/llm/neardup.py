@@ -8,14 +8,16 @@ No step emits all pairs of a group:
 3. a bucket of bounded size that still holds several components is joined within one task, which
    returns no more links than join them; of buckets with the same members one is;
 4. larger buckets propose other hubs, in a few rounds, and what then still is mixed
-   is joined exactly: shingles are ordered by rarity, and only sets of different components that
-   share one of their rarest shingles, at positions that still allow the threshold, are confirmed.
+   is joined exactly: shingles are ordered by rarity, and only sets of different components and
+   compatible sizes that share one of their rarest shingles, at positions that still allow the
+   threshold, are confirmed; hot shingles take hub rounds first and are then dealt into parts.
 
 Links between different sets are thus lost only where the bands miss them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -29,11 +31,11 @@ from .cluster import BROADCAST_KEYS, checkpointed, map_arrow
 from .components import connected_components, extended
 
 #: Nodes and characters of a bucket that is joined within a task.
-GROUP_NODES, GROUP_CHARS = 2_048, 8_000_000
+GROUP_NODES, GROUP_CHARS = 512, 4_000_000
 #: Characters of small groups that are joined at once; nodes of a group whose pairs are listed.
 GROUPED_CHARS, PAIRED = 1 << 20, 12
-#: Hub rounds over larger buckets before the exact join of what is left.
-HUB_ROUNDS = 2
+#: Hub rounds over larger buckets before the exact join of what is left, and over its hot shingles: those of more than HOT sets.
+HUB_ROUNDS, HOT_ROUNDS, HOT = 2, 3, 1_000
 #: Slots (a power of two) in which shingles are counted for the exact join, and the parts that travel.
 SLOT_BITS, PARTS = 22, 64
 
@@ -255,11 +257,12 @@ def _prefixes(s: Similarity, often):
     return run
 
 
-def _rest(texts: DataFrame, s: Similarity) -> DataFrame:
-    """(a, b) of different labels that may reach the threshold, whatever their bands: a prefix-filtered join.
+def _prefix_rows(texts: DataFrame, s: Similarity) -> DataFrame:
+    """(id, label, n, at, shingle, level) of the prefixes of sets (id, label, text).
 
     How often shingles occur is counted by slot, in a table of fixed size: shingles that share a
-    slot only look more frequent, which changes the order and no result.
+    slot only look more frequent, which changes the order and no result.  Sets that reach the
+    threshold are of one level, or of neighbouring ones.
     """
     texts = checkpointed(texts)
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -270,12 +273,38 @@ def _rest(texts: DataFrame, s: Similarity) -> DataFrame:
     for row in summed.collect():  # at most 4 << SLOT_BITS bytes
         table[row["part"]] = np.frombuffer(row["counts"], dtype=np.int32)
     often = texts.sparkSession.sparkContext.broadcast(table.reshape(-1))
-    prefix = checkpointed(map_arrow(texts, _prefixes(s, often), "id long, label long, n long, at long, shingle long"))
-    a, b = (prefix.select([F.col(c).alias(f"{c}_{x}") for c in prefix.columns]) for x in "ab")
+    rows = map_arrow(texts, _prefixes(s, often), "id long, label long, n long, at long, shingle long")
+    # a hair less than the ratio, so that rounding never puts compatible sizes two levels apart
+    return checkpointed(rows.withColumn("level", F.floor(F.log(F.col("n").cast("double")) / (math.log(s.den / s.num) * (1 + 1e-9)))))
+
+
+def _hot(prefix: DataFrame, turn: int) -> DataFrame:
+    """(shingle_, level_, size, hub) of the prefix shingles of more than HOT sets of one level with several labels."""
+    hub = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("id"), F.col("label").alias("label"))).alias("hub")
+    found = prefix.groupBy(F.col("shingle").alias("shingle_"), F.col("level").alias("level_")).agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"), hub)
+    return checkpointed(found.where(f"size > {HOT} and l0 < l1").select("shingle_", "level_", "size", "hub"))
+
+
+def _prefix_pairs(prefix: DataFrame, hot: DataFrame, s: Similarity) -> DataFrame:
+    """(a, b) of different labels that may reach the threshold: sets that share a prefix shingle at positions that still allow it.
+
+    Only sets of one level or neighbouring ones meet.  A shingle of more than HOT sets of a level
+    is dealt into parts of about HOT of them: each of the others meets every part in another task.
+    """
+    parts = hot.select("shingle_", "level_", F.ceil(F.col("size") / HOT).cast("int").alias("parts"))
+    side = F.broadcast(parts) if parts.count() <= BROADCAST_KEYS else parts
+    on = lambda level: (F.col("shingle") == F.col("shingle_")) & (level == F.col("level_"))
+    a = prefix.join(side, on(F.col("level")), "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))))
+    a = a.select(*[F.col(c).alias(f"{c}_a") for c in ("id", "label", "n", "at", "shingle", "level")], F.col("part").cast("int").alias("part_a"))
+    near = prefix.withColumn("meets", F.explode(F.array("level", F.col("level") - 1)))  # a is the smaller one
+    near = near.join(side, on(F.col("meets")), "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    b = near.select(*[F.col(c).alias(f"{c}_b") for c in ("id", "label", "n", "at", "shingle", "meets", "part")])
     need = F.ceil((F.col("n_a") + F.col("n_b")) * s.num / (s.num + s.den) - 1e-9)
     left = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    on = (F.col("shingle_a") == F.col("shingle_b")) & (F.col("label_a") != F.col("label_b")) & (F.col("id_a") < F.col("id_b"))
-    return a.join(b, on & _by_size(s, "n_a", "n_b") & (left >= need)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    key = (F.col("shingle_a") == F.col("shingle_b")) & (F.col("level_a") == F.col("meets_b")) & (F.col("part_a") == F.col("part_b"))
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
+    found = a.join(b, key & (F.col("label_a") != F.col("label_b")) & smaller & _by_size(s, "n_a", "n_b") & (left >= need))
+    return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def near_components(nodes: DataFrame, n_bands: int, s: Similarity, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -301,6 +330,10 @@ def near_components(nodes: DataFrame, n_bands: int, s: Similarity, texts_of: Cal
             pairs = pairs.join(texts.select(F.col("id").alias(f"id_{x}"), F.col("text").alias(f"text_{x}")), F.col(x) == F.col(f"id_{x}")).drop(f"id_{x}")
         return checkpointed(map_arrow(pairs.select("a", "b", "text_a", "text_b"), _confirmed(s), "a long, b long"))
 
+    def untried(pairs: DataFrame) -> DataFrame:
+        known = tried.select(F.col("a").alias("a_"), F.col("b").alias("b_"))
+        return checkpointed(pairs.join(known, (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")), "left_anti"))
+
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
@@ -334,11 +367,24 @@ def near_components(nodes: DataFrame, n_bands: int, s: Similarity, texts_of: Cal
         still = now.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), hub).where("l0 < l1").withColumnRenamed("band", "band_")
         rest = now.join(still, F.col("band") == F.col("band_"))
         if turn == HUB_ROUNDS:
-            ids = rest.groupBy("id").agg(F.min("label").alias("label"))
-            pairs = _rest(ids.join(texts.withColumnRenamed("id", "id_"), F.col("id") == F.col("id_")).select("id", "label", "text"), s)
-        else:
-            pairs = ordered(rest.where("label <> hub.label").select("id", F.col("hub.id").alias("hub")))
-        known = tried.select(F.col("a").alias("a_"), F.col("b").alias("b_"))
-        new = checkpointed(pairs.join(known, (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")), "left_anti"))
+            break
+        new = untried(ordered(rest.where("label <> hub.label").select("id", F.col("hub.id").alias("hub"))))
         classes, tried = extended(classes, confirm(new)), tried.unionByName(new)
-    return classes
+    ids = checkpointed(rest.groupBy("id").agg(F.min("label").alias("label")))
+    if ids.isEmpty():
+        return classes
+    prefix = _prefix_rows(ids.join(texts.withColumnRenamed("id", "id_"), F.col("id") == F.col("id_")).select("id", "label", "text"), s)
+    for turn in range(HOT_ROUNDS):  # sets that share a hot shingle propose a hub first, which contracts most of them
+        hot = _hot(prefix, turn)
+        if hot.isEmpty():
+            break
+        met = prefix.join(F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot, (F.col("shingle") == F.col("shingle_")) & (F.col("level") == F.col("level_")))
+        new = untried(ordered(met.where("label <> hub.label").select("id", F.col("hub.id").alias("hub"))))
+        links = confirm(new)
+        tried = tried.unionByName(new)
+        if links.isEmpty():
+            break
+        classes = extended(classes, links)
+        labels = classes.select(F.col("id").alias("id_"), "root")
+        prefix = checkpointed(prefix.drop("label").join(labels, F.col("id") == F.col("id_"), "left").select("id", F.coalesce("root", "id").alias("label"), "n", "at", "shingle", "level"))
+    return extended(classes, confirm(untried(_prefix_pairs(prefix, _hot(prefix, 0), s))))

@@ -3,12 +3,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import components, lines, shingles
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from loomgraph.llm import hashing, neardup
+from loomgraph.llm import hashing, line_dedup, minhash_dedup, neardup
 from loomgraph.llm.components import connected_components
 from loomgraph.llm.line_dedup import BANDS, ROWS, WIDTH, duplicate_lines, without_duplicate_lines
 from loomgraph.llm.minhash_dedup import near_duplicate_documents, without_near_duplicates
@@ -45,9 +47,10 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "x", "y", 0) for i, t in rows], DOCS)
 
 
-@pytest.mark.parametrize(("width", "in_task"), [(2, 2048), (5, 2048), (2, 0)])
-def test_documents(spark, monkeypatch, width, in_task):
+@pytest.mark.parametrize(("width", "in_task", "hot"), [(2, 512, 1000), (5, 512, 1000), (2, 0, 1000), (2, 0, 3)])
+def test_documents(spark, monkeypatch, width, in_task, hot):
     monkeypatch.setattr(neardup, "GROUP_NODES", in_task)  # 0: every bucket goes the way of large ones
+    monkeypatch.setattr(neardup, "HOT", hot)  # 3: most shared shingles are dealt into parts
     rows = corpus()
     sets = {i: shingles(t, width) for i, t in rows}
     want = components(sets)
@@ -69,6 +72,57 @@ def test_hostile_documents(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 5]
 
 
+def test_sets_of_one_hash_are_told_apart(spark, monkeypatch):
+    """With a first key that only takes five values, the second one keeps different texts apart."""
+    made = hashing.set_keys
+    monkeypatch.setattr(hashing, "set_keys", lambda flat, bounds, seed=0: made(flat, bounds, seed) % np.uint64(5) if seed == minhash_dedup.KEY_SEEDS[0] else made(flat, bounds, seed))
+    rows = corpus(4)[:60]
+    docs = frame(spark, rows)
+
+    def local(df, run, schema):  # in this process, where the weak key is
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in df.collect()], pa.int64() if c == "doc_id" else pa.string()) for c in df.columns], names=df.columns)]
+        return spark.createDataFrame(pa.Table.from_batches(list(run(iter(batches)))).to_pylist(), schema)
+
+    monkeypatch.setattr(minhash_dedup, "map_arrow", local)
+    want = components({i: shingles(t, 2) for i, t in rows})
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicate_documents(docs, shingle_words=2).collect()}
+    assert got == {i: want[i] for i, _ in rows}
+
+
+def test_lines_of_one_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "text_hash", lambda text: F.xxhash64(text) % 5)
+    rows = line_corpus(6)[:40]
+    want = components(lines(rows, 1, WIDTH))
+    got = {(r["doc_id"], r["line_no"]): (r["first_doc_id"], r["first_line_no"]) for r in duplicate_lines(frame(spark, rows)).collect()}
+    assert all(want[got[key]] == want[key] for key in want)
+    assert sum(got[key] != want[key] for key in want) <= len(want) * 0.02
+
+
+def test_rows_of_one_doc_id_are_told_apart(spark):
+    """Rows with another text and the same doc_id, or none, keep what is theirs; of rows alike one stays."""
+    line, other = "a line of some length that occurs in several rows", "a line of its own which no other row has at all"
+    third = "nothing but words that stand in no second place\n"
+    rows = [(1, line), (2, f"{line}\nsecond line of the document"), (2, f"{other}\n{line}"), (2, third), (2, third), (None, "the only text of a row without any id"), (None, line), (3, None), (3, None), (3, " ")]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, row1 int, key1 int, n int")
+    got = without_duplicate_lines(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, line), (2, "second line of the document"), (2, other), (2, third), (None, rows[5][1]), (3, None), (3, None), (3, " ")], key=str)
+    text = "seven words make a text of this kind here "
+    rows = [(1, text * 9), (1, text * 9), (1, "quite another text of the same id, to be kept"), (2, text * 9 + "end"), (None, text * 9), (None, "a lonely text without any doc_id at all")]
+    kept = without_near_duplicates(spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, row2 int, gone1 int"))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(1, text * 9), (1, rows[2][1]), (0, rows[5][1])])
+
+
+def test_all_true_links_of_documents_are_found(spark):
+    """Recall of links at 0.8 or more on the smallest table, for the pipeline's five words and the query's two."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    for width in (2, 5):
+        want = components({i: shingles(t, width) for i, t in rows})
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicate_documents(frame(spark, rows), shingle_words=width).collect()}
+        linked = [i for i in want if want[i] != i]
+        assert sum(got[i] == want[i] for i in linked) >= 0.99 * len(linked)
+
+
 def test_empty_documents(spark):
     none = frame(spark, []).limit(0)
     assert near_duplicate_documents(none).count() == 0
@@ -93,7 +147,7 @@ def line_corpus(seed=5):
     return [*rows, (100, None), (101, ""), (102, "\n\n")]
 
 
-@pytest.mark.parametrize("in_task", [2048, 0])
+@pytest.mark.parametrize("in_task", [512, 0])
 def test_lines(spark, monkeypatch, in_task):
     monkeypatch.setattr(neardup, "GROUP_NODES", in_task)
     rows = line_corpus()

@@ -5,7 +5,7 @@ from helpers import components, contamination, lines, shingles
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from loomgraph.llm.line_dedup import MIN_CHARS, WIDTH
+from loomgraph.llm.line_dedup import WIDTH
 from loomgraph.llm.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -38,7 +38,7 @@ def test_language_stage_keeps_clean_documents(stages):
 
 def test_line_stage(stages):
     before, after = pairs(stages[1]), pairs(stages[2])
-    compared = lines(sorted(before.items()), MIN_CHARS, WIDTH)
+    compared = lines(sorted(before.items()), 1, WIDTH)
     roots = components(compared)
     for i, text in before.items():
         kept = [x for n, x in enumerate(text.split("\n")) if roots.get((i, n), (i, n)) == (i, n)]
@@ -96,7 +96,7 @@ def test_line_query_links_short_lines(spark):
     compared = lines(rows, 1, WIDTH)
     want = components(compared)
     got = {(r["doc_id"], r["line_no"]): (r["first_doc_id"], r["first_line_no"]) for r in QUERIES["op1_line_dedup"](spark, DATA).collect()}
-    short = set(compared) - set(lines(rows, MIN_CHARS, WIDTH))
+    short = set(compared) - set(lines(rows, 30, WIDTH))
     assert any(want[key] != key for key in short)
     assert all(want[got[key]] == want[key] for key in compared)  # none is made up
     copies = {}
