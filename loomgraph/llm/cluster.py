@@ -122,10 +122,14 @@ def without(docs: DataFrame, names: list[str], gone: DataFrame) -> DataFrame:
     return docs.join(gone, (F.col(names[0]) == F.col(a)) & (F.col(names[1]) == F.col(b)), "left_anti").drop(*names)
 
 
-def kept_rows(docs: DataFrame, keep: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
-    """The rows of ``docs``, columns and all, for which ``keep`` says true: each row is judged where it is read."""
+def kept_rows(docs: DataFrame, judge: Callable[[], Callable[[pa.RecordBatch], pa.Array]]) -> DataFrame:
+    """The rows of ``docs``, columns and all, of which a task's judge says true: each row is judged where it is read.
+
+    ``judge`` is called once for each task, and what it made goes when the task ends.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = judge()
         for batch in batches:
             yield batch.filter(keep(batch))
 

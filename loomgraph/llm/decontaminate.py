@@ -190,7 +190,8 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, at_once: int
 
 
 def _clean(index):
-    def keep(batch: pa.RecordBatch) -> pa.Array:
-        return pa.array([not _found(text, index.value)[1] for text in batch.column("text").to_pylist()], pa.bool_())
+    def judge():
+        by_word = index.value
+        return lambda batch: pa.array([not _found(text, by_word)[1] for text in batch.column("text").to_pylist()], pa.bool_())
 
-    return keep
+    return judge

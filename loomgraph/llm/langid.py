@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .cluster import checkpointed, kept_rows, map_arrow
 
 #: Words whose scores a worker remembers, the first ones that it meets; distinct words that it counts before it passes the counts on; words, and texts, that are scored together.
-CACHE_WORDS, COUNTED_WORDS, AT_ONCE, TEXTS = 500_000, 200_000, 8_192, 2_048
+CACHE_WORDS, COUNTED_WORDS, AT_ONCE, TEXTS = 300_000, 100_000, 8_192, 1_024
 #: Probability of a character that is no piece; counts that every piece has besides its own.
 UNKNOWN, SMOOTHING = 1e-7, 0.05
 #: Letters of a run whose spans are kept; those of a longer one are found again where they are read.
@@ -28,7 +28,7 @@ KEPT = 4_096
 #: Rows of each language, about, on which expectation-maximisation runs to its fixed point before all rows are counted; its most rounds, and the change of the mean log-probability of a word that ends it.
 SAMPLE_ROWS, ROUNDS, SETTLED = 200, 30, 1e-4
 #: A text whose mean log-probability of a character is this much below its language's is in none of the learned languages.
-MARGIN = 4.0
+MARGIN = 3.0
 #: Languages that are learned, those with the most texts; counts are summed as whole multiples of 1 / UNITS, so that their order is all the same.
 LANGUAGES, UNITS = 256, 1 << 20
 
@@ -379,15 +379,17 @@ def in_known_language(docs: DataFrame, vocabulary_path: str, *, least: float = 0
     Each row is judged by its own text where it is read; doc_ids, null or repeated, don't matter.
     """
     sent = _model(docs, vocabulary_path)
-    held: list[Predictor] = []
-
-    def keep(batch: pa.RecordBatch) -> pa.Array:
-        if not held:
-            held.append(Predictor(vocabulary_path, sent.value))
-        good: list[bool] = []
-        for begin in range(0, batch.num_rows, TEXTS):
-            found = held[0](batch.column("text").slice(begin, TEXTS).to_pylist())
-            good += [name != "und" and value >= least and level >= -margin for name, value, level in zip(*found, strict=True)]
-        return pa.array(good, pa.bool_())
-
-    return kept_rows(docs, keep)
+
+    def judge():
+        predict = Predictor(vocabulary_path, sent.value)
+
+        def keep(batch: pa.RecordBatch) -> pa.Array:
+            good: list[bool] = []
+            for begin in range(0, batch.num_rows, TEXTS):
+                found = predict(batch.column("text").slice(begin, TEXTS).to_pylist())
+                good += [name != "und" and value >= least and level >= -margin for name, value, level in zip(*found, strict=True)]
+            return pa.array(good, pa.bool_())
+
+        return keep
+
+    return kept_rows(docs, judge)
