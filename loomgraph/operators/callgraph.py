@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.params import arity_fits
-from ..functions.scores import file_facts, match_facts
+from ..functions.scores import callee_facts, caller_facts, match_facts
 from ..session import checkpoint_folder
 
 CALLERS = 10
+#: Most files whose imports are broadcast, and most names and sources of theirs (some 50 bytes each).
+BROADCAST_FILES, BROADCAST_IMPORTS = 100_000, 1_000_000
 _KEY = ("path", "name", "sl", "sc", "el", "ec")
 
 
@@ -36,16 +38,25 @@ def ranked_callers(edges: DataFrame, imports: DataFrame, callees: DataFrame, mos
 
     A call fits if its number of arguments does.  Ties in the score go by path, position and name.
     What the score takes from a file is made once for each call and each definition, on their own
-    sides of the join; a pair only compares it.
+    sides of the join; a pair only compares it.  The imports of up to BROADCAST_FILES files, and
+    BROADCAST_IMPORTS in all, meet the pairs in place; more are joined with the calls before that.
     """
-    folded = imports.groupBy("path").agg(F.collect_set(F.struct("name", "source")).alias("imports")).withColumnRenamed("path", "ipath")
-    sites = edges.join(folded, F.col("path") == F.col("ipath"), "left").drop("ipath").withColumn("file", file_facts(F.col("path")))
+    named = imports.select(F.col("path").alias("ipath"), F.explode(F.array("name", "source")).alias("imported")).groupBy("ipath").agg(F.collect_set("imported").alias("imported"))
+    files, names = named.agg(F.count(F.lit(1)), F.sum(F.size("imported"))).first()
+    few = files <= BROADCAST_FILES and (names or 0) <= BROADCAST_IMPORTS
+    sites = edges.withColumn("file", caller_facts(F.col("path")))
+    if not few:
+        sites = sites.join(named, F.col("path") == F.col("ipath"), "left").drop("ipath")
     of = callees.columns
-    called = callees.withColumn("c_file", file_facts(F.col("c_path")))
+    called = callees.withColumn("c_file", callee_facts(F.col("c_path")))
     fits = (F.col("callee") == F.col("c_name")) & arity_fits(F.col("args"), F.col("c_params"), F.col("c_var_args"))
-    found = sites.join(called, fits).withColumn("score", match_facts(F.col("path"), F.col("file"), F.col("c_path"), F.col("c_file"), F.col("imports"))).drop("imports", "file", "c_file")
+    found = sites.join(called, fits)
+    if few:
+        found = found.join(F.broadcast(named), F.col("path") == F.col("ipath"), "left").drop("ipath")
+    found = found.withColumn("score", match_facts(F.col("path"), F.col("file"), F.col("c_path"), F.col("c_file"), F.col("imported"))).drop("imported", "file", "c_file")
     order = [F.desc("score"), "path", "sl", "sc", "caller", "call_sl", "call_sc"]
-    found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*of).orderBy(*order)))
+    # paths begin alike: rows are sorted by a hash of the definition first, which tells most of them apart at once
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy(F.xxhash64(*of), *of).orderBy(*order)))
     return found if most is None else found.where(F.col("rank") <= most)
 
 
