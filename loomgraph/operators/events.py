@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import DRAIN_ORDER
+from ..schema import CODEGRAPH, DRAIN_ORDER, EMBEDDING
 
 #: Event types of file states.
 EVENT_OF = {"add": "add_file", "modify": "modify_file", "delete": "delete_file"}
@@ -102,6 +102,18 @@ def inserted(events: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     return events.unionByName(rows.drop("begin", "at"), allowMissingColumns=True).select(events.columns)
 
 
+def page(events: DataFrame, limit: int, offset: int = 0, *, newest_first: bool = True) -> DataFrame:
+    """Events by time of creation, ties by id: ``limit`` of them after the first ``offset``."""
+    time = F.desc("created_at") if newest_first else F.asc("created_at")
+    return events.orderBy(time, "id").offset(offset).limit(limit)
+
+
+def with_status_names(events: DataFrame) -> DataFrame:
+    """events with the names of both states (embedding, codegraph); a number without a name gives null."""
+    named = lambda names, c: F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col(c))
+    return events.withColumns({"embedding": named(EMBEDDING, "embedding_status"), "codegraph": named(CODEGRAPH, "codegraph_status")})
+
+
 def deleted(events: DataFrame, ids: DataFrame) -> DataFrame:
     """events without the listed ids."""
     return events.join(ids.select("id").distinct(), "id", "left_anti").select(events.columns)

@@ -64,8 +64,8 @@ def upserted(old: Index, files: DataFrame, *, extract: Extractor = extract_eleme
     return Index(I.upsert(old.files.select("path", "ts"), fresh, "path"), kept.unionByName(_built(files, extract), allowMissingColumns=True))
 
 
-def of_projects(paths: DataFrame, projects: DataFrame, *, one: bool = False) -> DataFrame:
-    """(path, root) of every project root above a path, or, with ``one``, of the first by name.
+def of_projects(paths: DataFrame, projects: DataFrame, *, one: bool = False, longest: bool = False) -> DataFrame:
+    """(path, root) of every project root above a path, or, with ``one``, of the first by name, with ``longest`` of the innermost.
 
     Paths are expanded into their folders, which are matched by equality: no path meets all roots.
     """
@@ -73,6 +73,8 @@ def of_projects(paths: DataFrame, projects: DataFrame, *, one: bool = False) ->
     folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     above = paths.select("path").distinct().select("path", F.explode(F.when(F.size(parts) > 1, folders)).alias("root"))
     found = above.join(projects.select("root").distinct(), "root", "left_semi").select("path", "root")
+    if longest:
+        return found.groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
     return found.groupBy("path").agg(F.min("root").alias("root")) if one else found
 
 

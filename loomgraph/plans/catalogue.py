@@ -447,7 +447,7 @@ def event_finalise(t):
 
 @query(" SELECT id, workspace, created_at FROM queue ORDER BY created_at DESC, id LIMIT 50 OFFSET 20")
 def event_page(t):
-    return t("queue").orderBy(F.desc("created_at"), "id").offset(20).limit(50).select("id", "workspace", "created_at")
+    return events.page(t("queue"), 50, 20).select("id", "workspace", "created_at")
 
 
 @query(" SELECT sync_id, count(*) AS n FROM queue WHERE sync_id <> '' GROUP BY sync_id")

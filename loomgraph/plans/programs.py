@@ -72,6 +72,17 @@ def sync_batches(t):
     return diffs.batches(diffs.tree_diff(t("local_tree"), t("remote_tree")), 20).select("path", "status", "batch")
 
 
+@query(" SELECT id, workspace, created_at FROM queue ORDER BY created_at, id LIMIT 30")
+def oldest_events(t):
+    return events.page(t("queue"), 30, newest_first=False).select("id", "workspace", "created_at")
+
+
+@query(""" SELECT id, CASE embedding_status WHEN 1 THEN 'init' WHEN 2 THEN 'uploading' WHEN 3 THEN 'building' WHEN 4 THEN 'uploadFailed' WHEN 5 THEN 'buildFailed' ELSE 'success' END AS embedding,
+  CASE codegraph_status WHEN 1 THEN 'init' WHEN 2 THEN 'building' WHEN 3 THEN 'failed' ELSE 'success' END AS codegraph FROM queue""")
+def status_names(t):
+    return events.with_status_names(t("queue")).select("id", "embedding", "codegraph")
+
+
 # workspaces
 
 _MANAGED = """managed AS (SELECT workspace, active, file_num, done, TIMESTAMP '2024-01-01 00:00:00' + to_hours(cast(file_num AS int)) AS created_at, TIMESTAMP '2024-01-01 00:00:00' AS updated_at FROM workspaces)"""
@@ -297,6 +308,13 @@ def first_project_of_file(t):
     return mutations.of_projects(t("elements"), t("projects"), one=True)
 
 
+@query(""" WITH roots AS (SELECT root FROM projects UNION ALL SELECT '/ws' UNION ALL SELECT '/ws/p8/pkg8')
+SELECT e.path, max_by(r.root, length(r.root)) AS root FROM (SELECT DISTINCT path FROM elements) e JOIN roots r ON starts_with(e.path, concat(r.root, '/')) GROUP BY e.path""")
+def innermost_project_of_file(t):
+    few = t("projects").sparkSession.createDataFrame([("/ws",), ("/ws/p8/pkg8",)], "root string")
+    return mutations.of_projects(t("elements"), t("projects").select("root").unionByName(few), longest=True)
+
+
 # index programs; extraction is stood in for by the element table itself, with new names
 
 _N = "cast(regexp_extract(regexp_extract(path, '[^/]*$'), '[0-9]+') AS bigint)"

@@ -12,6 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.events import polls
 
+#: How often a job's stream is triggered.
+CADENCES = {"scan": "5 minutes", "embedding": "120 seconds", "status": "80 seconds", "index clean-up": "60 minutes", "events": "1 second"}
+
 _OUT = "workspace string, path string, id long, event_type string, action string"
 _STATE = "id long, event_type string, busy boolean"
 
@@ -63,6 +66,11 @@ def recent(stream: DataFrame, hours: int = 48) -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(["id"]).drop("seen_at")
 
 
+def every(stream: DataFrame, job: str, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """A query that gives each micro-batch to ``handle`` at the cadence of a job."""
+    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(processingTime=CADENCES[job]).start()
+
+
 def drain(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, per_type: int = 10) -> StreamingQuery:
     """Each micro-batch's open events in polls of ``per_type`` of each type, the oldest first, to ``handle``; ends when the input is read.
 
