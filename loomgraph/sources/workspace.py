@@ -2,31 +2,77 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import LANGUAGES, is_hidden, parent_dir
-from .ignore import MAX_BYTES, rejected
+from ..functions.paths import LANGUAGES, base_name, is_hidden, parent_dir
+from ..session import checkpoint_folder
+from .ignore import MAX_BYTES, ignored, rejected
 
 MAX_FILES = 10_000
 
 
-def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path relative to root, modified, size) of all files below root, hidden ones left out; contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return _relative(files, root).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size")).where(~is_hidden(F.col("path")))
-
-
-def contents(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path relative to root, modified, size, content as text) of all files below root, hidden ones left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    text = F.decode("content", "UTF-8").alias("content")
-    return _relative(files, root).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), text).where(~is_hidden(F.col("path")))
+def listing(spark: SparkSession, root: str, pattern: str = "*", *, rules: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """(path relative to root, modified, size) of all files below root, hidden ones left out; contents aren't read.
 
-
-def _relative(files: DataFrame, root: str) -> DataFrame:
-    bare = F.regexp_replace("path", "^[a-z]+:/+", "/")
-    return files.withColumn("path", F.regexp_replace(F.substr(bare, F.lit(len(root.rstrip("/")) + 1)), "^/+", ""))
+    The walk goes down level by level, each folder listed by a task; hidden folders, and those
+    that the ignore rules leave out, are never entered.  Names that begin with "_" are names like
+    others.  It ends once ``most`` entries (None: any number) have been visited, with what it has
+    by then.  root is a path or URI that all machines can read.
+    """
+    found, level, visited = None, spark.createDataFrame([("",)], "folder string"), 0
+    top = root.rstrip("/") or "/"
+    while True:
+        entries = level.repartition(max(1, min(spark.sparkContext.defaultParallelism, level.count()))).mapInArrow(partial(_entries, top), "path string, folder boolean, modified timestamp, size long")
+        entries = _stored(entries.where(~is_hidden(F.col("path"))))
+        visited += entries.count()
+        found = entries if found is None else found.unionByName(entries)
+        down = entries.where("folder")
+        if rules:
+            down = down.where(~ignored(F.concat("path", F.lit("/")), rules))
+        level = down.select(F.col("path").alias("folder"))
+        if level.isEmpty() or (most is not None and visited >= most):
+            break
+    glob = "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + "$"
+    return found.where(~F.col("folder") & base_name(F.col("path")).rlike(glob)).select("path", "modified", "size")
+
+
+def contents(spark: SparkSession, root: str, pattern: str = "*", *, rules: list[str] | None = None) -> DataFrame:
+    """(path relative to root, modified, size, content as text) of the files that ``listing`` gives; bytes that are no UTF-8 are replaced."""
+    return listing(spark, root, pattern, rules=rules).mapInArrow(partial(_texts, root.rstrip("/") or "/"), "path string, modified timestamp, size long, content string")
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def _entries(root: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folders (relative to root) to their entries."""
+    store, top = pafs.FileSystem.from_uri(root)
+    for batch in batches:
+        rows = []
+        for folder in batch.column("folder").to_pylist():
+            for x in store.get_file_info(pafs.FileSelector(f"{top}/{folder}" if folder else top, allow_not_found=True)):
+                rows.append((f"{folder}/{x.base_name}" if folder else x.base_name, x.type == pafs.FileType.Directory, x.mtime, x.size))
+        kinds = (pa.string(), pa.bool_(), pa.timestamp("us", "UTC"), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["path", "folder", "modified", "size"])
+
+
+def _texts(root: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a listing with their files' contents, a few files at a time."""
+    store, top = pafs.FileSystem.from_uri(root)
+    for batch in batches:
+        for start in range(0, batch.num_rows, 64):
+            part = batch.slice(start, 64)
+            texts = [store.open_input_stream(f"{top}/{p}").read().decode("utf-8", "replace") for p in part.column("path").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "content"])
 
 
 def accepted(files: DataFrame, rules: list[str], *, extensions: tuple[str, ...] = tuple(LANGUAGES), most_bytes: int = MAX_BYTES, most_files: int | None = None) -> DataFrame:

@@ -262,3 +262,14 @@ def test_stream_drain_handles_every_event(spark, tmp_path):
     stream = spark.readStream.schema(QUEUE).parquet(str(tmp_path / "in"))
     stream_queue.drain(stream, lambda df, _: polls.append([r["id"] for r in df.collect()]), str(tmp_path / "c")).awaitTermination()
     assert polls == [[100, 101, 102, *range(10)], list(range(10, 20)), list(range(20, 25))]
+
+
+def test_listing_enters_what_it_should(spark, tmp_path):
+    """Names with an underscore are files like others; hidden and ignored folders are never entered."""
+    for name in ("pkg/__init__.py", "pkg/_x.py", "_priv/deep/z.py", ".git/q.py", "node_modules/m/i.js", "a.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"# {name}")
+    assert rows(workspace.listing(spark, str(tmp_path)), "path") == [("_priv/deep/z.py",), ("a.py",), ("node_modules/m/i.js",), ("pkg/__init__.py",), ("pkg/_x.py",)]
+    assert rows(workspace.listing(spark, str(tmp_path), "*.py", rules=["node_modules/", "_priv/"]), "path") == [("a.py",), ("pkg/__init__.py",), ("pkg/_x.py",)]
+    assert rows(workspace.listing(spark, str(tmp_path), most=1), "path") == [("a.py",)]  # ends after the first level
+    assert rows(workspace.contents(spark, str(tmp_path), "__init__.py"), "path", "content", "size") == [("pkg/__init__.py", "# pkg/__init__.py", 17)]
