@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
+from functools import wraps
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -71,18 +76,54 @@ def checkpointed(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete the files of tables that ``checkpointed`` wrote; nothing that is still to run may read them."""
-    for table in tables:
-        for name in table.inputFiles()[:1]:
-            folder = name.rsplit("/", 1)[0]
-            if not folder.rsplit("/", 1)[1].startswith("table-"):
-                raise ValueError(f"{folder} is no intermediate table")
-            path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    table = spark.read.schema(df.schema).parquet(path)
+    if _written.get() is not None:
+        _written.get().append(path)
+    _path_of[id(table)] = path
+    weakref.finalize(table, _path_of.pop, id(table), None)
+    return table
+
+
+def scoped(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``step``, which returns a table that ``checkpointed`` wrote, with the other tables that it wrote deleted at its end.
+
+    Every use of them is done by then, as the result is read from its own files.
+    """
+
+    @wraps(step)
+    def run(*args, **kwargs) -> DataFrame:
+        outer, own = _written.get(), []
+        token = _written.set(own)
+        try:
+            out = step(*args, **kwargs)
+        finally:
+            _written.reset(token)
+        kept = _path_of.get(id(out))
+        for path in own:
+            if path == kept:
+                if outer is not None:
+                    outer.append(path)
+            elif kept is not None:
+                _delete(path)
+            elif outer is not None:  # the result may read any of them
+                outer.append(path)
+        return out
+
+    return run
+
+
+#: Tables written in the step that runs; the table that a DataFrame reads, as long as it lives.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+_path_of: dict[int, str] = {}
+
+
+def _delete(path: str) -> None:
+    """Delete a table's folder, where the driver knows its kind of store; else it stays until the checkpoint folder goes."""
+    try:
+        store, place = fs.FileSystem.from_uri(re.sub("^file:/+", "/", path))
+        store.delete_dir(place)
+    except (OSError, pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        return
 
 
 def row_keys(df: DataFrame) -> list[Column]:

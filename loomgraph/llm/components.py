@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import checkpointed
+from .cluster import checkpointed, scoped
 
 #: Edges of a partition between the rounds.
 PART_EDGES = 100_000
@@ -30,6 +30,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(known.select("u", F.col("m").alias("v"))).distinct()
 
 
+@scoped
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, root) for each node of ``edges`` (columns a and b of one ordered type): root is the
     least node of its component.
@@ -47,7 +48,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         state, now = found, checkpointed(_small_star(_large_star(now.coalesce(parts))).coalesce(parts))
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-    return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
+    return checkpointed(now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct())
 
 
 def extended(classes: DataFrame, links: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .cluster import BROADCAST_KEYS, checkpointed, map_arrow
+from .cluster import BROADCAST_KEYS, checkpointed, map_arrow, scoped
 from .components import connected_components, extended
 
 #: Nodes and characters of a bucket that is joined within a task.
@@ -307,6 +307,7 @@ def _prefix_pairs(prefix: DataFrame, hot: DataFrame, s: Similarity) -> DataFrame
     return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
+@scoped
 def near_components(nodes: DataFrame, n_bands: int, s: Similarity, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, root) of the nodes that have links; root is the least id of the class.
 
@@ -338,7 +339,7 @@ def near_components(nodes: DataFrame, n_bands: int, s: Similarity, texts_of: Cal
         return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
     tried = checkpointed(ordered(members.where("id <> hub")))
-    classes = checkpointed(connected_components(confirm(tried)))
+    classes = connected_components(confirm(tried))
 
     def labelled(classes: DataFrame, of: DataFrame) -> DataFrame:
         named = of.join(classes.select(F.col("id").alias("id_"), "root"), F.col("id") == F.col("id_"), "left")
