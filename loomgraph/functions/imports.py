@@ -90,7 +90,11 @@ def in_package(path: Column, name: Column, source: Column) -> Column:
     return named_in(dotted(path), name, source)
 
 
-def visible(path: Column, file: Column, imports: Column) -> Column:
-    """A definition in path can be meant in file: same file, same folder or contained in an import (array of structs)."""
-    imported = F.exists(imports, lambda i: in_package(path, i["name"], i["source"]))
+def visible(path: Column, file: Column, imports: Column, with_dots: Column | None = None) -> Column:
+    """A definition in path can be meant in file: same file, same folder or contained in an import (array of structs).
+
+    with_dots: the path as ``dotted`` gives it, where it is at hand.
+    """
+    known = dotted(path) if with_dots is None else with_dots
+    imported = F.exists(imports, lambda i: named_in(known, i["name"], i["source"]))
     return (path == file) | same_parent(path, file) | F.coalesce(imported, F.lit(False))

@@ -28,8 +28,9 @@ def call_edges(elements: DataFrame) -> DataFrame:
     return caller.join(call, on).select("callee", "args", "caller", "path", "sl", "sc", "el", "ec", "params", "var_args", "call_sl", "call_sc")
 
 
-def callee_map(edges: DataFrame) -> DataFrame:
-    """Per callee its number of call sites and the distinct callers."""
+def callee_map(edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Per callee, or per callee in ``names`` (callee), its number of call sites and the distinct callers."""
+    edges = edges if names is None else edges.join(names.select("callee").distinct(), "callee", "left_semi")
     return edges.groupBy("callee").agg(F.count(F.lit(1)).alias("sites"), F.array_sort(F.collect_set("caller")).alias("callers"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.imports import in_package, visible
+from ..functions.imports import dotted, in_package, visible
 from ..functions.params import DEFINITIONS, symbol_names
 
 
@@ -28,8 +28,8 @@ def by_lines(elements: DataFrame, imports: DataFrame, symbols: DataFrame, ranges
     used = inside.where(~F.col("element_type").isin(*DEFINITIONS)).select("path", "start", "end", "ordinal", "language", "name")
     folded = imports.join(asked.select("path_").distinct(), F.col("path") == F.col("path_")).groupBy("path").agg(F.collect_set(F.struct("name", "source")).alias("imports"))
     used = used.join(folded.withColumnRenamed("path", "ipath"), F.col("path") == F.col("ipath"), "left").drop("ipath")
-    found = used.join(symbols.select("language", "name", F.col("path").alias("def_path"), F.col("sl").alias("dsl"), F.col("el").alias("del_"), "element_type"), ["language", "name"])
-    found = found.withColumn("seen", visible(F.col("def_path"), F.col("path"), F.col("imports")))
+    found = used.join(symbols.select("language", "name", F.col("path").alias("def_path"), F.col("sl").alias("dsl"), F.col("el").alias("del_"), "element_type", dotted(F.col("path")).alias("dotted")), ["language", "name"])
+    found = found.withColumn("seen", visible(F.col("def_path"), F.col("path"), F.col("imports"), F.col("dotted")))
     found = found.withColumn("any_seen", F.max("seen").over(Window.partitionBy("path", "start", "end", "ordinal")))
     found = found.where("seen or not any_seen").select("path", "start", "end", "name", "def_path", F.col("dsl").alias("sl"), F.col("del_").alias("el"), "element_type")
     return own.unionByName(found)

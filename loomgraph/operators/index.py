@@ -14,10 +14,16 @@ def symbol_occurrences(elements: DataFrame) -> DataFrame:
     return elements.where(F.col("element_type").isin(*DEFINITIONS)).select("language", "name", "path", "sl", "sc", "el", "ec", "element_type")
 
 
-def symbol_table(elements: DataFrame) -> DataFrame:
-    """One row for each (language, name) with the sorted list of its occurrences."""
+def symbol_table(elements: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """One row for each (language, name), or for those in ``names`` alone, with the sorted list of its occurrences.
+
+    A name's list is as long as it has occurrences; ``symbol_occurrences`` has them as flat rows.
+    """
     occurrence = F.struct("path", "sl", "sc", "el", "ec", "element_type")
-    return symbol_occurrences(elements).groupBy("language", "name").agg(F.array_sort(F.collect_list(occurrence)).alias("occurrences"))
+    flat = symbol_occurrences(elements)
+    if names is not None:
+        flat = flat.join(names.select("language", "name").distinct(), ["language", "name"], "left_semi")
+    return flat.groupBy("language", "name").agg(F.array_sort(F.collect_list(occurrence)).alias("occurrences"))
 
 
 def changed_files(files: DataFrame, index: DataFrame) -> DataFrame:

@@ -26,12 +26,17 @@ def references(elements: DataFrame, names: DataFrame) -> DataFrame:
     return uses.join(names.select("name").distinct(), "name").select("name", "path", "language", "element_type", "sl", "sc", "el", "ec")
 
 
-def reference_tree(elements: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (root_path, name, root_sl, path, sl, rank): each root's uses; of equal names in a file only the last root has any."""
+def reference_tree(elements: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """Rows (root_path, name, root_sl, path, sl, rank): each root's uses; of equal names in a file only the last root has any.
+
+    The uses of a name are the same for all of its roots: they are ranked once for each name, and
+    with ``most`` cut to so many, before they meet the roots.
+    """
     last = last_roots(roots).select(F.col("path").alias("root_path"), "name", F.col("sl").alias("root_sl"))
-    found = references(elements, last).join(last, "name")
-    w = Window.partitionBy("root_path", "name").orderBy("path", "sl", "sc", "ec")
-    return found.select("root_path", "name", "root_sl", "path", "sl", "sc", F.row_number().over(w).alias("rank"))
+    w = Window.partitionBy("name").orderBy("path", "sl", "sc", "ec")
+    ranked = references(elements, last).withColumn("rank", F.row_number().over(w))
+    ranked = ranked if most is None else ranked.where(F.col("rank") <= most)
+    return ranked.join(last, "name").select("root_path", "name", "root_sl", "path", "sl", "sc", "rank")
 
 
 def limited(tree: DataFrame, siblings: int, layers: int, longest: int = 200) -> DataFrame:
