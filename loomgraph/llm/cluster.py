@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import uuid
 import weakref
@@ -99,6 +100,7 @@ def scoped(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         finally:
             _written.reset(token)
         kept = _path_of.get(id(out))
+        tidied(out)
         for path in own:
             if path == kept:
                 if outer is not None:
@@ -112,6 +114,16 @@ def scoped(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def tidied(df: DataFrame) -> None:
+    """Have the driver's two processes collect their garbage: plans and broadcasts of many small steps stay there else.
+
+    Spark's cleaner removes what belongs to them on the way.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    trim()
+
+
 #: Tables written in the step that runs; the table that a DataFrame reads, as long as it lives.
 _written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 _path_of: dict[int, str] = {}

@@ -245,13 +245,36 @@ def settled(words: list[str], n: np.ndarray, pieces: Pieces) -> np.ndarray:
     return p
 
 
+def _settled(path: str):
+    """applyInArrow function: a language's words (lang, word, n) to its settled probabilities, as raw doubles."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("word")
+        p = settled(rows.column("word").to_pylist(), rows.column("n").to_numpy().astype(float), pieces_of(path))
+        return pa.table({"lang": rows.column("lang").slice(0, 1).combine_chunks(), "p": pa.array([p.tobytes()], pa.binary())})
+
+    return run
+
+
+def _usual(path: str, known):
+    """applyInArrow function: a language's words to the mean log-probability of a character in them."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("word")
+        lang, words, n = rows.column("lang")[0].as_py(), rows.column("word").to_pylist(), rows.column("n").to_numpy().astype(float)
+        scores = word_scores(words, pieces_of(path), known.value[lang][:, None])[:, 0]
+        return pa.table({"lang": pa.array([lang], pa.string()), "level": pa.array([float((scores * n).sum() / (n * [len(w) + 1 for w in words]).sum())], pa.float64())})
+
+    return run
+
+
 def learned(docs: DataFrame, path: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """(languages, piece probabilities with a zero row at the end, log shares of the texts, mean log-probability of a character).
 
     docs: doc_id, text and lang, none null.  Words are counted over all rows.  Expectation-
     maximisation runs to its fixed point on about SAMPLE_ROWS rows of each language; with these
-    probabilities the pieces of all words are expected and counted once more.  The driver gets the
-    words of the sample and at most one number for each of LANGUAGES languages and each piece.
+    probabilities the pieces of all words are expected and counted once more.  The driver gets at
+    most one number for each of LANGUAGES languages and each piece.
     """
     spark = docs.sparkSession
     counted = checkpointed(map_arrow(docs.select("lang", "text"), _count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
@@ -262,10 +285,10 @@ def learned(docs: DataFrame, path: str) -> tuple[list[str], np.ndarray, np.ndarr
         return [], np.zeros((pieces.size + 1, 0)), np.zeros(0), np.zeros(0)
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, SAMPLE_ROWS / texts[lang]))])
     drawn = docs.where(F.col("lang").isin(languages)).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    sample: dict[str, dict[str, int]] = {lang: {} for lang in languages}
-    for r in map_arrow(drawn.select("lang", "text"), _count, "lang string, word string, n long").where("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
-        sample[r["lang"]][r["word"]] = r["n"]
-    starts = {lang: settled(sorted(words), np.array([words[w] for w in sorted(words)], dtype=float), pieces) for lang, words in sample.items()}
+    sample = checkpointed(map_arrow(drawn.select("lang", "text"), _count, "lang string, word string, n long").where("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    starts = dict.fromkeys(languages, _first(pieces.size))
+    found = sample.groupBy("lang").applyInArrow(_settled(path), "lang string, p binary").toArrow()
+    starts.update({lang: np.frombuffer(p) for lang, p in zip(found.column("lang").to_pylist(), found.column("p").to_pylist(), strict=True)})
     sent = spark.sparkContext.broadcast(starts)
     whole = counted.where((F.col("word") != "") & F.col("lang").isin(languages))
     expected = map_arrow(whole, _expect(path, sent), "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
@@ -275,11 +298,10 @@ def learned(docs: DataFrame, path: str) -> tuple[list[str], np.ndarray, np.ndarr
         counts[r["piece"], column[r["lang"]]] += r["n"] / UNITS
     counts[pieces.size] = 0
     shares = np.array([texts[lang] for lang in languages], dtype=float)
-    table, usual = counts / counts.sum(axis=0, keepdims=True), np.zeros(len(languages))
-    for j, lang in enumerate(languages):
-        words = sorted(sample[lang])
-        n = np.array([sample[lang][w] for w in words], dtype=float)
-        usual[j] = (word_scores(words, pieces, table[:, j : j + 1])[:, 0] * n).sum() / (n * [len(w) + 1 for w in words]).sum() if words else -math.inf
+    table, usual = counts / counts.sum(axis=0, keepdims=True), np.full(len(languages), -math.inf)
+    known = spark.sparkContext.broadcast({lang: table[:, j] for lang, j in column.items()})
+    for r in sample.groupBy("lang").applyInArrow(_usual(path, known), "lang string, level double").collect():
+        usual[column[r["lang"]]] = r["level"]
     return languages, table, np.log(shares / shares.sum()), usual
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .cluster import BROADCAST_KEYS, checkpointed, map_arrow, scoped
+from .cluster import BROADCAST_KEYS, checkpointed, map_arrow, scoped, tidied
 from .components import connected_components, extended
 
 #: Nodes and characters of a bucket that is joined within a task.
@@ -314,6 +314,7 @@ def near_components(nodes: DataFrame, n_bands: int, s: Similarity, texts_of: Cal
     nodes: id long (one row each), n (shingles), k0.. (band keys) and, with sketches, filled and s0..
     texts_of: from the wanted ids (one column ``id``) to rows id, text.
     """
+    tidied(nodes)
     bands = nodes.select("id", F.explode(F.array(*[f"k{i}" for i in range(n_bands)])).alias("band"))
     hubs = checkpointed(bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).where("size > 1").withColumnRenamed("band", "band_"))
     shared = F.broadcast(hubs) if hubs.count() <= BROADCAST_KEYS else hubs
@@ -338,6 +339,7 @@ def near_components(nodes: DataFrame, n_bands: int, s: Similarity, texts_of: Cal
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
+    tidied(nodes)
     tried = checkpointed(ordered(members.where("id <> hub")))
     classes = connected_components(confirm(tried))
 
