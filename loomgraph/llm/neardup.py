@@ -31,7 +31,7 @@ from .cluster import BROADCAST_KEYS, checkpointed, map_arrow, scoped, tidied
 from .components import connected_components, extended
 
 #: Nodes and characters of a bucket that is joined within a task.
-GROUP_NODES, GROUP_CHARS = 512, 4_000_000
+GROUP_NODES, GROUP_CHARS = 2_048, 4_000_000
 #: Characters of small groups that are joined at once; nodes of a group whose pairs are listed.
 GROUPED_CHARS, PAIRED = 1 << 20, 12
 #: Hub rounds over larger buckets before the exact join of what is left, and over its hot shingles: those of more than HOT sets.
