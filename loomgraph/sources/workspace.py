@@ -107,16 +107,24 @@ def with_content_hash(files: DataFrame) -> DataFrame:
 
 
 def manifest(changes: DataFrame, codebase: Column | str, size: int = 100_000) -> DataFrame:
-    """(part, metadata): what goes with an upload, as JSON: every changed path with its status; parts of about ``size`` paths.
+    """(part, metadata): what goes with an upload, as JSON: every change's path and status; parts of about ``size`` changes.
 
-    Paths are dealt to the parts by hash, so that no list grows with the workspace.
+    Changes are dealt to the parts by hash, so that no list grows with the workspace; together the
+    parts list each change once, one of a null or repeated path too.
     """
     n = changes.count()
     parts = max(1, -(-n // size))
-    rows = changes.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int"))
-    listed = F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "status"))))
+    rows = changes.withColumn("part", F.pmod(F.xxhash64(*changes.columns), F.lit(parts)).cast("int"))
+    listed = F.array_sort(F.collect_list(F.struct("path", "status")))
     name = F.lit(codebase) if isinstance(codebase, str) else codebase
-    return rows.groupBy("part").agg(listed.alias("files")).select("part", F.to_json(F.struct(name.alias("codebase"), F.col("files").alias("files"))).alias("metadata"))
+    dealt = rows.repartition(parts, "part")  # a task holds a few parts' lists, whatever their number
+    return dealt.groupBy("part").agg(listed.alias("files")).select("part", F.to_json(F.struct(name.alias("codebase"), F.col("files").alias("files"))).alias("metadata"))
+
+
+def manifest_files(parts: DataFrame) -> DataFrame:
+    """(part, path, status): every change that the parts of a manifest list, read from their JSON."""
+    listed = F.from_json("metadata", "codebase string, files array<struct<path string, status string>>")["files"]
+    return parts.select("part", F.inline(listed))
 
 
 def projects(paths: DataFrame, workspace: str, depth: int = 3) -> DataFrame:

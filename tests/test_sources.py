@@ -2,9 +2,11 @@
 
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.plans.catalogue import ORACLE_SQL, QUERIES
 from loomgraph.sources import extract, ignore, workspace
 from loomgraph.streaming import queue as stream_queue
 
@@ -48,6 +50,30 @@ def test_projects(spark):
     assert at(["x.go"]) == [("/w",)]
 
 
+def test_manifest_in_parts(spark):
+    """Parts list each change once between them, those of a null or repeated path too."""
+    paths = [(f"f{i}", "add") for i in range(50)] + [("f7", "delete"), ("f7", "add"), (None, "add"), ('a"b\\c\n', "modify")]
+    made = workspace.manifest(spark.createDataFrame(paths, "path string, status string"), "base", size=10)
+    assert made.count() > 1
+    found = workspace.manifest_files(made)
+    assert sorted(((r["path"], r["status"]) for r in found.collect()), key=repr) == sorted(paths, key=repr)
+
+
+@pytest.mark.parametrize(("copies", "renamed"), [(0, True), (40_000, True), (40, False)])
+def test_change_manifest_of_any_size(spark, tmp_path, copies, renamed):
+    """One row, as in SQL: of no changes, of more than a part holds, of several rows for a path."""
+    span = 10 if copies < 1000 else copies * 10
+    ids = spark.range(0, span * (copies if not renamed else 1) if copies else 0)
+    name = F.col("id") if renamed else F.col("id") % span
+    ids.select(F.col("id").alias("c_custkey"), F.concat(F.lit("c"), name.cast("string")).alias("c_name")).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL["change_manifest"]).fetchall()
+    got = [(r["part"], r["files"]) for r in QUERIES["change_manifest"](spark, str(tmp_path)).collect()]
+    assert got == want
+    assert (got[0][1] > 100_000) == (copies == 40_000)
+
+
 GO = '''package demo
 
 import (
