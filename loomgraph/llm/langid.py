@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,10 @@ CACHE_WORDS, COUNTED_WORDS, AT_ONCE, TEXTS = 300_000, 100_000, 8_192, 1_024
 UNKNOWN, SMOOTHING = 1e-7, 0.05
 #: Letters of a run whose spans are kept; those of a longer one are found again where they are read.
 KEPT = 4_096
-#: Rows of each language, about, on which expectation-maximisation runs to its fixed point before all rows are counted; its most rounds, and the change of the mean log-probability of a word that ends it.
-SAMPLE_ROWS, ROUNDS, SETTLED = 200, 30, 1e-4
+#: Characters of words that a task gathers before it counts their pieces.
+GATHERED = 1 << 19
+#: Most rounds of expectation-maximisation, and the change of the mean log-probability of a word that ends it.
+ROUNDS, SETTLED = 30, 1e-4
 #: A text whose mean log-probability of a character is this much below its language's is in none of the learned languages.
 MARGIN = 3.0
 #: Languages that are learned, those with the most texts; counts are summed as whole multiples of 1 / UNITS, so that their order is all the same.
@@ -155,6 +157,7 @@ def expected_counts(words: list[str], weights: np.ndarray, pieces: Pieces, first
         alpha, up = _forward(spans, n, table, len(at), pieces.longest, keep=True)
         beta, down = _forward(spans, n, table, len(at), pieces.longest, back=True, keep=True)
         whole, top = np.maximum(alpha[n][:, 0], 1e-300), up[n][:, 0]
+        scaled = up[n] is not up[0] or down[n] is not down[0]
         logs += float(((np.log(whole) + top) * weight).sum())
         for end in range(1, n + 1):
             for start in range(max(0, end - pieces.longest), end):
@@ -164,7 +167,9 @@ def expected_counts(words: list[str], weights: np.ndarray, pieces: Pieces, first
                 p = table[ids, 0]
                 if end - start == 1:
                     p = np.where(ids == pieces.size, UNKNOWN, p)
-                share = alpha[start][:, 0] * p * beta[n - end][:, 0] / whole * np.exp(np.clip(up[start][:, 0] + down[n - end][:, 0] - top, -600, 600))
+                share = alpha[start][:, 0] * p * beta[n - end][:, 0] / whole
+                if scaled:
+                    share = share * np.exp(np.clip(up[start][:, 0] + down[n - end][:, 0] - top, -600, 600))
                 counts += np.bincount(ids, share * weight, len(counts))
     return counts[:-1], logs
 
@@ -211,21 +216,31 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield passed()
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str], np.ndarray]]:
+    """(lang, words, n) of a task's rows, gathered over batches: words of equal length are counted together."""
+    held: dict[str, tuple[list[str], list[int]]] = {}
+    letters = 0
+    for batch in batches:
+        for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
+            words, counts = held.setdefault(lang, ([], []))
+            words.append(word)
+            counts.append(n)
+            letters += len(word)
+            if letters >= GATHERED:
+                yield from ((x, w, np.array(c, dtype=float)) for x, (w, c) in held.items())
+                held, letters = {}, 0
+    yield from ((x, w, np.array(c, dtype=float)) for x, (w, c) in held.items())
+
+
 def _expect(path: str, sent):
-    """mapInArrow function: (lang, word, n) to the expected uses of pieces, as whole multiples of 1 / UNITS."""
+    """mapInArrow function: (lang, word, n) to the expected uses of pieces and, as one piece more, the words' log-probability; whole multiples of 1 / UNITS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, starts = pieces_of(path), sent.value
         totals: dict[str, np.ndarray] = {}
-        for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            words, n = np.array(batch.column("word").to_pylist(), dtype=object), batch.column("n").to_numpy(zero_copy_only=False).astype(float)
-            groups: dict[str, list[int]] = {}
-            for i, lang in enumerate(langs):
-                groups.setdefault(lang, []).append(i)
-            for lang, at in groups.items():
-                got, _ = expected_counts(words[at].tolist(), n[at], pieces, starts[lang])
-                totals[lang] = totals.get(lang, 0) + np.rint(got * UNITS).astype(np.int64)
+        for lang, words, n in _gathered(batches):
+            counts, logs = expected_counts(words, n, pieces, starts[lang])
+            totals[lang] = totals.get(lang, 0) + np.rint(np.append(counts, logs) * UNITS).astype(np.int64)
         for lang, counts in totals.items():
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())], names=["lang", "piece", "n"])
@@ -233,75 +248,68 @@ def _expect(path: str, sent):
     return run
 
 
-def settled(words: list[str], n: np.ndarray, pieces: Pieces) -> np.ndarray:
-    """Piece probabilities of weighted words, by expectation-maximisation from Zipf's law to its fixed point."""
-    p, before = _first(pieces.size), -math.inf
-    for _ in range(ROUNDS if words else 0):
-        counts, logs = expected_counts(words, n, pieces, p)
-        p = (counts + SMOOTHING) / (counts + SMOOTHING).sum()
-        if logs - before < SETTLED * n.sum():
-            break
-        before = logs
-    return p
-
-
-def _settled(path: str):
-    """applyInArrow function: a language's words (lang, word, n) to its settled probabilities, as raw doubles."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("word")
-        p = settled(rows.column("word").to_pylist(), rows.column("n").to_numpy().astype(float), pieces_of(path))
-        return pa.table({"lang": rows.column("lang").slice(0, 1).combine_chunks(), "p": pa.array([p.tobytes()], pa.binary())})
+def _fixed_points(totals: dict[str, float], size: int, expect: Callable[[dict[str, np.ndarray]], dict[str, tuple[np.ndarray, float]]]) -> dict[str, tuple[np.ndarray, float]]:
+    """(piece probabilities, log-probability of the words under them) of each language, by expectation-maximisation from Zipf's law.
 
-    return run
-
-
-def _usual(path: str, known):
-    """applyInArrow function: a language's words to the mean log-probability of a character in them."""
+    totals: how many words each language has.  ``expect`` gives the expected counts and the
+    log-probability under the probabilities of the languages that haven't settled yet.
+    """
+    starts, before, found = {lang: _first(size) for lang in totals}, dict.fromkeys(totals, -math.inf), {}
+    for left in range(ROUNDS, -1, -1):
+        if not starts:
+            break
+        for lang, (counts, logs) in expect(starts).items():
+            if logs - before[lang] < SETTLED * totals[lang] or not left:
+                found[lang] = starts.pop(lang), logs
+            else:
+                starts[lang], before[lang] = (counts + SMOOTHING) / (counts + SMOOTHING).sum(), logs
+    return found
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("word")
-        lang, words, n = rows.column("lang")[0].as_py(), rows.column("word").to_pylist(), rows.column("n").to_numpy().astype(float)
-        scores = word_scores(words, pieces_of(path), known.value[lang][:, None])[:, 0]
-        return pa.table({"lang": pa.array([lang], pa.string()), "level": pa.array([float((scores * n).sum() / (n * [len(w) + 1 for w in words]).sum())], pa.float64())})
 
-    return run
+def settled(words: list[str], n: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """Piece probabilities of weighted words, at the fixed point of expectation-maximisation."""
+    return _fixed_points({"": n.sum()}, pieces.size, lambda starts: {"": expected_counts(words, n, pieces, starts[""])})[""][0]
+
+
+def _expected(words: DataFrame, path: str, starts: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, float]]:
+    """(expected uses of each piece, log-probability) of the words (lang, word, n) of each language of ``starts``."""
+    sent = words.sparkSession.sparkContext.broadcast(starts)
+    expected = map_arrow(words.where(F.col("lang").isin(list(starts))), _expect(path, sent), "lang string, piece int, n long")
+    rows = expected.groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
+    sent.destroy()
+    langs, piece, n = rows.column("lang").to_numpy(), rows.column("piece").to_numpy(), rows.column("n").to_numpy() / UNITS
+    out = {}
+    for lang, p in starts.items():
+        counts, here = np.zeros(len(p) + 1), langs == lang
+        counts[piece[here]] = n[here]
+        out[lang] = counts[:-1], float(counts[-1])
+    return out
 
 
 def learned(docs: DataFrame, path: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """(languages, piece probabilities with a zero row at the end, log shares of the texts, mean log-probability of a character).
 
-    docs: doc_id, text and lang, none null.  Words are counted over all rows.  Expectation-
-    maximisation runs to its fixed point on about SAMPLE_ROWS rows of each language; with these
-    probabilities the pieces of all words are expected and counted once more.  The driver gets at
-    most one number for each of LANGUAGES languages and each piece.
+    docs: doc_id, text and lang, none null.  Words are counted over all rows, and every round of
+    expectation-maximisation is over all words, in tasks, until a language's probabilities have
+    settled; the usual log-probability of a character is that of all words too.  The driver gets at
+    most one number for each of LANGUAGES languages and each piece in a round.
     """
-    spark = docs.sparkSession
-    counted = checkpointed(map_arrow(docs.select("lang", "text"), _count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    counted = map_arrow(docs.select("lang", "text"), _count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = checkpointed(counted.sortWithinPartitions("lang", F.length("word")))
     texts = {r["lang"]: r["n"] for r in counted.where("word = ''").orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     languages = sorted(texts)
     pieces = pieces_of(path)
+    table, usual = np.zeros((pieces.size + 1, len(languages))), np.full(len(languages), -math.inf)
+    table[:-1] = 1 / pieces.size  # of a language without any letter
     if not languages:
-        return [], np.zeros((pieces.size + 1, 0)), np.zeros(0), np.zeros(0)
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, SAMPLE_ROWS / texts[lang]))])
-    drawn = docs.where(F.col("lang").isin(languages)).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    sample = checkpointed(map_arrow(drawn.select("lang", "text"), _count, "lang string, word string, n long").where("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    starts = dict.fromkeys(languages, _first(pieces.size))
-    found = sample.groupBy("lang").applyInArrow(_settled(path), "lang string, p binary").toArrow()
-    starts.update({lang: np.frombuffer(p) for lang, p in zip(found.column("lang").to_pylist(), found.column("p").to_pylist(), strict=True)})
-    sent = spark.sparkContext.broadcast(starts)
+        return [], table, np.zeros(0), np.zeros(0)
     whole = counted.where((F.col("word") != "") & F.col("lang").isin(languages))
-    expected = map_arrow(whole, _expect(path, sent), "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
-    column = {lang: j for j, lang in enumerate(languages)}
-    counts = np.full((pieces.size + 1, len(languages)), SMOOTHING)
-    for r in expected.collect():
-        counts[r["piece"], column[r["lang"]]] += r["n"] / UNITS
-    counts[pieces.size] = 0
+    sums = {r["lang"]: r for r in whole.groupBy("lang").agg(F.sum("n").alias("words"), F.sum(F.col("n") * (F.length("word") + 1)).alias("letters")).collect()}
+    found = _fixed_points({lang: float(r["words"]) for lang, r in sums.items()}, pieces.size, lambda starts: _expected(whole, path, starts))
+    for j, lang in enumerate(languages):
+        if lang in found:
+            table[:-1, j], usual[j] = found[lang][0], found[lang][1] / sums[lang]["letters"]
     shares = np.array([texts[lang] for lang in languages], dtype=float)
-    table, usual = counts / counts.sum(axis=0, keepdims=True), np.full(len(languages), -math.inf)
-    known = spark.sparkContext.broadcast({lang: table[:, j] for lang, j in column.items()})
-    for r in sample.groupBy("lang").applyInArrow(_usual(path, known), "lang string, level double").collect():
-        usual[column[r["lang"]]] = r["level"]
     return languages, table, np.log(shares / shares.sum()), usual
 
 

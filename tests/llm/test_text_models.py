@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -252,6 +253,27 @@ def test_languages(spark):
     assert not {1000, 1001, 1002} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_models_come_from_every_row(spark):
+    """Probabilities and usual levels are those of one plain pass over all words, however many rows a language has."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("aeinorst") for _ in range(rng.randint(2, 9)))
+    rows = [(i, " ".join(word() for _ in range(4)), "en" if i % 4 else "fr") for i in range(2000)] + [(9000, "12 34", "xx")]
+    languages, table, shares, usual = langid.learned(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), VOCABULARY)
+    assert languages == ["en", "fr", "xx"]
+    assert np.allclose(np.exp(shares), [1500 / 2001, 500 / 2001, 1 / 2001])
+    pieces = langid.pieces_of(VOCABULARY)
+    for j, lang in enumerate(languages[:2]):
+        n = Counter(w for _, text, x in rows if x == lang for w in text.split())
+        words, counts = sorted(n), np.array([n[w] for w in sorted(n)], dtype=float)
+        p = langid.settled(words, counts, pieces)
+        assert np.allclose(table[:-1, j], p, rtol=1e-3, atol=0)
+        assert math.isclose(table[:-1, j].sum(), 1)
+        logs = langid.word_scores(words, pieces, np.append(p, 0.0)[:, None])[:, 0] @ counts
+        assert math.isclose(usual[j], logs / (counts @ [len(w) + 1 for w in words]), rel_tol=1e-6)
+    assert np.allclose(table[:-1, 2], 1 / pieces.size)
+    assert usual[2] == -math.inf
+
+
 def test_rows_are_judged_by_their_own_text(spark):
     """Rows of one doc_id, or of none, with other texts; gibberish and a foreign text."""
     rows = language_rows() + [(3, "12 34", "en"), (3, "the house", "en"), (None, "...", "en"), (None, "the town", "en"), (2000, "xqzjk qqxzv kkwjx zzxqj vvkqz", None), (2001, "кириллица и другие буквы", None)]
