@@ -11,9 +11,11 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,7 @@ _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
+_EDGES = ".,;:!?()\"'"
 
 
 class Pieces:
@@ -53,20 +56,35 @@ class Pieces:
         for text, i in texts:
             if text and _MARK not in text[1:]:  # a mark inside never fits a word
                 by_length.setdefault(len(text), []).append((_hash(text), i))
-        self.by_length = {}
+        self.by_length, self.near = {}, {}
         for length, found in by_length.items():
             found.sort()
-            self.by_length[length] = (np.array([h for h, _ in found], dtype=np.uint64), np.array([i for _, i in found], dtype=np.int64))
+            hashes = np.array([h for h, _ in found], dtype=np.uint64)
+            self.by_length[length] = (hashes, np.array([i for _, i in found], dtype=np.int64))
+            self.near[length] = np.zeros(1 << 16, dtype=bool)
+            self.near[length][_short(hashes)] = True
         self.longest = max(self.by_length)
 
-    def spans(self, words: list[str]) -> dict[tuple[int, int], np.ndarray] | _Spans:
-        """(start, end) to the piece there in each of the words, all of one length; ``size``: none."""
+    def find(self, h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in ``h`` of the hashes of pieces of that length, the pieces): only what shares 16 bits with one is searched."""
+        hashes, ids = self.by_length[length]
+        at = np.flatnonzero(self.near[length].take(_short(h)))
+        h = h[at]
+        near = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        hit = hashes[near] == h
+        return at[hit], ids[near[hit]]
+
+    def spans(self, words: list[str]) -> dict[tuple[int, int], _Span] | _Spans:
+        """(start, end) to the pieces there in words that are all of one length."""
         found = _Spans(self, words)
         n = len(words[0]) + 1
         if n > KEPT:
             return found
-        keys = ((start, start + length) for length in self.by_length if length <= n for start in range(n - length + 1))
-        return {key: ids for key in keys if (ids := found.get(key)) is not None}
+        return {(start, start + length): span for length in self.by_length if length <= n for start, span in found.of(length, 0, n - length + 1)}
+
+
+#: (which words have a piece there, or None for all of them; the pieces, ``size`` for none and ``size + 1`` for a character that is none).
+_Span = tuple[np.ndarray | None, np.ndarray]
 
 
 class _Spans:
@@ -83,16 +101,33 @@ class _Spans:
             for _ in range(pieces.longest):
                 self.powers.append(self.powers[-1] * _BASE)
 
-    def get(self, key: tuple[int, int]) -> np.ndarray | None:
+    def of(self, length: int, first: int, last: int) -> Iterator[tuple[int, _Span]]:
+        """(start, span) of the pieces of that length that start from ``first`` to before ``last``."""
+        size, rows = self.pieces.size, self.sums.shape[1]
+        with np.errstate(over="ignore"):
+            h = self.sums[first + length : last + length] - self.sums[first:last] * self.powers[length]
+        at, found = self.pieces.find(h.ravel(), length)
+        bounds = np.searchsorted(at, np.arange(last - first + 1) * rows)
+        for i in range(last - first):
+            here, ids = at[bounds[i] : bounds[i + 1]] - i * rows, found[bounds[i] : bounds[i + 1]]
+            if length == 1 or 2 * len(here) > rows:
+                whole = np.full(rows, size + 1 if length == 1 else size)
+                whole[here] = ids
+                yield first + i, (None, whole)
+            elif len(here):
+                yield first + i, (here, ids)
+
+    def get(self, key: tuple[int, int]) -> _Span | None:
         start, end = key
         if end - start not in self.pieces.by_length:
             return None
-        hashes, ids = self.pieces.by_length[end - start]
-        with np.errstate(over="ignore"):
-            h = self.sums[end] - self.sums[start] * self.powers[end - start]
-        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-        hit = hashes[at] == h
-        return np.where(hit, ids[at], self.pieces.size) if end - start == 1 or hit.any() else None
+        return next((span for _, span in self.of(end - start, start, start + 1)), None)
+
+
+def _short(h: np.ndarray) -> np.ndarray:
+    """16 bits of each hash."""
+    with np.errstate(over="ignore"):
+        return ((h * _BASE) >> _U(48)).view(np.int64)
 
 
 def _hash(text: str) -> int:
@@ -102,30 +137,44 @@ def _hash(text: str) -> int:
     return h
 
 
-def _by_length(words: list[str]) -> Iterator[tuple[int, list[int]]]:
+def _by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
     """Words of equal length, at most AT_ONCE of them, as (length, positions)."""
-    groups: dict[int, list[int]] = {}
-    for i, word in enumerate(words):
-        groups.setdefault(len(word), []).append(i)
-    for length, found in groups.items():
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    order = np.argsort(lengths, kind="stable")
+    for found in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(words) else []:
         for start in range(0, len(found), AT_ONCE):
-            yield length, found[start : start + AT_ONCE]
+            yield len(words[found[0]]), found[start : start + AT_ONCE]
 
 
-def _forward(spans, n: int, table: np.ndarray, rows: int, longest: int, *, back: bool = False, keep: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _chances(spans, table: np.ndarray) -> Callable[[tuple[int, int]], tuple[np.ndarray | None, np.ndarray] | None]:
+    """(start, end) to (words with a piece there, its probability in each column of ``table``); what is kept of spans is looked up once."""
+    full = np.append(table, np.full((1, table.shape[1]), UNKNOWN), axis=0)
+
+    def chance(span: _Span | None):
+        return None if span is None else (span[0], full.take(span[1], axis=0))
+
+    if isinstance(spans, dict):
+        return {key: chance(span) for key, span in spans.items()}.get
+    return lambda key: chance(spans.get(key))
+
+
+def _forward(chances, n: int, rows: int, languages: int, longest: int, *, back: bool = False, keep: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Sums over all segmentations of every prefix (``back``: suffix, by its length), and the logarithms they are scaled by."""
-    languages = table.shape[1]
     alpha, scale = [np.ones((rows, languages))], [np.zeros((rows, languages))]
     for end in range(1, n + 1):
         total, base = np.zeros((rows, languages)), scale[end - 1]
         for start in range(max(0, end - longest), end):
-            ids = spans.get((n - end, n - start) if back else (start, end))
-            if ids is not None:
-                p = table[ids]
-                if end - start == 1:
-                    p = np.where((ids == len(table) - 1)[:, None], UNKNOWN, p)
-                part = alpha[start] * p
-                total += part if scale[start] is base else part * np.exp(np.clip(scale[start] - base, -600, 600))
+            found = chances((n - end, n - start) if back else (start, end))
+            if found is None:
+                continue
+            at, p = found
+            part = p * (alpha[start] if at is None else alpha[start].take(at, axis=0))
+            if scale[start] is not base:
+                part *= np.exp(np.clip(scale[start] - base, -600, 600))[slice(None) if at is None else at]
+            if at is None:
+                total += part
+            else:
+                total[at] += part
         low = total < 1e-100
         if low.any():
             base = base + np.where(low, -100 * math.log(10), 0)
@@ -141,37 +190,36 @@ def word_scores(words: list[str], pieces: Pieces, table: np.ndarray) -> np.ndarr
     """Log-probability of each word in each language (columns of ``table``), over all segmentations."""
     out = np.zeros((len(words), table.shape[1]))
     for length, at in _by_length(words):
-        spans = pieces.spans([words[i] for i in at])
-        alpha, scale = _forward(spans, length + 1, table, len(at), pieces.longest)
+        chances = _chances(pieces.spans([words[i] for i in at.tolist()]), table)
+        alpha, scale = _forward(chances, length + 1, len(at), table.shape[1], pieces.longest)
         out[at] = np.log(np.maximum(alpha[-1], 1e-300)) + scale[-1]
     return out
 
 
 def expected_counts(words: list[str], weights: np.ndarray, pieces: Pieces, first: np.ndarray) -> tuple[np.ndarray, float]:
     """(expected uses of each piece in weighted words under the probabilities ``first``, weighted log-probability of the words)."""
-    counts = np.zeros(pieces.size + 1)
+    counts = np.zeros(pieces.size + 2)
     table, logs = np.append(first, 0.0)[:, None], 0.0
     for length, at in _by_length(words):
-        spans = pieces.spans([words[i] for i in at])
-        n, weight = length + 1, weights[at]
-        alpha, up = _forward(spans, n, table, len(at), pieces.longest, keep=True)
-        beta, down = _forward(spans, n, table, len(at), pieces.longest, back=True, keep=True)
+        spans = pieces.spans([words[i] for i in at.tolist()])
+        chances, n, weight = _chances(spans, table), length + 1, weights[at]
+        alpha, up = _forward(chances, n, len(at), 1, pieces.longest, keep=True)
+        beta, down = _forward(chances, n, len(at), 1, pieces.longest, back=True, keep=True)
         whole, top = np.maximum(alpha[n][:, 0], 1e-300), up[n][:, 0]
         scaled = up[n] is not up[0] or down[n] is not down[0]
         logs += float(((np.log(whole) + top) * weight).sum())
         for end in range(1, n + 1):
+            right = beta[n - end][:, 0] / whole
             for start in range(max(0, end - pieces.longest), end):
-                ids = spans.get((start, end))
-                if ids is None:
+                span = spans.get((start, end))
+                if span is None:
                     continue
-                p = table[ids, 0]
-                if end - start == 1:
-                    p = np.where(ids == pieces.size, UNKNOWN, p)
-                share = alpha[start][:, 0] * p * beta[n - end][:, 0] / whole
+                here = slice(None) if span[0] is None else span[0]
+                share = alpha[start][here, 0] * chances((start, end))[1][:, 0] * right[here]
                 if scaled:
-                    share = share * np.exp(np.clip(up[start][:, 0] + down[n - end][:, 0] - top, -600, 600))
-                counts += np.bincount(ids, share * weight, len(counts))
-    return counts[:-1], logs
+                    share = share * np.exp(np.clip(up[start][here, 0] + down[n - end][here, 0] - top[here], -600, 600))
+                counts += np.bincount(span[1], share * weight[here], len(counts))
+    return counts[:-2], logs
 
 
 _pieces: dict[str, Pieces] = {}
@@ -191,6 +239,32 @@ def words_of(text: str) -> list[str]:
     return [part for w in words for part in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
+def _strings(column: pa.Array) -> list[str | None]:
+    """``column.to_pylist()``, which makes a scalar of each string, in a tenth of the time."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """(bounds of each text's tokens, which token each is, words of all distinct tokens, how many each token has).
+
+    A token is what lies between ASCII spaces, so that words, as ``words_of`` finds them, are looked
+    for once in each distinct token of a batch only.
+    """
+    split = pc.ascii_split_whitespace(texts)
+    distinct = split.values.dictionary_encode()
+    tokens = _strings(distinct.dictionary)
+    words: list[str] = []
+    count = np.ones(len(tokens), dtype=np.int64)
+    for i, low in enumerate("\n".join(tokens).lower().split("\n") if tokens else []):
+        if low.isalpha() or (low := low.strip(_EDGES)).isalpha():
+            words.append(low)
+        else:
+            found = words_of(tokens[i])
+            words += found
+            count[i] = len(found)
+    return split.offsets.to_numpy(), distinct.indices.to_numpy(), words, count
+
+
 def _first(size: int) -> np.ndarray:
     """Piece probabilities to start from: Zipf's law over the vocabulary's order."""
     p = 1.0 / (np.arange(size) + 10.0)
@@ -202,15 +276,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[str, Counter] = {}
 
     def passed() -> pa.RecordBatch:
-        rows = [(lang, word, n) for lang, words in seen.items() for word, n in words.items()]
+        langs = [pa.repeat(pa.scalar(lang, pa.string()), len(words)) for lang, words in seen.items()]
+        words = [pa.array(list(words), pa.string()) for words in seen.values()]
+        n = [pa.array(list(words.values()), pa.int64()) for words in seen.values()]
         seen.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) if x else pa.array([], kind) for x, kind in ((langs, pa.string()), (words, pa.string()), (n, pa.int64()))], names=["lang", "word", "n"])
 
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words = seen.setdefault(lang, Counter())
-            words.update(words_of(text))
-            words[""] += 1
+        langs = batch.column("lang").dictionary_encode()
+        names, lang = _strings(langs.dictionary), langs.indices.to_numpy()
+        for name, n in zip(names, np.bincount(lang, minlength=len(names)).tolist(), strict=True):
+            seen.setdefault(name, Counter())[""] += n
+        bounds, at, words, count = _split(batch.column("text"))
+        pairs, n = np.unique(np.repeat(lang, np.diff(bounds)) * np.int64(len(count)) + at, return_counts=True)
+        first = np.cumsum(count) - count
+        for i, name in enumerate(names):
+            low, high = np.searchsorted(pairs, [i * len(count), (i + 1) * len(count)])
+            counts, here = seen[name], pairs[low:high] - i * len(count)
+            for begin, more, times in zip(first[here].tolist(), count[here].tolist(), n[low:high].tolist(), strict=True):
+                for word in words[begin : begin + more]:
+                    counts[word] += times
         if sum(map(len, seen.values())) > COUNTED_WORDS:
             yield passed()
     yield passed()
@@ -218,18 +303,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str], np.ndarray]]:
     """(lang, words, n) of a task's rows, gathered over batches: words of equal length are counted together."""
-    held: dict[str, tuple[list[str], list[int]]] = {}
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def taken() -> Iterator[tuple[str, list[str], np.ndarray]]:
+        for lang, parts in held.items():
+            yield lang, np.concatenate([w for w, _ in parts]).tolist(), np.concatenate([n for _, n in parts]).astype(float)
+        held.clear()
+
     letters = 0
     for batch in batches:
-        for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
-            words, counts = held.setdefault(lang, ([], []))
-            words.append(word)
-            counts.append(n)
-            letters += len(word)
-            if letters >= GATHERED:
-                yield from ((x, w, np.array(c, dtype=float)) for x, (w, c) in held.items())
-                held, letters = {}, 0
-    yield from ((x, w, np.array(c, dtype=float)) for x, (w, c) in held.items())
+        langs, words, n = batch.column("lang").dictionary_encode(), batch.column("word"), batch.column("n").to_numpy()
+        names, lang, letters = _strings(langs.dictionary), langs.indices.to_numpy(), letters + (pc.sum(pc.utf8_length(words)).as_py() or 0)
+        words = words.to_numpy(zero_copy_only=False)
+        for i, name in enumerate(names):
+            held.setdefault(name, []).append((words[lang == i], n[lang == i]))
+        if letters >= GATHERED:
+            yield from taken()
+            letters = 0
+    yield from taken()
 
 
 def _expect(path: str, sent):
@@ -313,49 +404,63 @@ def learned(docs: DataFrame, path: str) -> tuple[list[str], np.ndarray, np.ndarr
     return languages, table, np.log(shares / shares.sum()), usual
 
 
+class _Rows(dict):
+    """Rows of words: one that is looked up for the first time gets the next."""
+
+    def __missing__(self, word: str) -> int:
+        row = self[word] = len(self)
+        return row
+
+
 class Predictor:
     """Languages of texts by a learned model; scores of words are remembered."""
 
     def __init__(self, path: str, model: tuple[list[str], np.ndarray, np.ndarray, np.ndarray]):
         self.languages, self.table, self.prior, self.usual = model
         self.pieces = pieces_of(path)
-        self.known: dict[str, int] = {}
+        self.known = _Rows()
         self.scores = np.zeros((1 << 16, len(self.languages)))
 
-    def _rows(self, texts: list[list[str]]) -> tuple[dict[str, int], np.ndarray]:
-        """(row of each word, scores): words beyond CACHE_WORDS serve this call alone."""
-        new = list({w for words in texts for w in words if w not in self.known})
+    def _scores(self, words: list[str]) -> np.ndarray:
+        """Scores of the words, which may repeat; what is beyond CACHE_WORDS serves this call alone."""
+        n = len(self.known)
+        rows = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        new = list(islice(reversed(self.known), len(self.known) - n))[::-1]
         if not new:
-            return self.known, self.scores
-        found, n = word_scores(new, self.pieces, self.table), len(self.known)
-        if n + len(new) <= CACHE_WORDS:
-            while n + len(new) > len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[n : n + len(new)] = found
-            self.known.update(zip(new, range(n, n + len(new)), strict=True))
-            return self.known, self.scores
-        here = {w: i for i, w in enumerate(new)}
-        old = list({w for words in texts for w in words if w not in here})
-        return here | {w: len(new) + i for i, w in enumerate(old)}, np.concatenate([found, self.scores[[self.known[w] for w in old]]])
-
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+            return self.scores.take(rows, axis=0)
+        found = word_scores(new, self.pieces, self.table)
+        if n + len(new) > CACHE_WORDS:
+            for _ in new:
+                self.known.popitem()
+            out, old = np.empty((len(words), len(self.languages))), rows < n
+            out[old], out[~old] = self.scores[rows[old]], found[rows[~old] - n]
+            return out
+        while n + len(new) > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        self.scores[n : n + len(new)] = found
+        return self.scores.take(rows, axis=0)
+
+    def __call__(self, texts: pa.Array) -> tuple[list[str], list[float], list[float]]:
         """(language, posterior, how far a character's mean log-probability is from the language's usual one) of each text; (und, 0, 0) for one without letters or where nothing was learned."""
-        split = [words_of(t) if t else [] for t in texts]
+        names, values, levels = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if not self.languages:
-            return ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
-        row, scores = self._rows(split)
-        names, values, levels = [], [], []
-        for words in split:
-            if not words:
-                names.append("und")
-                values.append(0.0)
-                levels.append(0.0)
+            return names, values, levels
+        bounds, at, words, count = _split(texts)
+        scores, letters, some = np.zeros((len(count), len(self.languages))), np.zeros(len(count), dtype=np.int64), np.flatnonzero(count)
+        if len(some):
+            first = (np.cumsum(count) - count)[some]
+            scores[some] = np.add.reduceat(self._scores(words), first, axis=0)
+            letters[some] = np.add.reduceat(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1, first)
+        for i, (start, end) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            here = at[start:end]
+            length = int(letters[here].sum())
+            if not length:
                 continue
-            total = scores[np.fromiter(map(row.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0) + self.prior
+            total = scores.take(here, axis=0).sum(axis=0) + self.prior
             best = int(total.argmax())
-            names.append(self.languages[best])
-            values.append(float(1.0 / np.exp(np.minimum(total - total[best], 0.0)).sum()))
-            levels.append(float((total[best] - self.prior[best]) / (len(words) + sum(map(len, words))) - self.usual[best]))
+            names[i] = self.languages[best]
+            values[i] = float(1.0 / np.exp(np.minimum(total - total[best], 0.0)).sum())
+            levels[i] = float((total[best] - self.prior[best]) / length - self.usual[best])
         return names, values, levels
 
 
@@ -366,7 +471,7 @@ def _predict(path: str, model):
             names: list[str] = []
             values: list[float] = []
             for begin in range(0, batch.num_rows, TEXTS):
-                found = predict(batch.column("text").slice(begin, TEXTS).to_pylist())
+                found = predict(batch.column("text").slice(begin, TEXTS))
                 names += found[0]
                 values += found[1]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(values, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -416,7 +521,7 @@ def in_known_language(docs: DataFrame, vocabulary_path: str, *, least: float = 0
         def keep(batch: pa.RecordBatch) -> pa.Array:
             good: list[bool] = []
             for begin in range(0, batch.num_rows, TEXTS):
-                found = predict(batch.column("text").slice(begin, TEXTS).to_pylist())
+                found = predict(batch.column("text").slice(begin, TEXTS))
                 good += [name != "und" and value >= least and level >= -margin for name, value, level in zip(*found, strict=True)]
             return pa.array(good, pa.bool_())
 

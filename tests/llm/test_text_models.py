@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from helpers import contamination, personal, sha
@@ -215,6 +216,64 @@ def test_numerals_are_no_letters():
     assert langid.words_of("x² aⅧb été") == ["x", "a", "b", "été"]
 
 
+ODD = ["İSTANBUL été², x_y \"ΣΑΣ ΟΔΟΣ.\" a\u00a0b\x1cc", "  \n", " ½ ① ", None, "", "漢字 x" * 50, "a\tb\x0bc\x85d e\u2028f", "l'été Ⅷa ǅ ﬁn ẞ -- (a) a. A"]
+
+
+@pytest.mark.parametrize("remembered", [300_000, 5])
+def test_scores_are_sums_over_words(monkeypatch, remembered):
+    """Predictions from distinct tokens are those of each text's words one by one, slices and full caches too."""
+    monkeypatch.setattr(langid, "CACHE_WORDS", remembered)
+    pieces = langid.pieces_of(VOCABULARY)
+    rng = np.random.default_rng(1)
+    table = np.append(rng.random((pieces.size, 2)) * 1e-3, np.zeros((1, 2)), axis=0)
+    prior, usual = np.log([0.25, 0.75]), np.array([-3.0, -4.0])
+    texts = ODD + list(SAMPLES.values())
+    predict = langid.Predictor(VOCABULARY, (["a", "b"], table, prior, usual))
+    for begin, end in [(0, len(texts)), (2, 9), (3, 5)]:
+        for text, name, value, level in zip(texts[begin:end], *predict(pa.array(["not asked", *texts], pa.string()).slice(begin + 1, end - begin)), strict=True):
+            words = langid.words_of(text or "")
+            if not words:
+                assert (name, value, level) == ("und", 0.0, 0.0)
+                continue
+            total = langid.word_scores(words, pieces, table).sum(axis=0)
+            best = int((total + prior).argmax())
+            assert name == "ab"[best]
+            assert math.isclose(value, 1 / np.exp(total + prior - (total + prior)[best]).sum(), rel_tol=1e-9)
+            assert math.isclose(level, total[best] / sum(len(w) + 1 for w in words) - usual[best], rel_tol=1e-9)
+    assert len(predict.known) <= remembered
+
+
+def test_counts_read_each_distinct_token_once(monkeypatch):
+    """Words of each language's texts are counted as text by text, but looked for once in a batch, not in all of its texts."""
+    read = []
+    plain = langid.words_of
+    monkeypatch.setattr(langid, "words_of", lambda text: read.append(len(text)) or plain(text))
+    rows = [(text, lang) for text in [*ODD, *SAMPLES.values()] if text is not None for lang in ("en", "fr", "en")] * 20
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*part, strict=True)], names=["text", "lang"]) for part in (rows[:7], rows[7:], rows[:1])]
+    got, want = Counter(), Counter()
+    for batch in langid._count(iter([*batches, batches[0].slice(0, 0)])):
+        got.update({(lang, word): n for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)})
+    for text, lang in rows + rows[:1]:
+        want.update((lang, word) for word in [*plain(text), ""])
+    assert got == want
+    assert sum(read) <= 2 * sum(len(text) for text in ODD if text)
+
+
+def test_few_spans_are_searched(monkeypatch):
+    """Most spans of invented words are no pieces: they are told apart without a search among the pieces."""
+    pieces, rng, searched = langid.pieces_of(VOCABULARY), random.Random(5), []
+    words = ["".join(rng.choice("aeinorst") for _ in range(10)) for _ in range(1000)]
+    plain = np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *more, **named: searched.append(np.size(v)) or plain(a, v, *more, **named))
+    counts, _ = langid.expected_counts(words, np.ones(len(words)), pieces, langid._first(pieces.size))
+    monkeypatch.undo()
+    lengths = np.zeros(pieces.size)
+    for length, (_, ids) in pieces.by_length.items():
+        lengths[ids] = length
+    assert math.isclose(counts @ lengths, 11 * len(words), rel_tol=1e-3)
+    assert sum(searched) <= len(words) * 66 / 2  # 66 spans in each
+
+
 SAMPLES = {"en": "the house and the people were in this town with that river ", "fr": "la maison et les gens étaient dans cette ville avec le fleuve ", "de": "das haus und die leute waren in dieser stadt mit dem fluss "}
 
 
