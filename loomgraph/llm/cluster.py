@@ -32,20 +32,46 @@ ARROW_BATCH = "4m"
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``df.mapInArrow(run, schema)`` over small batches, which the session keeps from now on.
 
-    A worker gives its free memory back after each task: it lives on, beside a JVM that may by then
-    need the room.
+    A worker gives its free memory back after each task, and before the first task of another
+    operator what it ``held``: it lives on, beside a JVM that may by then need the room.
     """
+    return _mapped(df, run, schema, run.__module__)
+
+
+def _mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, owner: str) -> DataFrame:
+    """``map_arrow`` for the operator in the module ``owner``."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if df.sparkSession.conf.get(key, None) != ARROW_BATCH:
         df.sparkSession.conf.set(key, ARROW_BATCH)
 
     def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun(owner)
         yield from run(batches)
         trim()
 
     return df.mapInArrow(trimmed, schema)
 
 
+def held(key: str, make: Callable[[], object]):
+    """What ``make`` returned at the first call with ``key``; a worker keeps it until a task of another operator begins."""
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
+def begun(owner: str) -> None:
+    """A task of the operator in the module ``owner`` begins here: what tasks of another one held goes."""
+    if _owner[0] != owner:
+        _owner[0] = owner
+        _held.clear()
+        trim()
+
+
+#: What this process holds, and for the tasks of which module.
+_held: dict[str, object] = {}
+_owner = [""]
+
+
 def trim() -> None:
     """Return freed memory to the system, where the C library can."""
     pa.default_memory_pool().release_unused()
@@ -186,7 +212,7 @@ def kept_rows(docs: DataFrame, judge: Callable[[], Callable[[pa.RecordBatch], pa
         for batch in batches:
             yield batch.filter(keep(batch))
 
-    return map_arrow(docs, run, docs.schema)
+    return _mapped(docs, run, docs.schema, judge.__module__)
 
 
 def apart(df: DataFrame, torn: list[DataFrame]) -> DataFrame:

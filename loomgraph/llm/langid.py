@@ -19,10 +19,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import checkpointed, kept_rows, map_arrow
+from .cluster import checkpointed, held, kept_rows, map_arrow
 
 #: Words whose scores a worker remembers, the first ones that it meets; distinct words that it counts before it passes the counts on; words, and texts, that are scored together.
-CACHE_WORDS, COUNTED_WORDS, AT_ONCE, TEXTS = 300_000, 100_000, 8_192, 1_024
+CACHE_WORDS, COUNTED_WORDS, AT_ONCE, TEXTS = 300_000, 100_000, 8_192, 256
 #: Probability of a character that is no piece; counts that every piece has besides its own.
 UNKNOWN, SMOOTHING = 1e-7, 0.05
 #: Letters of a run whose spans are kept; those of a longer one are found again where they are read.
@@ -222,13 +222,9 @@ def expected_counts(words: list[str], weights: np.ndarray, pieces: Pieces, first
     return counts[:-2], logs
 
 
-_pieces: dict[str, Pieces] = {}
-
-
 def pieces_of(path: str) -> Pieces:
-    if path not in _pieces:
-        _pieces[path] = Pieces(path)
-    return _pieces[path]
+    """The process's pieces of ``path``."""
+    return held(f"pieces {path}", lambda: Pieces(path))
 
 
 def words_of(text: str) -> list[str]:
@@ -419,7 +415,7 @@ class Predictor:
         self.languages, self.table, self.prior, self.usual = model
         self.pieces = pieces_of(path)
         self.known = _Rows()
-        self.scores = np.zeros((1 << 16, len(self.languages)))
+        self.scores = np.zeros((CACHE_WORDS, len(self.languages)))  # takes memory as it is filled
 
     def _scores(self, words: list[str]) -> np.ndarray:
         """Scores of the words, which may repeat; what is beyond CACHE_WORDS serves this call alone."""
@@ -435,8 +431,6 @@ class Predictor:
             out, old = np.empty((len(words), len(self.languages))), rows < n
             out[old], out[~old] = self.scores[rows[old]], found[rows[~old] - n]
             return out
-        while n + len(new) > len(self.scores):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
         self.scores[n : n + len(new)] = found
         return self.scores.take(rows, axis=0)
 

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import map_arrow
+from .cluster import held, map_arrow
 from .hashing import mix64
 
 #: Windows that are packed together, and so tokens of a task in memory: WINDOWS times the capacity.
@@ -21,6 +21,8 @@ WINDOWS = 64
 SLACK, PIECES = 512, 4
 #: Words whose ids a worker remembers, the first ones that it meets; characters that are encoded together; characters of the longest word that is remembered; texts that are taken from a batch together.
 CACHE_WORDS, CHARS, LONGEST, TEXTS = 1_000_000, 1 << 18, 64, 256
+#: Rows, and bytes of their ids, that a task returns together, or a few more.
+ROWS, BYTES = 4_096, 1 << 20
 
 _U = np.uint64
 _LETTER, _NUMBER, _OTHER, _FOREIGN = 1, 2, 3, 4
@@ -134,8 +136,8 @@ class Encoder:
         for token, i in self._tokenizer.get_vocab().items():
             self._last[i] = token.endswith("</w>")
         # words are split and lower-cased already, and none has a character that normal forms change
-        self._words = Tokenizer.from_file(path)
-        self._words.normalizer, self._words.pre_tokenizer = None, Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self._words = Tokenizer(self._tokenizer.model)  # one vocabulary in memory serves both
+        self._words.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self._known = _Words(CACHE_WORDS)
         base = np.full(CHARS + 1, _BASE, dtype=np.uint64)
         back = np.full(CHARS + 1, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
@@ -235,14 +237,9 @@ def _gathered(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[
     return ids[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)], ends
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The process's encoder of ``path``."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(f"encoder {path}", lambda: Encoder(path))
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -311,13 +308,15 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096
         end = np.array([end_id], dtype="<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
+        size_out = 0
 
         def emit(pieces: list[tuple]) -> None:
-            nonlocal sequence
+            nonlocal sequence, size_out
             offset = 0
             for doc_id, start, ids, total in pieces:
                 rows.append((doc_id, start, len(ids) // 4, ids, total, sequence, offset))
                 offset += len(ids) // 4
+            size_out += 4 * offset
             sequence += 1
 
         def flush(block: list[tuple]) -> None:
@@ -325,9 +324,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096
                 emit([block[i] for i in window])
 
         def batch_of() -> pa.RecordBatch:
+            nonlocal size_out
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
             rows.clear()
+            size_out = 0
             return out
 
         block: list[tuple] = []
@@ -341,6 +342,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096
                 whole = total - total % capacity
                 for start in range(0, whole, capacity):
                     emit([(doc_id, start, ids[4 * start : 4 * (start + capacity)], total)])
+                    if size_out >= BYTES:
+                        yield batch_of()
                 start = whole
                 while start < total:
                     size = min(total - start, max(least, min(most, (full - filled) // (2 * windows)))) if cut else total - start
@@ -351,7 +354,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096
                     block.append((doc_id, start, ids[4 * start : 4 * (start + size)], total))
                     filled += size
                     start += size
-                if len(rows) >= 4096:
+                if len(rows) >= ROWS or size_out >= BYTES:
                     yield batch_of()
         if block:
             flush(block)
